@@ -59,12 +59,12 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and each document's first word (one more
-    entry than documents)."""
+    entry than documents). between: by byte, what separates words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    w = ~SPACE[data]
+    w = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     before = np.empty(len(w), bool)

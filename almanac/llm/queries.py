@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import packing
+from almanac.llm import packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
         "op6_vector_best_fit": packing.op6_vector_best_fit,
     }
 
