@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's code to the executors, once for each application,
+    so that Python functions run there however the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp()) / f"{here.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables; only Spark opens the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
