@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import compression, packing, toxicity
+from almanac.llm import compression, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_quality": compression.op1_compression_quality,
         "op6_vector_best_fit": packing.op6_vector_best_fit,
+        "op8_multipart_secrets": secrets.op8_multipart_secrets,
         "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
     }
 
