@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import compression, packing, secrets, toxicity
+from almanac.llm import compression, decontamination, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_vector_best_fit": packing.op6_vector_best_fit,
         "op8_multipart_secrets": secrets.op8_multipart_secrets,
         "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
+        "op10_containment_search": decontamination.op10_containment_search,
     }
 
 
