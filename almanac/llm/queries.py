@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import compression, decontamination, packing, secrets, toxicity
+from almanac.llm import compression, decontamination, html, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_quality": compression.op1_compression_quality,
+        "op3_flat_block_text": html.op3_flat_block_text,
         "op6_vector_best_fit": packing.op6_vector_best_fit,
         "op8_multipart_secrets": secrets.op8_multipart_secrets,
         "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
