@@ -39,15 +39,6 @@ SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment dou
 U64 = hs.U64
 
 
-@np.errstate(over="ignore")
-def register(h: np.ndarray, j: int) -> np.ndarray:
-    """The j-th order of the hashes."""
-    rng = np.random.default_rng(1009 + j)
-    a, b = rng.integers(1, 2**63, 2, dtype=np.uint64)
-    x = (h ^ b) * (a | U64(1))
-    return x ^ (x >> U64(29))
-
-
 class Items:
     """A block of items: for each class, register minima in order with their
     items, and each item's distinct shingles."""
@@ -69,7 +60,7 @@ class Items:
         for key, of in classes.items():
             tables = []
             for j in range(registers):
-                keys = np.asarray([register(self.sets[i], j).min() for i in of], U64)
+                keys = np.asarray([hs.permuted(self.sets[i], j).min() for i in of], U64)
                 order = np.argsort(keys, kind="stable")
                 bits = np.zeros(1 << 16, bool)
                 bits[(keys & U64(0xFFFF)).astype(np.int64)] = True
@@ -97,7 +88,7 @@ class Items:
             last[:-1] = doc[lead][1:] != doc[lead][:-1]
             plans[c] = (lead, last, doc[lead])
         for j in range(self.registers):
-            least = np.minimum.reduceat(register(h, j), starts)
+            least = np.minimum.reduceat(hs.permuted(h, j), starts)
             for c in sizes:
                 lead, last, of = plans[c]
                 m = np.minimum.reduceat(least, lead) if c > base else least

@@ -13,7 +13,6 @@ import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
-_SEED = np.random.default_rng(20240601)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -39,6 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+@np.errstate(over="ignore")
+def permuted(h: np.ndarray, j: int) -> np.ndarray:
+    """The j-th of many orders of hashes, for minima."""
+    a, b = np.random.default_rng(1009 + j).integers(1, 2**63, 2, dtype=np.uint64)
+    x = (h ^ b) * (a | U64(1))
+    return x ^ (x >> U64(29))
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about `size`
     bytes; a longer text is a run of its own. Null texts have no bytes."""

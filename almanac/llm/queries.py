@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import compression, decontamination, html, packing, secrets, toxicity
+from almanac.llm import compression, decontamination, html, neardup, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_compression_quality": compression.op1_compression_quality,
         "op3_flat_block_text": html.op3_flat_block_text,
         "op6_vector_best_fit": packing.op6_vector_best_fit,
+        "op7_setsketch_near_duplicates": neardup.op7_setsketch_near_duplicates,
         "op8_multipart_secrets": secrets.op8_multipart_secrets,
         "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
         "op10_containment_search": decontamination.op10_containment_search,
