@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import compression, decontamination, html, neardup, packing, secrets, substrings, toxicity
+from almanac.llm import ann, compression, decontamination, html, neardup, packing, secrets, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_quality": compression.op1_compression_quality,
+        "op2_balanced_posting_lists": ann.op2_balanced_posting_lists,
         "op3_flat_block_text": html.op3_flat_block_text,
         "op4_fingerprint_index": substrings.op4_fingerprint_index,
         "op6_vector_best_fit": packing.op6_vector_best_fit,
