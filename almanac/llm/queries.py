@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import ann, compression, decontamination, html, neardup, packing, secrets, substrings, toxicity
+from almanac.llm import ann, compression, crossentropy, decontamination, html, neardup, packing, secrets, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_balanced_posting_lists": ann.op2_balanced_posting_lists,
         "op3_flat_block_text": html.op3_flat_block_text,
         "op4_fingerprint_index": substrings.op4_fingerprint_index,
+        "op5_cross_entropy_difference": crossentropy.op5_cross_entropy_difference,
         "op6_vector_best_fit": packing.op6_vector_best_fit,
         "op7_setsketch_near_duplicates": neardup.op7_setsketch_near_duplicates,
         "op8_multipart_secrets": secrets.op8_multipart_secrets,
