@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -50,3 +51,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcast only if it has at most most_rows rows; beyond
+    that Spark shuffles. df should be narrow and cheap to read twice."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
