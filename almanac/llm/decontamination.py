@@ -120,16 +120,22 @@ class Items:
         return out
 
 
+def _blocks(items: DataFrame, block_items: int) -> Iterator[tuple[list, list]]:
+    """Item ids and texts, in blocks of about block_items."""
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
+    blocks = max(1, -(-known.count() // block_items))
+    for b in range(blocks):
+        block = known.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()
+        yield [r["item_id"] for r in block], [r["text"] for r in block]
+
+
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_items: int = 20_000) -> DataFrame:
     """One row for each document and item of which the document holds at least
     `threshold` of the distinct k-word shingles."""
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    blocks = max(1, -(-known.count() // block_items))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
-    for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()
-        sent = rows.sparkSession.sparkContext.broadcast(([r["item_id"] for r in block], [r["text"] for r in block]))
+    for block in _blocks(items, block_items):
+        sent = rows.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Items(*sent.value, k, registers)
@@ -146,5 +152,24 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     return out
 
 
+def without_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_items: int = 20_000) -> DataFrame:
+    """The rows of docs that contain no item, all columns kept; one filter
+    after another for each block of items, without a shuffle."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for block in _blocks(items, block_items):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Items(*sent.value, k, registers)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                got = index.search(pa.array(range(b.num_rows)), b.column(at).cast(pa.string()), threshold)
+                keep[[row for row, *_ in got]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs
+
+
 def op10_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from almanac.llm import hashing as hs
 from almanac.llm.graph import components
 from almanac.llm.shingles import distinct, shingled
-from almanac.session import materialize, read
+from almanac.session import materialize, read, sized
 
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 U64 = hs.U64
@@ -257,5 +257,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return found.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs less the rows that are not kept, all columns kept. Rows that share
+    a doc_id stay or go together."""
+    found = near_duplicates(docs, k, percent)
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=2)

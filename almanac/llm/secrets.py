@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.session import materialize, read
+from almanac.session import materialize, read, sized
 
 #: The base patterns, the group that is measured, its least length.
 BASE = {
@@ -127,7 +127,7 @@ def masked(docs: DataFrame, scope: int = 200, mark: str = "[secret]") -> DataFra
     text stays null."""
     found = scan(docs, scope)
     opaque = F.filter("added", lambda s: s["rank"] == ORDER.index("opaque"))
-    hits = found.withColumn("hits", ordered(F.concat("base", opaque))).where(F.size("hits") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("print").alias("_print"), F.col("hits").alias("_hits")).dropDuplicates(["_doc", "_print"])
+    hits = materialize(found.withColumn("hits", ordered(F.concat("base", opaque))).where(F.size("hits") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("print").alias("_print"), F.col("hits").alias("_hits")).dropDuplicates(["_doc", "_print"]), "hits")
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_print", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -141,7 +141,7 @@ def masked(docs: DataFrame, scope: int = 200, mark: str = "[secret]") -> DataFra
         return F.concat(F.array_join(state["out"], ""), rest)
 
     text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.aggregate("_hits", zero, step, done))
-    return keyed.join(hits, ["_doc", "_print"], "left").withColumn("text", text).select(*docs.columns)
+    return keyed.join(sized(hits), ["_doc", "_print"], "left").withColumn("text", text).select(*docs.columns)
 
 
 def op8_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
