@@ -139,7 +139,9 @@ class FingerprintIndex:
         """All rows whose key some batch matched."""
         if not self.runs:
             return self.spark.createDataFrame([], RUN)
-        keys = self.spark.read.schema("key long").parquet(*self.matches).distinct()
+        # written, so that both sides of the join come from plain exchanges and
+        # Spark can split a frequent key
+        keys = materialize(self.spark.read.schema("key long").parquet(*self.matches).distinct(), "keys")
         return self._run(self.runs).join(keys, "key", "left_semi")
 
 
@@ -172,7 +174,7 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex, window: int = WIN
     several = groups.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     asked = groups.join(several, "key", "left_semi").select("key", "n", "one.*", (F.col("times") == 1).alias("need"))
     found = materialize(windows(docs, asked, window), "windows")
-    twice = found.groupBy("key", "hash").agg(F.count("*").alias("times"), F.max("need").alias("any")).where("times > 1 and any").select("key", "hash")
+    twice = materialize(found.groupBy("key", "hash").agg(F.count("*").alias("times"), F.max("need").alias("any")).where("times > 1 and any").select("key", "hash"), "twice")
     single = found.where("need").join(twice, ["key", "hash"], "left_semi").select("doc", "print", "at", F.lit(1).alias("n"))
     return whole.union(single)
 
