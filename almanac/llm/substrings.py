@@ -6,10 +6,11 @@ choose the same one, so about one fingerprint stands for 14 windows and none
 is missed. A fingerprint row holds the piece's hash (key), which windows chose
 it (at, n) and a hash of the stretch of words they cover.
 
-The index is a list of immutable runs, each sorted by key, in the shared
-folder. A new batch is written as a run and merge-joined with the historical
-ones; keys seen twice are matched. When there are more than `most_runs`, runs
-are compacted into one. Only fingerprints are kept, about an eighth of the text.
+The index is a list of immutable runs in the shared folder, whose files are
+each sorted by key. A new batch is written as a run, without a shuffle, and
+merge-joined with the historical ones; keys seen twice are matched. When there
+are more than `most_runs`, runs are compacted into one in order of key, dealt
+by ranges so that a frequent key has many. Only fingerprints are kept, about an eighth of the text.
 
 Matched keys are verified on words: rows of equal key, stretch and n repeat all
 their windows; where stretches differ, one row of each is looked up in its text
@@ -113,7 +114,7 @@ class FingerprintIndex:
     def append(self, batch: DataFrame) -> DataFrame:
         """Add a batch (fingerprint rows) as a run; the keys that it matches,
         in itself or in historical runs."""
-        run = self._write(batch.repartition("key").sortWithinPartitions("key"), "run")
+        run = self._write(batch.sortWithinPartitions("key"), "run")
         counts = self._run([run]).groupBy("key").agg(F.count("*").alias("times"))
         if self.runs:
             old = self._run(self.runs).groupBy("key").agg(F.lit(1).alias("old"))
@@ -129,7 +130,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one; the old ones are deleted afterwards."""
         old = self.runs
-        self.runs = [self._write(self._run(old).repartition("key").sortWithinPartitions("key"), "run")]
+        self.runs = [self._write(self._run(old).repartitionByRange("key", "doc", "print", "at").sortWithinPartitions("key"), "run")]
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in old:
             p = jvm.org.apache.hadoop.fs.Path(path)
