@@ -11,7 +11,8 @@ within a ratio of the nearest one's. The ratio is fitted on the sample, so that
 `recall` of its nearest neighbours lie in the lists taken.
 
 Lists and the queries that meet in them are dealt in blocks of bounded size;
-scores are exact cosines in double precision. Equal vectors are one class with
+the two nearest lists come first, and what they give is the score that anything
+in further lists has to reach. Scores are exact cosines in double precision. Equal vectors are one class with
 its k + 1 smallest ids, and equal queries are searched once, so copies cost
 neither a hot list nor repeated work. Broadcast are centroids and their graph,
 `most_lists` rows.
@@ -75,7 +76,7 @@ class Lists:
         return out
 
     def taken(self, q: np.ndarray, beam: int = 32) -> list[int]:
-        """Lists for one query: best-first on the graph while the next node is
+        """Lists for one query, nearest first: best-first on the graph while the next node is
         within the ratio, or among the `beam` nearest so far."""
         entry = range(0, len(self.centroids), max(1, len(self.centroids) // 8))
         seen = set(entry)
@@ -99,7 +100,7 @@ class Lists:
                 for n, dn in zip(fresh, distances(q[None], self.centroids[fresh])[0].tolist(), strict=True):
                     heapq.heappush(todo, (dn, n))
         least = min(d for d, _ in found)
-        return [c for d, c in found if d <= self.ratio * least + 1e-9]
+        return [c for d, c in sorted(found) if d <= self.ratio * least + 1e-9]
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -154,7 +155,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, asked: Column, k: int = 5, list_rows: int = 128, most_lists: int = 4096, most_sample: int = 20_000, replicas: int = 4, boundary: float = 0.15, recall: float = 0.97, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, asked: Column, k: int = 5, list_rows: int = 256, most_lists: int = 4096, most_sample: int = 20_000, replicas: int = 4, boundary: float = 0.15, recall: float = 0.97, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for
     which `asked` holds, among all others."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v"))).distinct()
@@ -182,21 +183,27 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, list_rows: int = 128,
         for b in batches:
             lists = [sent.value.taken(q) for q in unit(matrix(b.column(1)))] if b.num_rows else []
             own = np.repeat(np.arange(b.num_rows), list(map(len, lists)))
-            yield pa.RecordBatch.from_arrays([pa.array([c for x in lists for c in x], pa.int32()), b.column(0).take(pa.array(own, pa.int64())), b.column(1).take(pa.array(own, pa.int64()))], ["list", "cls", "v"])
+            place = [i for x in lists for i in range(len(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([c for x in lists for c in x], pa.int32()), b.column(0).take(pa.array(own, pa.int64())), b.column(1).take(pa.array(own, pa.int64())), pa.array(place, pa.int32())], ["list", "cls", "v", "place"])
 
     schema_post = "list int, cls long, v array<double>"
     postings = classes.select("cls", "v").mapInArrow(post, schema_post)
     who = materialize(rows.where(asked).select(F.col("vec_id").alias("query_id"), "v").join(classes.select("v", "cls"), "v").select("query_id", "cls"), "asked")
     distinct_queries = classes.join(who.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
-    wanted = materialize(distinct_queries.repartition("cls").mapInArrow(take, schema_post), "taken")
+    wanted = materialize(distinct_queries.repartition("cls").mapInArrow(take, f"{schema_post}, place int"), "taken")
     postings = materialize(postings, "postings")
-    # blocks of bounded size on both sides
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("chunks")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / block).alias("turns")), "list")
-    left = postings.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("list", "chunk", "turn", "cls", "v")
-    right = wanted.join(sizes, "list").withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("list", "chunk", "turn", "cls", "v")
+
+    def met(turned: DataFrame) -> DataFrame:
+        """(query, cls, score): for each list and query the k + 1 best that
+        reach the query's least score, dealt in blocks of bounded size."""
+        sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("chunks")).join(turned.groupBy("list").agg(F.ceil(F.count("*") / block).alias("turns")), "list")
+        left = postings.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("list", "chunk", "turn", "cls", "v")
+        right = turned.join(sizes, "list").withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("list", "chunk", "turn", "cls", "v", "least")
+        keys = ["list", "chunk", "turn"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "query long, cls long, score double")
 
     def scored(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
         if len(a) and len(b):
             x, cls = np.stack(a["v"].to_numpy()), a["cls"].to_numpy()
             order = np.argsort(cls, kind="stable")
@@ -208,12 +215,17 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, list_rows: int = 128,
                 q = np.stack(part["v"].to_numpy())
                 s = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * nx)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-                out.append(pd.DataFrame({"query": np.repeat(part["cls"].to_numpy(), most), "cls": cls[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-
-    keys = ["list", "chunk", "turn"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "query long, cls long, score double")
-    near = near.groupBy("query", "cls").agg(F.max("score").alias("score"))
+                best = np.take_along_axis(s, top, 1)
+                row, col = np.nonzero(best >= part["least"].to_numpy()[:, None])
+                out.append(pd.DataFrame({"query": part["cls"].to_numpy()[row], "cls": cls[top[row, col]], "score": best[row, col]}))
+        return pd.concat(out)
+
+    # the nearest lists give each query a score that the others have to reach
+    first = materialize(met(wanted.where(F.col("place") < 2).select("list", "cls", "v", F.lit(-2.0).alias("least"))), "first")
+    reach = first.groupBy("query", "cls").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).where(F.col("r") == k + 1)
+    reach = reach.select(F.col("query").alias("cls"), (F.col("score") - 1e-12).alias("least"))
+    others = wanted.where(F.col("place") >= 2).join(reach, "cls", "left").select("list", "cls", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    near = first.union(met(others)).groupBy("query", "cls").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
     near = near.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).drop("r")
     each = near.join(classes.select("cls", "ids"), "cls").select(F.col("query").alias("cls"), "score", F.explode("ids").alias("vec_id"))
