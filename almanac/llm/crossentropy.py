@@ -97,8 +97,8 @@ class Model:
 
 def vocabulary(docs: DataFrame, most_words: int, pair_bits: int) -> Shape:
     counts = docs.select(F.col("text").cast("string")).mapInArrow(counted, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    top = counts.orderBy(F.desc("times"), "word").limit(most_words).select("word").toPandas()
-    return Shape(np.sort(top["word"].to_numpy(np.int64).view(U64)), pair_bits)
+    top = counts.orderBy(F.desc("times"), "word").limit(most_words).select("word").toArrow()
+    return Shape(np.sort(top["word"].to_numpy().astype(np.int64).view(U64)), pair_bits)
 
 
 def models(docs: DataFrame, target: DataFrame, shape: Shape, add: float = 0.5, history: float = 50.0) -> tuple[Model, Model]:
@@ -119,9 +119,10 @@ def models(docs: DataFrame, target: DataFrame, shape: Shape, add: float = 0.5, h
         for at in np.array_split(np.flatnonzero(sums[1]), 16):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["at", "target", "background"])
 
-    got = rows.mapInArrow(count, "at int, target long, background long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()
-    full = np.zeros((2, total))
-    full[:, got["at"].to_numpy()] = got[["target", "background"]].to_numpy(float).T
+    got = rows.mapInArrow(count, "at int, target long, background long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
+    full, at = np.zeros((2, total)), got["at"].to_numpy()
+    for k in (0, 1):
+        full[k, at] = got[k + 1].to_numpy()
     tokens = full[:, :words].sum(1)
     if tokens[0] and tokens[1]:
         full[1] *= tokens[0] / tokens[1]
