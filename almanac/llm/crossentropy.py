@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import hashing as hs
-from almanac.session import read
+from almanac.session import read, sized
 
 U64 = hs.U64
 
@@ -103,8 +103,8 @@ def vocabulary(docs: DataFrame, most_words: int, pair_bits: int) -> Shape:
 
 def models(docs: DataFrame, target: DataFrame, shape: Shape, add: float = 0.5, history: float = 50.0) -> tuple[Model, Model]:
     """The target's and the background's model; target: doc_ids."""
-    marked = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = target.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(marked), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     words, total = shape.size, 2 * shape.size + (1 << shape.pair_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
