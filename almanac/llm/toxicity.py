@@ -31,6 +31,7 @@ from almanac.session import read
 SECOND_PERSON = "you your yours yourself du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos usted ustedes ti tus".split()
 FEATURES = ("strong", "weak", "top", "sum", "rate", "hits", "near_you", "you", "capitals", "shouted", "punctuation", "exclaimed", "obfuscated", "doubled", "length", "words")
 BEGINNINGS = (4, 5, 6, 7, 8, 9)  # bytes
+SLICE = 1 << 20
 
 OTHER = np.ones(256, bool)  # what separates words: all but letters
 OTHER[ord("a") : ord("z") + 1] = OTHER[ord("A") : ord("Z") + 1] = OTHER[0x80:] = False
@@ -89,7 +90,7 @@ def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, texts with label 1, texts with label 0) of (text, label) rows."""
     for b in batches:
         label = np.asarray(b.column(1))
-        for lo, hi, data, offs in hs.slices(_lower(b.column(0))):
+        for lo, hi, data, offs in hs.slices(_lower(b.column(0)), SLICE):
             starts, ends, first = hs.words(data, offs, OTHER)
             doc = np.repeat(np.arange(hi - lo), np.diff(first))
             for h in terms(data, starts, ends):
@@ -105,7 +106,7 @@ def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
     plain = texts.fill_null("")
-    for lo, hi, data, offs in hs.slices(plain):
+    for lo, hi, data, offs in hs.slices(plain, SLICE):
         for sub_lo, sub_hi, lower, low_offs in hs.slices(_lower(plain.slice(lo, hi - lo)), 1 << 40):
             n = sub_hi - sub_lo
             starts, ends, first = hs.words(lower, low_offs, OTHER)
