@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Rows that go to a Python worker at once, where the session names no number:
+#: texts and pages are long, and a worker holds a batch several times over.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package's code to the executors, once for each application,
-    so that Python functions run there however the driver was started."""
+    so that Python functions run there however the driver was started; and bound
+    the batches that they get."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
