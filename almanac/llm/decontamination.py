@@ -49,8 +49,9 @@ class Items:
         for _, _, h, offs in shingled(pa.array(texts, pa.string()), k):
             h, offs = distinct(h, offs)
             self.sets += [h[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        words = [len((t or "").encode().split()) for t in texts]
-        self.words = np.asarray(words, int)
+        self.words = np.asarray([len((t or "").encode().split()) for t in texts], int)
+        for i in np.flatnonzero((self.words > 0) & (self.words < k)):  # as shingles of that width
+            self.sets[i] = next(iter(shingled(pa.array([texts[i]], pa.string()), int(self.words[i]))))[2]
         classes: dict[tuple[int, int], list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):  # items of under k words by their number of words
