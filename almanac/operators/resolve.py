@@ -6,6 +6,8 @@ score. Comparisons run inside blocks of one municipality and day, by equi-join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,30 +70,36 @@ def _alike(a: dict, b: dict) -> bool:
 def fold(events: DataFrame, any_member: bool = False) -> DataFrame:
     """(id, grupo): rows are taken in order of source and id; each joins the
     first group that it is alike, compared with what the group has gathered
-    (or, with any_member, with any of its rows), else it opens one. The order
-    matters, so a block is one task; collapse() by key beforehand keeps blocks
-    as small as a day of one place."""
-    rows = events.select("id", "fuente", "municipio", "day", "lugar", "orquestas", T.tokens(F.col("titulo")).alias("toks"))
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[dict]] = []
-        out = []
-        for r in pdf.sort_values(["fuente", "id"]).itertuples():
-            row = {"id": r.id, "lugar": r.lugar or "", "orq": set(r.orquestas), "toks": set(r.toks)}
-            for g in groups:
-                if any(_alike(m, row) for m in g):
-                    break
-            else:
-                g = []
-                groups.append(g)
-            if any_member or not g:
-                g.append(row)
-            else:
-                g[0]["orq"] |= row["orq"]
-            out.append((r.id, g[0]["id"]))
-        return pd.DataFrame(out, columns=["id", "grupo"])
-
-    return rows.groupBy("municipio", "day").applyInPandas(block, "id long, grupo long")
+    (or, with any_member, with any of its rows), else it opens one.
+
+    The order matters inside a block of one municipality and day. Blocks are
+    dealt by hash, sorted by Spark, and read as a stream that holds one block's
+    groups at a time; so there is no call for each of many small blocks."""
+    order = ["municipio", "day", "fuente", "id"]
+    rows = events.select(*order, "lugar", "orquestas", T.tokens(F.col("titulo")).alias("toks")).repartition("municipio", "day").sortWithinPartitions(*order)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, groups = None, []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if block != (r.municipio, r.day):
+                    block, groups = (r.municipio, r.day), []
+                row = {"id": r.id, "lugar": r.lugar or "", "orq": set(r.orquestas), "toks": set(r.toks)}
+                for g in groups:
+                    if any(_alike(m, row) for m in g):
+                        break
+                else:
+                    g = []
+                    groups.append(g)
+                if any_member or not g:
+                    g.append(row)
+                else:
+                    g[0]["orq"] |= row["orq"]
+                out.append((r.id, g[0]["id"]))
+            yield pd.DataFrame(out, columns=["id", "grupo"])
+
+    return rows.mapInPandas(stream, "id long, grupo long")
 
 
 def keeper(events: DataFrame, by: str) -> DataFrame:
