@@ -206,6 +206,29 @@ def test_losses_match_brute_force(spark, odd, none):
     assert crossentropy.cross_entropy_difference(none, target).count() == 0
 
 
+def test_losses_of_rare_words_are_exact(spark):
+    """Far more words and pairs than fixed arrays would tell apart."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"r{i}" for i in rng.integers(0, 60_000, 1_500)) for _ in range(60)]
+    texts += [texts[0], texts[7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(d,) for d in range(0, 60, 4)], "doc_id long")
+    got = {r["doc_id"]: r for r in crossentropy.cross_entropy_difference(docs, target).collect()}
+    seqs = [t.split() for t in texts]
+    of, size = [range(0, 60, 4), range(62)], len({w for s in seqs for w in s}) + 2
+    counts = [[Counter(x for d in ds for x in xs(seqs[d])) for xs in (lambda s: s, lambda s: [None, *s[:-1]], lambda s: zip([None, *s], s, strict=False))] for ds in of]
+    totals = [sum(c[0].values()) for c in counts]
+    for d, s in enumerate(seqs):
+        loss = []
+        for (uni, his, two), k in zip(counts, (1, totals[0] / totals[1]), strict=True):
+            part = 0.0
+            for a, b in zip([None, *s], s, strict=False):
+                low = (k * uni[b] + 0.5) / (totals[0] + 0.5 * size)
+                part -= np.log((k * two[a, b] + 50 * low) / (k * his[a] + 50))
+            loss.append(part / len(s))
+        assert np.allclose([got[d]["target_loss"], got[d]["background_loss"], got[d]["score"]], [*loss, loss[1] - loss[0]], atol=1e-9)
+
+
 def test_packing_round_trips_and_fills(spark, documents, odd, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
