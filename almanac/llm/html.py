@@ -4,8 +4,10 @@ A page becomes a flat list of text blocks, one for each stretch of text between
 block-level tags. Features of a block are its words and link density, those of
 the blocks before and after it, and where it stands: inside an article or main
 element, inside one whose tag, role, class or id names a menu, header, footer,
-sidebar, notice, advert or comments. A decision tree, trained on the small
-labelled table below, says which blocks are main text.
+sidebar, notice, advert or comments. The text of an inline element that is named
+so is left out, and what stands around it stays one block. An article or main
+element inside a wrapper that only its class or id names starts anew. A decision
+tree, trained on the small labelled table below, says which blocks are main text.
 
 Each page is read by itself where it is, whole; nothing is shuffled.
 
@@ -37,10 +39,14 @@ INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 BOILER = "nav footer aside form menu dialog".split()
 NAMED = "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice alert popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments disqus respond reply replies discussion login search pagination pager copyright legal toolbar".split()
+#: Names of parts that hold other articles.
+OTHERS = "comment comments disqus respond reply replies discussion related recommended".split()
+#: Elements that the next of their kind ends.
+IMPLIED = "p li dt dd tr td th".split()
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_boiler", "heading")
@@ -78,19 +84,23 @@ def tree(depth: int = 6) -> Trees:
     return boost(table[:, :-1], table[:, -1], rounds=1, rate=1.0, depth=depth, least=1.0, ridge=0.05)
 
 
-def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
-    """header names a part of the page outside, of the article inside."""
+def _boiler(tag: str, attributes: str, in_article: bool) -> int:
+    """0: not such a part; 1: named so by class or id alone; 2: certainly one.
+    header names a part of the page outside, of the article inside."""
     if tag in BOILER or (tag == "header" and not in_article):
-        return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 2
+    if "=" not in attributes and "hidden" not in attributes.lower():
+        return 0
+    named = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
-            return True
-        if key in ("class", "id") and tag not in ("body", "html", "article", "main") and any(w in NAMED for w in NAME.findall(value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            found = [w for w in NAME.findall(value) if w in NAMED]
+            if found:
+                named = max(named, 2 if any(w in OTHERS for w in found) else 1)
+    return named
 
 
 def flat(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
@@ -99,19 +109,35 @@ def flat(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     out: list[tuple[str, int, int, bool, bool, bool]] = []
     text: list[str] = []
     linked = [0]
-    open_: list[tuple[str, bool, bool]] = []  # tag, in article, in boilerplate
+    # tag, then what holds again after it: in article, in boilerplate, and the
+    # text and links before it of the block around a named inline element
+    open_: list[tuple[str, bool, int, tuple[list[str], int] | None]] = []
     state = {"link": 0, "heading": 0}
-    article = boiler = False
+    article, boiler = False, 0
 
     def close() -> None:
         if text:
             joined = SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
                 n = joined.count(" ") + 1
-                out.append((joined, n, min(n, linked[0]), article, boiler, state["heading"] > 0))
+                out.append((joined, n, min(n, linked[0]), article, boiler > 0, state["heading"] > 0))
             text.clear()
         linked[0] = 0
 
+    def leave(k: int) -> None:
+        """Close the k-th open element and all in it."""
+        nonlocal article, boiler
+        while len(open_) > k:
+            tag, was_article, was_boiler, around = open_.pop()
+            if tag not in INLINE:
+                close()
+            article, boiler = was_article, was_boiler
+            if around:
+                text[:], linked[0] = around
+
+    def last(tag: str) -> int:
+        return next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1)
+
     at, end = 0, len(html)
     while at < end:
         m = TAG.search(html, at)
@@ -131,34 +157,51 @@ def flat(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 text.append(" ")
             elif tag == "a":
                 state["link"] = 0 if closing else 1
-            if closing or tag in VOID or not m[3]:
+            if tag in VOID:
                 continue
-            if not _boiler(tag, m[3], article):
+            within = last(tag)  # only named ones, and those of their kind in them, are kept
+            if within >= 0 and (closing or tag == "a"):
+                leave(within)
+                within = last(tag)
+            if closing:
                 continue
+            named = _boiler(tag, m[3], article) if m[3] else 0
+            if named:
+                open_.append((tag, article, boiler, (text[:], linked[0])))
+                text.clear()
+                linked[0] = 0
+                boiler = max(boiler, named)
+            elif within >= 0:
+                open_.append((tag, article, boiler, None))
+            continue
         if tag in SILENT and not closing and not m[3].endswith("/"):
             close()
             stop = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        if tag not in INLINE:
-            close()
-            state["link"] = 0
-            if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-                state["heading"] = 0 if closing else 1
-        if tag in VOID or m[3].endswith("/"):
-            continue
+        # what ends here: this element, or a paragraph or one of its kind before it
         if closing:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    _, article, boiler = open_[k]
-                    del open_[k:]
-                    break
-        elif tag not in ("p", "li", "td", "tr", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6") or m[3]:
-            if tag in INLINE:
-                close()
-            open_.append((tag, article, boiler))
-            boiler = boiler or _boiler(tag, m[3], article)
-            article = article or tag in ("article", "main")
+            k = last(tag)
+        else:
+            k = len(open_) - 1
+            while k >= 0 and open_[k][0] in INLINE:
+                k -= 1
+            if k >= 0 and open_[k][0] != "p" and not (tag in IMPLIED and open_[k][0] == tag):
+                k = -1
+        if k >= 0:
+            leave(k)
+        close()
+        state["link"] = 0
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            state["heading"] = 0 if closing else 1
+        if closing or tag in VOID or m[3].endswith("/"):
+            continue
+        open_.append((tag, article, boiler, None))
+        if tag == "main" or (tag == "article" and not article):
+            boiler = 0 if boiler == 1 else boiler
+        boiler = max(boiler, _boiler(tag, m[3], article))
+        article = article or tag in ("article", "main")
+    leave(0)
     close()
     return out
 

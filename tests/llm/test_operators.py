@@ -119,6 +119,24 @@ def test_html_keeps_the_article_alone(spark):
         assert len(plain) == len(r["text"].split())
 
 
+def test_html_named_inline_parts_end_where_they_end():
+    text = lambda x: html.extracted(x, html.tree())
+    for mark in ('a class="share" href="x"', 'span class="ad"', 'i aria-hidden="true"', "b hidden"):
+        tag = mark.split()[0]
+        assert text(f"<article><p>A</p><p>see <{mark}>share</{tag}> this</p><p>rest of it</p></article>") == "A\nsee this\nrest of it"
+        assert text(f"<article><p>see <{mark}>share</p><p>rest of it</p></article>") == "see\nrest of it"
+        assert text(f"<article><div>see <{mark}>share</div><p class='x'>rest of it</p></article>") == "see\nrest of it"
+    assert text('<article><p>one <span class="ad">buy <span>now</span> or never</span> two</p></article>') == "one two"
+    assert text('<article><p>one <a class="share" href="x">share <a href="y">two</a> three</p></article>') == "one two three"
+    assert text('<article><div>one <span class="ad"><p>buy</p> now</span> two</div><p>three</p></article>') == "one two\nthree"
+    for kept in ('style="overflow:hidden"', 'title="hidden gems"', 'href="/hidden/x"', "data-x='a role=menu b'", 'title="class=ad"', 'data-class="ad"', 'aria-hidden="false"'):
+        assert text(f"<article><div {kept}><p>one two</p></div><p>three</p></article>") == "one two\nthree"
+    assert text('<article><div CLASS=ad>buy</div><div HIDDEN>gone</div><p>three</p></article>') == "three"
+    assert text('<div class="layout sidebar"><p>Side</p><article><p>one two</p></article></div>') == "one two"
+    assert text('<div id="overlay"><main><p>one two</p><div class="ad">buy</div></main></div>') == "one two"
+    assert text('<div hidden><article><p>gone</p></article></div><article><p>one</p><div class="comments"><article><p>nice</p></article></div></article>') == "one"
+
+
 def brute_windows(texts, w=35):
     seen = Counter(tuple(x[i : i + w]) for x in map(words, texts) for i in range(len(x) - w + 1))
     out = []
