@@ -129,49 +129,51 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
 # --------------------------------------------------------------- packing
 def best_fit(lengths: np.ndarray, cap: Capacity, rule: str = "residual") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each length: bin and place in it; and the tokens that each bin has
-    left. Open bins are listed by tokens left; a bit mask tells which lists
-    have bins, so that the next level with room is found at once."""
+    left. Open bins are kept in the order of tokens left, of equal ones the
+    newest first, which is also how ties are broken. Every bin with room is
+    scored, but under "residual" those whose tokens alone score no less than
+    the best found."""
     wt, wd, wa = cap.weights
     order = np.argsort(-lengths, kind="stable")
     bins, places = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    left, docs, attention = [], [], []
-    levels: list[list[int]] = [[] for _ in range(cap.tokens + 1)]
-    mask = 0
+    left: list[int] = []
+    open_, m = np.zeros((4, 1024), np.int64), 0  # tokens, documents, attention; bin
     for i in order.tolist():
         n = int(lengths[i])
         if n > cap.tokens or n * n > cap.attention or cap.documents < 1:
             raise ValueError(f"a piece of {n} tokens fits into no sequence")
-        best, score, looked, above = -1, 0.0, 0, mask >> n << n
-        while above and looked < 4:
-            level = (above & -above).bit_length() - 1
-            above &= above - 1
-            for b in reversed(levels[level]):
-                if attention[b] >= n * n:
-                    r = ((left[b] - n) / cap.tokens, (docs[b] - 1) / cap.documents, (attention[b] - n * n) / cap.attention)
-                    if rule == "dot":
-                        s = -(wt * n / cap.tokens * left[b] / cap.tokens + wd / cap.documents * docs[b] / cap.documents + wa * n * n / cap.attention * attention[b] / cap.attention)
-                    else:
-                        s = wt * r[0] ** 2 + wd * r[1] ** 2 + wa * r[2] ** 2
-                    if best < 0 or s < score:
-                        best, score = b, s
-                    looked += 1  # a level without a feasible bin does not count
-                    break
+        best, score = -1, np.inf
+        at, step = int(open_[0, :m].searchsorted(n)), 64
+        while at < m:
+            if rule != "dot" and wt * ((int(open_[0, at]) - n) / cap.tokens) ** 2 >= score:
+                break
+            to = m if rule == "dot" else min(m, at + step)
+            t, d, a = open_[:3, at:to]
+            if rule == "dot":
+                s = -(wt * n / cap.tokens * t / cap.tokens + wd / cap.documents * d / cap.documents + wa * n * n / cap.attention * a / cap.attention)
+            else:
+                s = wt * ((t - n) / cap.tokens) ** 2 + wd * ((d - 1) / cap.documents) ** 2 + wa * ((a - n * n) / cap.attention) ** 2
+            s[a < n * n] = np.inf
+            k = int(s.argmin())
+            if s[k] < score:
+                best, score = at + k, s[k]
+            at, step = to, 4 * step
         if best < 0:
-            best = len(left)
+            if m == open_.shape[1]:
+                open_ = np.concatenate([open_, np.zeros_like(open_)], 1)
+            best, m = m, m + 1
+            open_[:, best] = cap.tokens, cap.documents, cap.attention, len(left)
             left.append(cap.tokens)
-            docs.append(cap.documents)
-            attention.append(cap.attention)
+        t, d, a, b = open_[:, best].tolist()
+        bins[i], places[i] = b, cap.tokens - t
+        left[b] = t - n
+        if t > n and d > 1 and a > n * n:
+            to = int(open_[0, :best].searchsorted(t - n))
+            open_[:, to + 1 : best + 1] = open_[:, to:best].copy()
+            open_[:, to] = t - n, d - 1, a - n * n, b
         else:
-            levels[left[best]].remove(best)
-            if not levels[left[best]]:
-                mask &= ~(1 << left[best])
-        bins[i], places[i] = best, cap.tokens - left[best]
-        left[best] -= n
-        docs[best] -= 1
-        attention[best] -= n * n
-        if docs[best] and left[best] and attention[best]:
-            levels[left[best]].append(best)
-            mask |= 1 << left[best]
+            open_[:, best : m - 1] = open_[:, best + 1 : m].copy()
+            m -= 1
     return bins, places, np.asarray(left, np.int64)
 
 

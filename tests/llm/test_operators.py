@@ -274,6 +274,31 @@ def test_packing_round_trips_and_fills(spark, documents, odd, none):
     assert max(Counter(bins.tolist()).values()) <= 2
 
 
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+def test_packing_takes_the_best_of_all_open_sequences(rule):
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(rng.lognormal(5.5, 1.2, 1_500).astype(int) + 1, 4096)
+    for cap in (packing.Capacity(), packing.Capacity(documents=5, attention=4096 * 4096 // 2)):
+        some = lengths[lengths**2 <= cap.attention]
+        bins, places, left = packing.best_fit(some, cap, rule)
+        (wt, wd, wa), state = cap.weights, {}
+
+        def score(n, x):
+            if rule == "dot":
+                return -(wt * n / cap.tokens * x[0] / cap.tokens + wd / cap.documents * x[1] / cap.documents + wa * n * n / cap.attention * x[2] / cap.attention)
+            return wt * ((x[0] - n) / cap.tokens) ** 2 + wd * ((x[1] - 1) / cap.documents) ** 2 + wa * ((x[2] - n * n) / cap.attention) ** 2
+
+        for i in np.argsort(-some, kind="stable").tolist():
+            n, b = int(some[i]), int(bins[i])
+            room = [score(n, x) for x in state.values() if x[0] >= n and x[1] >= 1 and x[2] >= n * n]
+            assert (b in state) == bool(room)
+            x = state.setdefault(b, [cap.tokens, cap.documents, cap.attention])
+            assert places[i] == cap.tokens - x[0] and (not room or score(n, x) <= min(room) + 1e-12)
+            x[0], x[1], x[2] = x[0] - n, x[1] - 1, x[2] - n * n
+            assert min(x) >= 0
+        assert left.tolist() == [state[b][0] for b in range(len(state))]
+
+
 def shingles(text, k):
     w = (text or "").encode().translate(FOLD).split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
