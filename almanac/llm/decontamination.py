@@ -5,8 +5,10 @@ c a power of two. For each class a document is cut into segments of 2c
 shingles, one each c, so that a copy of an item of the class lies whole in one
 of them, however long the document is; in a segment the item's Jaccard
 similarity is bounded below, and `registers` minima find it: at least one is
-shared except with probability (1 - J)^registers, 1e-5 for an item of which
-`threshold` is there, at the worst size of its class. Segment minima are
+shared except with probability (1 - J)^registers, 1.4e-6 for an item of which
+`threshold` 0.8 is there, at the worst size of its class (0.4c of 2.1c). Items
+of at most SMALL shingles are looked up exactly instead: each document that has
+one of an item's shingles is a candidate. Segment minima are
 minima of block minima, so all classes together cost little more than one.
 Each candidate is verified by exact containment: the share of the item's
 distinct shingles that the whole document has.
@@ -37,11 +39,13 @@ from almanac.session import read
 
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 U64 = hs.U64
+SMALL = 8
 
 
 class Items:
     """A block of items: for each class, register minima in order with their
-    items, and each item's distinct shingles."""
+    items; for small items, by width, all shingles in order with theirs; and
+    each item's distinct shingles."""
 
     def __init__(self, ids: list, texts: list, k: int, registers: int):
         self.k, self.registers, self.ids = k, registers, ids
@@ -53,21 +57,44 @@ class Items:
         for i in np.flatnonzero((self.words > 0) & (self.words < k)):  # as shingles of that width
             self.sets[i] = next(iter(shingled(pa.array([texts[i]], pa.string()), int(self.words[i]))))[2]
         classes: dict[tuple[int, int], list[int]] = {}
+        small: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):  # items of under k words by their number of words
                 width = min(k, self.words[i])
-                classes.setdefault((width, 1 << max(3, int(len(s) - 1).bit_length())), []).append(i)
+                if len(s) <= SMALL:
+                    small.setdefault(width, []).append(i)
+                else:
+                    classes.setdefault((width, 1 << int(len(s) - 1).bit_length()), []).append(i)
+        self.small = {w: self.table(np.concatenate([self.sets[i] for i in of]), np.repeat(of, [len(self.sets[i]) for i in of])) for w, of in small.items()}
         self.classes = {}
         for key, of in classes.items():
             tables = []
             for j in range(registers):
                 keys = np.asarray([hs.permuted(self.sets[i], j).min() for i in of], U64)
-                order = np.argsort(keys, kind="stable")
-                bits = np.zeros(1 << 16, bool)
-                bits[(keys & U64(0xFFFF)).astype(np.int64)] = True
-                tables.append((keys[order], np.asarray(of)[order], bits))
+                tables.append(self.table(keys, np.asarray(of)))
             self.classes[key] = tables
 
+    @staticmethod
+    def table(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, their items, and which last 16 bits occur."""
+        order = np.argsort(keys, kind="stable")
+        bits = np.zeros(1 << 16, bool)
+        bits[(keys & U64(0xFFFF)).astype(np.int64)] = True
+        return keys[order], items[order], bits
+
+    def small_candidates(self, h: np.ndarray, offs: np.ndarray, width: int) -> set[tuple[int, int]]:
+        """(document, item) of small items that share a shingle."""
+        if width not in self.small or not len(h):
+            return set()
+        keys, items, bits = self.small[width]
+        at = np.flatnonzero(bits[(h & U64(0xFFFF)).astype(np.int64)])
+        lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+        n = hi - lo
+        doc = np.searchsorted(offs, np.repeat(at, n), "right") - 1
+        item = items[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)]
+        both = np.unique(doc * len(self.sets) + item)
+        return set(zip((both // len(self.sets)).tolist(), (both % len(self.sets)).tolist(), strict=True))
+
     @np.errstate(over="ignore")
     def candidates(self, h: np.ndarray, offs: np.ndarray, width: int) -> set[tuple[int, int]]:
         """(document, item) of items of that shingle width."""
@@ -106,9 +133,9 @@ class Items:
 
     def search(self, ids: pa.Array, texts: pa.Array, threshold: float) -> list[tuple]:
         out = []
-        for width in sorted({w for w, _ in self.classes}):
+        for width in sorted({w for w, _ in self.classes} | set(self.small)):
             for lo, _hi, h, offs in shingled(texts, width, 1 << 20):
-                found = self.candidates(h, offs, width)
+                found = self.candidates(h, offs, width) | self.small_candidates(h, offs, width)
                 sets: dict[int, np.ndarray] = {}
                 for d, i in sorted(found):
                     if d not in sets:

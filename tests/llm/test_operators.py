@@ -402,6 +402,21 @@ def test_containment_matches_brute_force(spark, documents, odd, none):
     assert decontamination.contained(none, some).count() == 0 and decontamination.contained(odd, some.limit(0)).count() == 0
 
 
+def test_containment_finds_each_copy_of_a_small_item():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    items = [" ".join(f"i{j}_{k}" for k in range(n)) for j, n in enumerate((5, 6, 3, 1, 12))]
+    index = decontamination.Items(list(range(5)), items, 5, 64)
+    docs, want = [], set()
+    for d in range(2_000):
+        w = [f"d{d}_{i}" for i in range(60)]
+        w[(p := int(rng.integers(0, 60))) : p] = items[d % 5].split()
+        docs.append(" ".join(w))
+        want.add((d, d % 5))
+    assert {(d, i) for d, i, *_ in index.search(pa.array(range(2_000)), pa.array(docs), 0.8)} == want
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     import corpus_pipeline
     from almanac.session import materialize
