@@ -180,10 +180,14 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex, window: int = WIN
     return whole.union(single)
 
 
+def spans(repeats: DataFrame) -> DataFrame:
+    """(doc, print, spans): one set of spans, which serves all equal rows."""
+    return repeats.groupBy("doc", "print").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+
+
 def removed(docs: DataFrame, repeats: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and the kept words as text."""
-    per = repeats.groupBy("doc", "print").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    joined = docs.join(per, ["doc", "print"], "left").select(F.when(F.col("doc") != -(2**62), F.col("doc")).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "spans")
+    joined = docs.join(spans(repeats), ["doc", "print"], "left").select(F.when(F.col("doc") != -(2**62), F.col("doc")).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,6 +168,18 @@ def test_substrings_match_brute_force(spark, documents, odd, none):
     assert substrings.deduplicated(none).count() == 0
 
 
+def test_equal_rows_share_one_set_of_spans(spark):
+    rows = [(4, " ".join(f"e{i}" for i in range(50)))] * 40
+    docs = substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = substrings.FingerprintIndex(spark)
+    index.append(substrings.fingerprints(docs))
+    repeats = substrings.repeated_windows(docs, index).persist()
+    assert repeats.count() > repeats.distinct().count()
+    got = substrings.spans(repeats).selectExpr("size(spans) as n").collect()
+    assert [r["n"] for r in got] == [repeats.distinct().count()]
+    assert {r["n_removed"] for r in substrings.removed(docs, repeats).collect()} == {50}
+
+
 def test_index_matches_history_and_compacts(spark, documents):
     rows = substrings.keyed(documents)
     index = substrings.FingerprintIndex(spark, most_runs=2)
