@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
-#: Rows that go to a Python worker at once, where the session names no number:
-#: texts and pages are long, and a worker holds a batch several times over.
-BATCH_ROWS = 1_000
+#: Rows and bytes that go to a Python worker at once, where the session names
+#: none: texts and pages are long, and a worker holds a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
+_MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package's code to the executors, once for each application,
     so that Python functions run there however the driver was started; and bound
-    the batches that they get."""
-    if not spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    the batches that they get. What the session has set stays."""
+    for name, bound in BATCH.items():
+        if not spark.conf.get(name, None):
+            spark.conf.set(name, bound)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -42,10 +44,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in
-    spark.checkpoint.dir; where that is unset (tests), a folder under /tmp."""
+    spark.checkpoint.dir. Where that is unset, a local session (one machine, as
+    in tests) gets a folder of its own; on a cluster it has to be named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints/almanac"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="almanac-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -55,10 +60,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables materialize has written so far, for forget."""
+    return len(_MADE)
+
+
+def forget(spark: SparkSession, since: int, most: int) -> None:
+    """Delete the written tables numbered since to most - 1: those of a job
+    whose result is written too."""
+    for path in _MADE[since:most]:
+        remove(spark, path)
+    _MADE[since:most] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def sized(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """df, marked for broadcast only if it has at most most_rows rows; beyond
     that Spark shuffles. df should be narrow and cheap to read twice."""
