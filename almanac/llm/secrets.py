@@ -28,10 +28,12 @@ same result; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.session import materialize, read, sized
+from almanac.session import materialize, read, sized, unused
 
 #: The base patterns, the group that is measured, its least length.
 BASE = {
@@ -42,35 +44,67 @@ BASE = {
 WEAK = {
     "endpoint": (r"(?i)\b(?:https?|ssh|s3|postgres|mysql|amqp|redis|mongodb)://[A-Za-z0-9._~:@/?&=%+-]+", 0, 10),
     "ident": (r"""(?i)\b(?:user(?:name)?|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 1, 3),
-    "opaque": (r"\b(?=[A-Za-z0-9+/_]*[0-9])(?=[A-Za-z0-9+/_]*[A-Z])(?=[A-Za-z0-9+/_]*[a-z])[A-Za-z0-9+/_]{20,}", 0, 20),
+    "opaque": (r"[A-Za-z0-9+/_]{20,}", 0, 20),
 }
+#: What a match must have besides; of each of these one character.
+MIXED = {"opaque": ("[0-9]", "[A-Z]", "[a-z]")}
 ORDER = [*BASE, *WEAK]
 SPAN = "array<struct<start:int,end:int,rank:int>>"
 
 
-def matches(text: Column, kind: str) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def matches(text: Column, kind: str, chunk: int = 256) -> Column:
     """Spans of one kind: gaps and matches alternate, so a match starts after
-    all gaps up to it and all matches before it."""
+    all gaps up to it and all matches before it. Each pattern reads a text once
+    and never looks ahead; where it is met, once more for the gaps. Positions
+    are summed in chunks, so that work grows with the number of matches."""
     pattern, group, least = (BASE | WEAK)[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    size = F.transform(found, F.char_length)
-    gap = F.transform(F.split(text, pattern, -1), F.char_length)
-    kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    none = F.array().cast(SPAN)
+
+    def enough(m: Column) -> Column:
+        met = F.char_length(F.regexp_extract(m, pattern, group) if group else m) >= least
+        for p in MIXED.get(kind, ()):
+            met = met & m.rlike(p)
+        return met
+
+    def part(gap: Column, m: Column) -> Column:
+        size = F.char_length(m)
+        return F.struct((F.char_length(gap) + size).alias("step"), size.alias("size"), enough(m).alias("kept"))
+
+    def spans(chunk_: Column, base: Column) -> Column:
+        """The spans of a chunk that starts at base."""
+        zero = F.struct(base.alias("at"), none.alias("spans"))
+
+        def step(state: Column, x: Column) -> Column:
+            end = state["at"] + x["step"]
+            span = F.array(F.struct((end - x["size"]).alias("start"), end.alias("end"), F.lit(ORDER.index(kind)).alias("rank")))
+            return F.struct(end.alias("at"), F.when(x["kept"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(ORDER.index(kind)).alias("rank")))
-        return F.struct(end.alias("at"), F.when(x["kept"] >= least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        return F.aggregate(chunk_, zero, step, lambda s: s["spans"])
 
-    parts = F.arrays_zip(F.slice(gap, 1, F.size(size)).alias("gap"), size.alias("size"), kept.alias("kept"))
-    spans = F.aggregate(parts, zero, step, lambda s: s["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+    def chunked(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / chunk).cast("int")), lambda c: F.slice(parts, c * chunk + 1, F.lit(chunk)))
+
+    def placed(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["step"]))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        first = F.aggregate(totals, zero, lambda s, t: F.struct((s["at"] + t).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        return F.flatten(F.zip_with(chunks, first, spans))
+
+    def all_of(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return F.when(F.size(found) > 0, let(F.zip_with(gaps, found, part), lambda p: let(chunked(p), placed))).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), all_of)
 
 
 def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """(doc_id, copies, base, added) for each distinct row: spans in order."""
+    """(doc_id, print, base, added) for each row: spans in order; print tells the
+    texts of a repeated doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     found = rows.select(
@@ -80,7 +114,7 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     )
     # by row, so that equal rows stay apart until they are joined again
     found = materialize(found.select("doc_id", "print", F.array_sort(F.concat(*BASE)).alias("base"), F.array_sort(F.concat(*WEAK)).alias("weak")), "parts")
-    keyed = found.where(F.size("weak") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "print", F.array_distinct(F.concat("base", "weak")).alias("parts")).dropDuplicates(["doc", "print"])
+    keyed = found.where(F.size("weak") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "print", F.concat("base", "weak").alias("parts")).dropDuplicates(["doc", "print"])
     parts = keyed.select("doc", "print", F.explode("parts").alias("p")).select("doc", "print", "p.*")
     secret = F.col("rank").isin(ORDER.index("assign"), ORDER.index("hex"))
     kinds = {"secret": secret, "access": F.col("rank") == ORDER.index("access"), **{k: F.col("rank") == ORDER.index(k) for k in WEAK}}
@@ -121,27 +155,36 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == ORDER.index(kind))).cast("long")
 
 
-def masked(docs: DataFrame, scope: int = 200, mark: str = "[secret]") -> DataFrame:
+def masked(docs: DataFrame, scope: int = 200, mark: str = "[secret]", piece: int = 4096) -> DataFrame:
     """docs with each base span and each linked opaque value replaced by
     `mark`; overlapping spans are one. All columns and rows are kept; a null
-    text stays null."""
+    text stays null. Texts are rewritten in pieces of `piece` characters, each
+    with the spans that reach into it."""
     found = scan(docs, scope)
     opaque = F.filter("added", lambda s: s["rank"] == ORDER.index("opaque"))
-    hits = materialize(found.withColumn("hits", ordered(F.concat("base", opaque))).where(F.size("hits") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("print").alias("_print"), F.col("hits").alias("_hits")).dropDuplicates(["_doc", "_print"]), "hits")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_print", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.array(F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
-
-    def done(state: Column) -> Column:
-        rest = F.substring(F.col("text"), state["at"] + 1, F.char_length("text"))
-        return F.concat(F.array_join(state["out"], ""), rest)
-
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.aggregate("_hits", zero, step, done))
-    return keyed.join(sized(hits), ["_doc", "_print"], "left").withColumn("text", text).select(*docs.columns)
+    doc, print_, spans = unused(docs, "doc", "print", "hits")
+    hits = found.withColumn("hits", ordered(F.concat("base", opaque))).where(F.size("hits") > 0)
+    hits = materialize(hits.select(F.coalesce("doc_id", F.lit(-1)).alias(doc), F.col("print").alias(print_), F.col("hits").alias(spans)).dropDuplicates([doc, print_]), "hits")
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(print_, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+    def rewritten(part: Column, low: Column) -> Column:
+        """A piece that starts at low. A span that began before it has its mark
+        there; one that begins inside another has none."""
+        size = F.char_length(part)
+        near = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < low + size))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(state: Column, s: Column) -> Column:
+            start, end = s["start"] - low, F.least(s["end"] - low, size)
+            fresh = start >= state["at"]
+            told = F.array(F.substring(part, state["at"] + 1, start - state["at"]), F.lit(mark))
+            return F.struct(F.greatest(state["at"], end).alias("at"), F.when(fresh, F.concat(state["out"], told)).otherwise(state["out"]).alias("out"))
+
+        return F.aggregate(near, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(part, s["at"] + 1, size)))
+
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, lambda p, i: rewritten(p, i * piece)), ""))
+    return keyed.join(sized(hits), [doc, print_], "left").withColumn("text", text).select(*docs.columns)
 
 
 def op8_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
