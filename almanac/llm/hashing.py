@@ -7,6 +7,7 @@ work on slices of a batch: some documents' bytes side by side.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+@cache
+def _order(j: int) -> tuple[np.uint64, np.uint64]:
+    a, b = np.random.default_rng(1009 + j).integers(1, 2**63, 2, dtype=np.uint64)
+    return a | U64(1), b
+
+
 @np.errstate(over="ignore")
 def permuted(h: np.ndarray, j: int) -> np.ndarray:
     """The j-th of many orders of hashes, for minima."""
-    a, b = np.random.default_rng(1009 + j).integers(1, 2**63, 2, dtype=np.uint64)
-    x = (h ^ b) * (a | U64(1))
+    a, b = _order(j)
+    x = (h ^ b) * a
     return x ^ (x >> U64(29))
 
 

@@ -4,7 +4,8 @@ A document's set is its distinct k-word shingles. Register j of its sketch is
 floor(1 - log_b x), cut to 16 bits, of the least x among exponential variates
 of rate `RATE`, one for each shingle: the spaced, truncated minima of SetSketch,
 so that sketches of parts merge by the larger register. Documents of equal
-sets are one class from the start.
+sets (equal in size and in 128 bits, the sum of two mixes of all hashes) are one
+class from the start; a class is numbered when the table of classes is written.
 
 1. Registers are banded (`bands` of `rows`); classes that share a band key are
    candidates. At similarity 0.8 all 40 bands of 5 miss with probability 1e-7.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from almanac.llm import hashing as hs
 from almanac.llm.graph import components
 from almanac.llm.shingles import distinct, shingled
-from almanac.session import materialize, read, sized
+from almanac.session import materialize, read, sized, unused
 
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 U64 = hs.U64
@@ -99,19 +100,21 @@ def prints(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(n, hi, lo, shingles): the sorted distinct hashes of each document."""
+    """(cls, shingles): the sorted distinct hashes of each (text, cls, hi, lo)
+    whose text is of that class."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _lo, _hi, h, offs in shingled(b.column(0), k, 1 << 20):
+            cls, hi_, lo_ = (b.column(i).to_numpy() for i in (1, 2, 3))
+            for first, _last, h, offs in shingled(b.column(0), k, 1 << 20):
                 h, offs = distinct(h, offs)
-                for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                    if y > x:
-                        s = h[x:y]
-                        hi, lo = (int(hs.mix(s ^ hs.MULTIPLIER[i]).sum(dtype=U64).view(np.int64)) for i in (0, 1))
-                        yield pa.RecordBatch.from_arrays([pa.array([y - x]), pa.array([hi]), pa.array([lo]), pa.array([s.tobytes()], pa.binary())], ["n", "hi", "lo", "shingles"])
+                for i, (x, y) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                    s = h[x:y]
+                    named = [int(hs.mix(s ^ hs.MULTIPLIER[j]).sum(dtype=U64).view(np.int64)) for j in (0, 1)]
+                    if y > x and named == [hi_[first + i], lo_[first + i]]:
+                        yield pa.RecordBatch.from_arrays([pa.array([cls[first + i]]), pa.array([s.tobytes()], pa.binary())], ["cls", "shingles"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(rows, "n long, hi long, lo long, shingles binary")
+    return docs.select(F.col("text").cast("string"), "cls", "hi", "lo").mapInArrow(rows, "cls long, shingles binary")
 
 
 def similar(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -129,7 +132,7 @@ def likely(pairs: DataFrame, percent: int) -> DataFrame:
             ra, rb = (np.stack([np.frombuffer(x, "<u2") for x in batch.column(i).to_pylist()]) for i in (4, 5))
             na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
             t = percent / 100
-            keep = likelihood(ra, rb, na, nb) >= t - 5 * np.sqrt(t * (1 - t) / ra.shape[1])
+            keep = likelihood(ra, rb, na, nb) >= t - 7 * np.sqrt(t * (1 - t) / ra.shape[1])
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(rows, "a long, b long")
@@ -215,8 +218,10 @@ def rest_links(rest: DataFrame, shingles: DataFrame, percent: int, block: int =
 # -------------------------------------------------------------------- whole
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    found = materialize(prints(docs, k, bands * rows).withColumn("cls", F.when(F.col("n") > 0, F.xxhash64("n", "hi", "lo"))), "prints")
-    classes = materialize(found.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+    name = ["n", "hi", "lo"]
+    found = materialize(prints(docs, k, bands * rows), "prints")
+    classes = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*name).agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbered for good once written
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * rows * i + 1, 2 * rows)) for i in range(bands)])
     band = classes.select("cls", F.explode(keys).alias("key"))
     shared = band.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -232,9 +237,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sized = star.join(right, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).join(left, "a")
     pairs = materialize(likely(sized, percent), "pairs")
 
-    wanted = members.select("cls").distinct().join(classes.select("cls", "least"), "cls").select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    shingles = materialize(sets(texts, k).select(F.xxhash64("n", "hi", "lo").alias("cls"), "shingles").dropDuplicates(["cls"]), "sets")
+    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("least").alias("doc_id"), "cls", "hi", "lo")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    shingles = materialize(sets(texts, k).dropDuplicates(["cls"]), "sets")
 
     sa, sb = (shingles.select(F.col("cls").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     links = materialize(verified(pairs.join(sa, "a").join(sb, "b"), percent), "near")
@@ -252,17 +257,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     owner = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     least = owner.groupBy("root").agg(F.min("least").alias("component"))
-    named = owner.join(least, "root").select("cls", "component")
-    component = F.when(F.col("cls").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = owner.join(least, "root").join(classes.select("cls", *name), "cls").select(*name, "component")
+    component = F.when(F.col("component").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return found.select("doc_id", *name).join(named, name, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs less the rows that are not kept, all columns kept. Rows that share
     a doc_id stay or go together."""
     found = near_duplicates(docs, k, percent)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (left,) = unused(docs, "gone")
+    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias(left)).distinct(), "gone")
+    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col(left), "left_anti")
 
 
 def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
