@@ -13,9 +13,10 @@ minima of block minima, so all classes together cost little more than one.
 Each candidate is verified by exact containment: the share of the item's
 distinct shingles that the whole document has.
 
-The documents are never shuffled: items go to them in blocks of `block_items`,
-one scan for each block; so what is broadcast is bounded whatever the number
-of items.
+Spark computes each item's shingles and minima once; the documents are never
+shuffled: items go to them in blocks of at most about `block_bytes`, one scan
+for each block, so that what is broadcast is bounded whatever the number and
+length of items. A worker puts a block in order once, for all its tasks.
 
 Defined results: null and empty texts, and items without words, meet nothing;
 an item of fewer words than a shingle is one shingle, compared with shingles
@@ -26,6 +27,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,44 +37,53 @@ from pyspark.sql import functions as F
 
 from almanac.llm import hashing as hs
 from almanac.llm.shingles import distinct, shingled
-from almanac.session import read
+from almanac.session import materialize, read
 
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 U64 = hs.U64
 SMALL = 8
 
 
+@np.errstate(over="ignore")
+def described(items: DataFrame, k: int, registers: int) -> DataFrame:
+    """(item_id, width, shingles, minima) of items that have words: shingle
+    width, distinct shingles in order, and the least of each register."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column(1).to_pylist()):
+                words = len((text or "").encode().split())
+                if not words:
+                    continue
+                _, _, h, _ = next(iter(shingled(pa.array([text], pa.string()), min(k, words))))
+                h = np.unique(h)
+                least = np.asarray([hs.permuted(h, j).min() for j in range(registers)], U64) if len(h) > SMALL else np.zeros(0, U64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([min(k, words)], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary())], ["item_id", "width", "shingles", "minima"])
+
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return known.mapInArrow(rows, "item_id long, width int, shingles binary, minima binary")
+
+
 class Items:
-    """A block of items: for each class, register minima in order with their
-    items; for small items, by width, all shingles in order with theirs; and
-    each item's distinct shingles."""
-
-    def __init__(self, ids: list, texts: list, k: int, registers: int):
-        self.k, self.registers, self.ids = k, registers, ids
-        self.sets: list[np.ndarray] = []
-        for _, _, h, offs in shingled(pa.array(texts, pa.string()), k):
-            h, offs = distinct(h, offs)
-            self.sets += [h[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        self.words = np.asarray([len((t or "").encode().split()) for t in texts], int)
-        for i in np.flatnonzero((self.words > 0) & (self.words < k)):  # as shingles of that width
-            self.sets[i] = next(iter(shingled(pa.array([texts[i]], pa.string()), int(self.words[i]))))[2]
+    """A block of described items: for each class, register minima in order
+    with their items; for small items, by width, all shingles in order with
+    theirs; and each item's distinct shingles."""
+
+    def __init__(self, ids: list, widths: list, shingles: list, minima: list, registers: int):
+        self.registers, self.ids = registers, ids
+        self.sets = [np.frombuffer(x, U64) for x in shingles]
         classes: dict[tuple[int, int], list[int]] = {}
         small: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            if len(s):  # items of under k words by their number of words
-                width = min(k, self.words[i])
-                if len(s) <= SMALL:
-                    small.setdefault(width, []).append(i)
-                else:
-                    classes.setdefault((width, 1 << int(len(s) - 1).bit_length()), []).append(i)
+        for i, (width, s) in enumerate(zip(widths, self.sets, strict=True)):
+            if len(s) <= SMALL:
+                small.setdefault(width, []).append(i)
+            else:
+                classes.setdefault((width, 1 << int(len(s) - 1).bit_length()), []).append(i)
         self.small = {w: self.table(np.concatenate([self.sets[i] for i in of]), np.repeat(of, [len(self.sets[i]) for i in of])) for w, of in small.items()}
         self.classes = {}
         for key, of in classes.items():
-            tables = []
-            for j in range(registers):
-                keys = np.asarray([hs.permuted(self.sets[i], j).min() for i in of], U64)
-                tables.append(self.table(keys, np.asarray(of)))
-            self.classes[key] = tables
+            least = np.stack([np.frombuffer(minima[i], U64) for i in of])
+            self.classes[key] = [self.table(least[:, j], np.asarray(of)) for j in range(registers)]
 
     @staticmethod
     def table(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,25 +159,45 @@ class Items:
         return out
 
 
-def _blocks(items: DataFrame, block_items: int) -> Iterator[tuple[list, list]]:
-    """Item ids and texts, in blocks of about block_items."""
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    blocks = max(1, -(-known.count() // block_items))
-    for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()
-        yield [r["item_id"] for r in block], [r["text"] for r in block]
+_HELD: dict[str, Items] = {}
+
+
+class Block:
+    """A broadcast block of items; held in order by each worker that asks."""
+
+    def __init__(self, spark: SparkSession, rows: list, registers: int):
+        self.name, self.registers = uuid.uuid4().hex, registers
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+        self.sent = spark.sparkContext.broadcast(columns)
+
+    def index(self) -> Items:
+        if self.name not in _HELD:
+            while len(_HELD) > 1:  # the last two blocks
+                _HELD.pop(next(iter(_HELD)))
+            _HELD[self.name] = Items(*self.sent.value, self.registers)
+        return _HELD[self.name]
+
+
+def blocks(items: DataFrame, k: int, registers: int, block_bytes: int) -> Iterator[Block]:
+    """The items, described once and dealt by hash into blocks of at most about
+    block_bytes each."""
+    spark = items.sparkSession
+    known = materialize(described(items, k, registers), "items")
+    size = known.agg(F.sum(F.octet_length("shingles") + F.octet_length("minima") + 64)).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    for b in range(n):
+        yield Block(spark, known.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n)) == b).collect(), registers)
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_items: int = 20_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_bytes: int = 64 << 20) -> DataFrame:
     """One row for each document and item of which the document holds at least
     `threshold` of the distinct k-word shingles."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
-    for block in _blocks(items, block_items):
-        sent = rows.sparkSession.sparkContext.broadcast(block)
+    for block in blocks(items, k, registers, block_bytes):
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Items(*sent.value, k, registers)
+        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = block.index()
             for batch in batches:
                 got = index.search(batch.column(0), batch.column(1), threshold)
                 cols = list(zip(*got, strict=True)) or [[]] * 5
@@ -180,15 +211,14 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     return out
 
 
-def without_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_items: int = 20_000) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_bytes: int = 64 << 20) -> DataFrame:
     """The rows of docs that contain no item, all columns kept; one filter
     after another for each block of items, without a shuffle."""
     at, schema = docs.columns.index("text"), docs.schema
-    for block in _blocks(items, block_items):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for block in blocks(items, k, registers, block_bytes):
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Items(*sent.value, k, registers)
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = block.index()
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 got = index.search(pa.array(range(b.num_rows)), b.column(at).cast(pa.string()), threshold)
