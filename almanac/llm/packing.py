@@ -1,8 +1,10 @@
 """Best-fit packing of documents into sequences, by vector best-fit.
 
 Each piece of a document takes tokens, one document slot and an attention cost
-(the square of its length) from the sequence that holds it; each sequence has
-a capacity of all three. Pieces are placed longest first. Among the open
+from the sequence that holds it: the square of its length in whole tiles, as
+block-sparse kernels compute it, so that many short pieces cost more than their
+tokens say. Each sequence has a capacity of all three: its tokens, `documents`
+slots (what a mask of document bounds holds) and the cost of one full piece. Pieces are placed longest first. Among the open
 sequences with room in every dimension, the one is taken that leaves the
 smallest weighted norm of residual capacity (rule "residual") or that has the
 largest weighted dot product of need and residual (rule "dot").
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.session import materialize, read
+from almanac.session import materialize, read, unused
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,9 +44,14 @@ class Capacity:
     """What a sequence can hold, and the weight of each dimension."""
 
     tokens: int = 4096
-    documents: int = 4096
+    documents: int = 512
     attention: int = 4096 * 4096
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
+    tile: int = 128
+
+    def cost(self, n: int) -> int:
+        """The attention cost of a piece of n tokens."""
+        return (-(-n // self.tile) * self.tile) ** 2
 
 
 # ------------------------------------------------------------ tokenising
@@ -140,7 +147,8 @@ def best_fit(lengths: np.ndarray, cap: Capacity, rule: str = "residual") -> tupl
     open_, m = np.zeros((4, 1024), np.int64), 0  # tokens, documents, attention; bin
     for i in order.tolist():
         n = int(lengths[i])
-        if n > cap.tokens or n * n > cap.attention or cap.documents < 1:
+        c = cap.cost(n)
+        if n > cap.tokens or c > cap.attention or cap.documents < 1:
             raise ValueError(f"a piece of {n} tokens fits into no sequence")
         best, score = -1, np.inf
         at, step = int(open_[0, :m].searchsorted(n)), 64
@@ -150,10 +158,10 @@ def best_fit(lengths: np.ndarray, cap: Capacity, rule: str = "residual") -> tupl
             to = m if rule == "dot" else min(m, at + step)
             t, d, a = open_[:3, at:to]
             if rule == "dot":
-                s = -(wt * n / cap.tokens * t / cap.tokens + wd / cap.documents * d / cap.documents + wa * n * n / cap.attention * a / cap.attention)
+                s = -(wt * n / cap.tokens * t / cap.tokens + wd / cap.documents * d / cap.documents + wa * c / cap.attention * a / cap.attention)
             else:
-                s = wt * ((t - n) / cap.tokens) ** 2 + wd * ((d - 1) / cap.documents) ** 2 + wa * ((a - n * n) / cap.attention) ** 2
-            s[a < n * n] = np.inf
+                s = wt * ((t - n) / cap.tokens) ** 2 + wd * ((d - 1) / cap.documents) ** 2 + wa * ((a - c) / cap.attention) ** 2
+            s[a < c] = np.inf
             k = int(s.argmin())
             if s[k] < score:
                 best, score = at + k, s[k]
@@ -167,10 +175,10 @@ def best_fit(lengths: np.ndarray, cap: Capacity, rule: str = "residual") -> tupl
         t, d, a, b = open_[:, best].tolist()
         bins[i], places[i] = b, cap.tokens - t
         left[b] = t - n
-        if t > n and d > 1 and a > n * n:
+        if t > n and d > 1 and a > c:
             to = int(open_[0, :best].searchsorted(t - n))
             open_[:, to + 1 : best + 1] = open_[:, to:best].copy()
-            open_[:, to] = t - n, d - 1, a - n * n, b
+            open_[:, to] = t - n, d - 1, a - c, b
         else:
             open_[:, best : m - 1] = open_[:, best + 1 : m].copy()
             m -= 1
@@ -184,10 +192,13 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), rule: str = "residual",
     group_rows pieces; what its sequences with more than open_share of their
     tokens left hold is packed anew, over groups of the same size."""
     cols = pieces.columns
+    group_, left_ = unused(pieces, "_group", "_left")
 
     def dealt(df: DataFrame, base: int) -> tuple[DataFrame, int]:
+        """By place and not by value, so that equal rows are spread; df is read
+        from files, so a lost task deals its rows as before."""
         groups = max(1, -(-df.count() // group_rows))
-        return df.withColumn("_group", F.lit(base) + F.pmod(F.xxhash64(*cols), F.lit(groups))), groups
+        return df.withColumn(group_, F.lit(base) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), groups
 
     def packed(df: DataFrame) -> DataFrame:
         def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,20 +206,20 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), rule: str = "residual",
             bins, places, left = best_fit(pdf["length"].to_numpy(), cap, rule)
             out = pdf[cols].copy()
             out["sequence_id"], out["offset"] = (int(key[0]) << 32) + bins, places
-            out["_left"] = left[bins]
+            out[left_] = left[bins]
             return out
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-        return df.groupBy("_group").applyInPandas(group, f"{types}, sequence_id long, offset long, _left long")
+        return df.groupBy(group_).applyInPandas(group, f"{types}, sequence_id long, offset long, `{left_}` long")
 
     df, n = dealt(pieces, 0)
     first = packed(df)
     if n == 1:
-        return first.drop("_left")
+        return first.drop(left_)
     first = materialize(first, "packed")
-    full = F.col("_left") <= int(open_share * cap.tokens)
+    full = F.col(left_) <= int(open_share * cap.tokens)
     rest, _ = dealt(first.where(~full).select(*cols), n)
-    return first.where(full).drop("_left").unionByName(packed(rest).drop("_left"))
+    return first.where(full).drop(left_).unionByName(packed(rest).drop(left_))
 
 
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
