@@ -3,13 +3,20 @@
 The lexicon is mined from labelled rows: words and word beginnings whose
 document frequency among toxic texts is far above that among others. A text's
 features are the lexicon densities and strengths, second-person words near
-lexicon words, capitals, punctuation and obfuscation rates. Mining, trees and
-calibration use different folds of a sample of labelled rows, bounded by
-`most_labelled`; scoring runs where the documents are and reads whole texts.
+lexicon words, capitals, punctuation and obfuscation rates.
+
+Folds are crossed, so that each labelled row serves for all three: a row's
+features come from a lexicon that was mined without its fold, the calibration
+uses scores of trees that were grown without it, and the model that scores has
+the lexicon and the trees of all folds. Labelled rows are a sample bounded by
+`most_labelled`, terms by `most_terms`; scoring runs where the documents are and
+reads whole texts.
 
 Defined results: null and empty texts have all features 0 and get a score;
 null doc_id is not held out; repeated rows get equal scores; without labels of
-both classes each score is the share of label 1 (0.5 without labels).
+both classes each score is the share of label 1 (0.5 without labels); an empty
+table gives an empty result; other columns are not read by scores, and kept by
+the filter.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm import hashing as hs
 from almanac.llm.learning import Isotonic, Trees, boost, held_out, labelled_sample
-from almanac.session import read
+from almanac.session import materialize, read
 
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos usted ustedes ti tus".split()
@@ -87,19 +94,17 @@ def _lower(texts: pa.Array) -> pa.Array:
 
 @np.errstate(over="ignore")
 def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, texts with label 1, texts with label 0) of (text, label) rows."""
+    """(term, class, texts) of (text, class) rows; a class is label and fold."""
     for b in batches:
-        label = np.asarray(b.column(1))
+        label = np.asarray(b.column(1)).astype(np.uint64)
         for lo, hi, data, offs in hs.slices(_lower(b.column(0)), SLICE):
             starts, ends, first = hs.words(data, offs, OTHER)
             doc = np.repeat(np.arange(hi - lo), np.diff(first))
             for h in terms(data, starts, ends):
                 keep = h != 0
                 pair = np.unique(np.stack([h[keep], doc[keep].astype(hs.U64)]), axis=1) if keep.any() else np.zeros((2, 0), hs.U64)
-                t, at = np.unique(pair[0], return_inverse=True)
-                y = label[lo:hi][pair[1].astype(np.int64)] == 1
-                ones, zeros = np.bincount(at, y, len(t)), np.bincount(at, ~y, len(t))
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(ones.astype(np.int64)), pa.array(zeros.astype(np.int64))], ["term", "ones", "zeros"])
+                met, n = np.unique(np.stack([pair[0], label[lo:hi][pair[1].astype(np.int64)]]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(met[0].view(np.int64)), pa.array(met[1].astype(np.int32)), pa.array(n.astype(np.int64))], ["term", "class", "n"])
 
 
 @np.errstate(over="ignore", invalid="ignore")
@@ -161,27 +166,54 @@ class Model:
         return self.calibration(self.trees(features(texts, self.lexicon)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, most_labelled: int = 24_000, most_terms: int = 4_000, least_odds: float = 2.0) -> Model:
-    sample = labelled_sample(docs, labels, label, parts, part, most_labelled)
-    mining = sample.where(F.col("fold") < 4)
-    counts = mining.select("text", "label").mapInArrow(mined, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    of = {r["label"]: r["count"] for r in mining.groupBy("label").count().collect()}
-    ones, zeros = of.get(1, 0), of.get(0, 0)
-    odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
-    picked = counts.where(F.col("ones") >= max(4, ones // 200)).withColumn("odds", odds).where(F.col("odds") > least_odds)
-    got = picked.orderBy(F.desc(F.col("odds") * F.sqrt("ones")), "term").limit(most_terms).select("term", "odds").toPandas()
-    lexicon = Lexicon(got["term"].to_numpy(np.int64).view(hs.U64).copy(), got["odds"].to_numpy(float))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lexicon_of(terms_: np.ndarray, ones: np.ndarray, zeros: np.ndarray, rows: tuple[float, float], most: int, least_odds: float) -> Lexicon:
+    """The terms that tell label 1 most, of those that enough texts have."""
+    odds = np.log((ones + 0.5) / (rows[1] + 1.0)) - np.log((zeros + 0.5) / (rows[0] + 1.0))
+    good = np.flatnonzero((ones >= max(3, rows[1] // 200)) & (odds > least_odds))
+    good = good[np.lexsort((terms_[good], -odds[good] * np.sqrt(ones[good])))[:most]]
+    return Lexicon(terms_[good].view(hs.U64).copy(), odds[good])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, most_labelled: int = 24_000, most_terms: int = 4_000, least_odds: float = 2.0, folds: int = 5) -> Model:
+    """The model of all labelled rows that are not held out. Of the terms, the
+    5 * most_terms that tell most over all folds come to the driver, with their
+    counts by fold."""
+    sample = labelled_sample(docs, labels, label, parts, part, most_labelled).withColumn("fold", F.col("fold") % folds)
+    sample = materialize(sample.select("text", "label", "fold"), "labelled")
+    class_ = (F.col("fold") * 2 + F.col("label")).cast("int")
+    rows = np.zeros((folds, 2))
+    for r in sample.groupBy("fold", "label").count().collect():
+        rows[r["fold"], r["label"]] = r["count"]
+    zeros, ones = rows.sum(0)
+    n = F.col("n")
+    by = [F.sum(F.when(F.col("class") == c, n).otherwise(0)).alias(f"c{c}") for c in range(2 * folds)]
+    counts = sample.select("text", class_.alias("class")).mapInArrow(mined, "term long, class int, n long").groupBy("term").agg(*by)
+    of = {y: sum((F.col(f"c{2 * f + y}") for f in range(folds)), F.lit(0)) for y in (0, 1)}
+    odds = F.log((of[1] + 0.5) / float(ones + 1)) - F.log((of[0] + 0.5) / float(zeros + 1))
+    picked = counts.where(of[1] >= max(3, int(ones) // 250)).withColumn("rank", odds * F.sqrt(of[1])).where(odds > least_odds - 0.5)
+    got = picked.orderBy(F.desc("rank"), "term").limit(5 * most_terms).drop("rank").toPandas()
+    term, table = got["term"].to_numpy(np.int64), got[[f"c{c}" for c in range(2 * folds)]].to_numpy(float).reshape(-1, folds, 2)
+    whole = lexicon_of(term, table[:, :, 1].sum(1), table[:, :, 0].sum(1), (zeros, ones), most_terms, least_odds)
+    without = []
+    for f in range(folds):
+        rest = np.arange(folds) != f
+        without.append(lexicon_of(term, table[:, rest, 1].sum(1), table[:, rest, 0].sum(1), tuple(rows[rest].sum(0)), most_terms, least_odds))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(0), lexicon)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *[pa.array(c) for c in x.T]], ["label", "fold", *FEATURES])
+            fold = b.column(2).to_numpy()
+            for f in np.unique(fold):
+                mine = b.filter(pa.array(fold == f))
+                x = features(mine.column(0), without[f])
+                yield pa.RecordBatch.from_arrays([mine.column(1), mine.column(2), *[pa.array(c) for c in x.T]], ["label", "fold", *FEATURES])
 
     schema = "label int, fold int, " + ", ".join(f"{f} double" for f in FEATURES)
-    table = sample.where(F.col("fold") >= 4).select("text", "label", "fold").mapInArrow(rows, schema).toPandas().sort_values([*FEATURES, "label"])
+    table = sample.mapInArrow(described, schema).toPandas().sort_values([*FEATURES, "label", "fold"])
     x, y, fold = table[list(FEATURES)].to_numpy(float), table["label"].to_numpy(float), table["fold"].to_numpy()
-    trees = boost(x[fold < 8], y[fold < 8])
-    return Model(lexicon, trees, Isotonic.fit(trees(x[fold >= 8]), y[fold >= 8]))
+    crossed = np.zeros(len(y))
+    for f in range(folds):
+        crossed[fold == f] = boost(x[fold != f], y[fold != f])(x[fold == f])
+    return Model(whole, boost(x, y), Isotonic.fit(crossed, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
