@@ -3,11 +3,15 @@
 A page becomes a flat list of text blocks, one for each stretch of text between
 block-level tags. Features of a block are its words and link density, those of
 the blocks before and after it, and where it stands: inside an article or main
-element, inside one whose tag, role, class or id names a menu, header, footer,
-sidebar, notice, advert or comments. The text of an inline element that is named
-so is left out, and what stands around it stays one block. An article or main
-element inside a wrapper that only its class or id names starts anew. A decision
-tree, trained on the small labelled table below, says which blocks are main text.
+element; inside an element that never holds main text by its tag, role or as
+comments (boiler); inside one whose class or id has a word of menus, headers,
+sidebars, notices or adverts (named), and which share of the page's words the
+least such element holds, as a wrapper of the whole page may be named so too.
+Beside an article that stands outside of it, a named element's share counts as
+0. An article or main element inside a wrapper that is only named starts anew;
+headers in an article are part of it. A decision tree, trained on the small
+labelled table below, says which blocks are main text. The text of a named
+inline element is a block of its own, and what stands around it stays one.
 
 Each page is read by itself where it is, whole; nothing is shuffled.
 
@@ -39,6 +43,10 @@ INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 BOILER = "nav footer aside form menu dialog".split()
 NAMED = "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice alert popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments disqus respond reply replies discussion login search pagination pager copyright legal toolbar".split()
+#: Names that an article's own parts have too, and first parts of names that
+#: only tell how something else looks.
+HEADS = "header banner masthead".split()
+LOOKS = "has no with without is not hide show".split()
 #: Names of parts that hold other articles.
 OTHERS = "comment comments disqus respond reply replies discussion related recommended".split()
 #: Elements that the next of their kind ends.
@@ -49,10 +57,11 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Z
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_boiler", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "boiler", "named", "share", "heading")
+Block = tuple[str, int, int, bool, bool, tuple[int, ...], bool]
 
-#: A small labelled table, by hand: features as named above, then 1 for main
-#: text. Blocks of articles, with and without an article element, and blocks
+#: A small labelled table, by hand: features as named above without named and
+#: share, then 1 for main text. Blocks of articles, with and without an article element, and blocks
 #: of menus, headers, footers, sidebars, notices, adverts, forms and comments.
 LABELLED = [
     # words links before     after      article boiler heading main
@@ -66,6 +75,8 @@ LABELLED = [
     (12, 0.00, 45, 0.00, 50, 0.00, 0, 0, 0, 1), (90, 0.02, 0, 0.00, 0, 0.00, 0, 0, 0, 1), (7, 0.00, 30, 0.00, 35, 0.00, 0, 0, 0, 1),
     (2, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1), (5, 0.00, 4, 0.00, 6, 0.00, 0, 0, 0, 1), (3, 0.00, 5, 0.00, 0, 0.00, 0, 0, 0, 1),
     (10, 0.00, 0, 0.00, 5, 0.00, 0, 0, 0, 1), (6, 0.00, 20, 0.00, 4, 0.00, 0, 0, 0, 1), (2, 0.00, 0, 0.00, 9, 0.00, 0, 0, 1, 1),
+    (2, 0.00, 1, 1.00, 15, 0.00, 0, 0, 1, 1), (4, 0.00, 2, 1.00, 50, 0.00, 0, 0, 1, 1), (7, 0.00, 1, 1.00, 12, 0.00, 0, 0, 1, 1),
+    (14, 0.00, 2, 0.00, 15, 0.00, 0, 0, 0, 1), (15, 0.00, 14, 0.00, 14, 0.00, 0, 0, 0, 1), (13, 0.00, 15, 0.00, 3, 0.00, 0, 0, 0, 1),
     (1, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (2, 1.00, 1, 1.00, 60, 0.00, 0, 0, 0, 0),
     (4, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0, 0), (3, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 0), (6, 0.80, 80, 0.00, 5, 0.90, 0, 0, 0, 0),
     (5, 0.90, 6, 0.80, 4, 1.00, 0, 0, 0, 0), (3, 0.00, 0, 0.00, 2, 1.00, 0, 0, 1, 0), (8, 1.00, 40, 0.00, 9, 1.00, 0, 0, 0, 0),
@@ -76,11 +87,34 @@ LABELLED = [
     (2, 1.00, 30, 0.00, 2, 1.00, 1, 1, 0, 0), (5, 0.00, 80, 0.00, 70, 0.00, 1, 1, 1, 0), (200, 0.00, 5, 0.00, 7, 0.00, 0, 1, 0, 0),
     (1, 0.00, 400, 0.00, 2, 0.00, 1, 1, 0, 0), (30, 0.00, 1, 0.00, 30, 0.00, 1, 1, 0, 0), (6, 0.00, 3, 0.00, 200, 0.00, 0, 1, 0, 0),
 ]
+#: The same for blocks of named elements, with their share in place of boiler:
+#: menus, notices, adverts, and wrappers of whole pages.
+LABELLED_NAMED = [
+    # words links before     after      article share heading main
+    (1, 1.00, 1, 1.00, 8, 0.00, 0, 0.02, 0, 0), (8, 0.00, 1, 1.00, 12, 0.00, 0, 0.05, 0, 0), (10, 0.00, 60, 0.00, 0, 0.00, 0, 0.10, 0, 0),
+    (40, 0.00, 60, 0.00, 30, 0.00, 0, 0.25, 0, 0), (3, 0.00, 0, 0.00, 9, 0.00, 0, 0.00, 1, 0), (80, 0.00, 20, 0.00, 90, 0.00, 0, 0.40, 0, 0),
+    (25, 0.30, 8, 0.00, 50, 0.00, 0, 0.15, 0, 0), (12, 0.00, 70, 0.00, 60, 0.00, 1, 0.00, 0, 0), (50, 0.00, 60, 0.00, 40, 0.00, 1, 0.00, 0, 0),
+    (5, 0.00, 80, 0.00, 70, 0.00, 1, 0.01, 1, 0), (200, 0.00, 5, 0.00, 7, 0.00, 0, 0.00, 0, 0), (30, 0.00, 1, 0.00, 30, 0.00, 1, 0.30, 0, 0),
+    (60, 0.00, 12, 0.00, 55, 0.00, 0, 0.90, 0, 1), (9, 0.00, 4, 1.00, 60, 0.00, 0, 0.85, 1, 1), (35, 0.05, 60, 0.00, 45, 0.00, 0, 0.70, 0, 1),
+    (5, 0.00, 50, 0.00, 70, 0.00, 0, 1.00, 1, 1), (20, 0.10, 60, 0.00, 3, 0.00, 1, 0.95, 0, 1), (8, 0.00, 30, 0.00, 20, 0.00, 0, 0.75, 0, 1),
+    (2, 0.00, 1, 1.00, 15, 0.00, 0, 0.90, 1, 1), (14, 0.00, 2, 0.00, 15, 0.00, 0, 0.80, 0, 1), (15, 0.00, 14, 0.00, 14, 0.00, 0, 0.85, 0, 1),
+    (3, 0.00, 0, 0.00, 30, 0.00, 0, 0.90, 1, 1), (6, 0.00, 5, 0.00, 0, 0.00, 0, 1.00, 0, 1), (12, 0.00, 45, 0.00, 50, 0.00, 1, 0.80, 0, 1),
+    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0.90, 0, 0), (2, 1.00, 1, 1.00, 60, 0.00, 0, 0.80, 0, 0), (5, 0.90, 6, 0.80, 4, 1.00, 0, 1.00, 0, 0),
+]
+
+
+#: Neighbours (words, links) before and after.
+AROUND = [(0, 0.00), (1, 1.00), (3, 0.00), (60, 0.00), (9, 0.80)]
 
 
 @cache
-def tree(depth: int = 6) -> Trees:
-    table = np.asarray(LABELLED, float)
+def tree(depth: int = 8) -> Trees:
+    """Blocks of an article, of boilerplate and of named parts that are small
+    count in any surroundings; the others as they stand in the table."""
+    rows = [(*r[:8], 0, 0.0, *r[8:]) for r in LABELLED] + [(*r[:7], 0, 1, *r[7:]) for r in LABELLED_NAMED]
+    anywhere = [r for r in rows if r[7] or (r[8] and r[9] <= 0.5) or (r[6] and not r[8])]
+    rows += [(*r[:2], *b, *a, *r[6:]) for r in anywhere for b in AROUND for a in AROUND]
+    table = np.asarray(rows, float)
     return boost(table[:, :-1], table[:, -1], rounds=1, rate=1.0, depth=depth, least=1.0, ridge=0.05)
 
 
@@ -97,44 +131,55 @@ def _boiler(tag: str, attributes: str, in_article: bool) -> int:
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
             return 2
         if key in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            found = [w for w in NAME.findall(value) if w in NAMED]
-            if found:
-                named = max(named, 2 if any(w in OTHERS for w in found) else 1)
+            for one in value.split():
+                words = NAME.findall(one)
+                found = [w for w in words if w in NAMED and not (in_article and w in HEADS)]
+                if found and words[0] not in LOOKS:
+                    named = max(named, 2 if any(w in OTHERS for w in found) else 1)
     return named
 
 
-def flat(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, in article, in boilerplate, heading) of
-    each block in page order."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+def flat(html: str) -> list[Block]:
+    """(text, words, linked words, in article, in boilerplate, the named
+    elements around it by number, heading) of each block in page order."""
+    out: list[Block] = []
     text: list[str] = []
     linked = [0]
-    # tag, then what holds again after it: in article, in boilerplate, and the
-    # text and links before it of the block around a named inline element
-    open_: list[tuple[str, bool, int, tuple[list[str], int] | None]] = []
-    state = {"link": 0, "heading": 0}
-    article, boiler = False, 0
+    # tag, then what holds again after it: in article, in boilerplate, named, and
+    # the text and links before it of the block around a named inline element
+    open_: list[tuple[str, bool, bool, tuple[int, ...], tuple[list[str], int] | None]] = []
+    state = {"link": 0, "heading": 0, "names": 0}
+    article, boiler = False, False
+    named: tuple[int, ...] = ()
 
     def close() -> None:
         if text:
             joined = SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
                 n = joined.count(" ") + 1
-                out.append((joined, n, min(n, linked[0]), article, boiler > 0, state["heading"] > 0))
+                out.append((joined, n, min(n, linked[0]), article, boiler, named, state["heading"] > 0))
             text.clear()
         linked[0] = 0
 
     def leave(k: int) -> None:
         """Close the k-th open element and all in it."""
-        nonlocal article, boiler
+        nonlocal article, boiler, named
         while len(open_) > k:
-            tag, was_article, was_boiler, around = open_.pop()
-            if tag not in INLINE:
+            tag, was_article, was_boiler, was_named, around = open_.pop()
+            if tag not in INLINE or around:
                 close()
-            article, boiler = was_article, was_boiler
+            article, boiler, named = was_article, was_boiler, was_named
             if around:
                 text[:], linked[0] = around
 
+    def enter(kind: int) -> None:
+        """The state inside an element of that kind, as _boiler tells it."""
+        nonlocal boiler, named
+        boiler = boiler or kind == 2
+        if kind == 1:
+            state["names"] += 1
+            named = (*named, state["names"])
+
     def last(tag: str) -> int:
         return next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1)
 
@@ -165,14 +210,14 @@ def flat(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 within = last(tag)
             if closing:
                 continue
-            named = _boiler(tag, m[3], article) if m[3] else 0
-            if named:
-                open_.append((tag, article, boiler, (text[:], linked[0])))
+            kind = _boiler(tag, m[3], article) if m[3] else 0
+            if kind:
+                open_.append((tag, article, boiler, named, (text[:], linked[0])))
                 text.clear()
                 linked[0] = 0
-                boiler = max(boiler, named)
+                enter(kind)
             elif within >= 0:
-                open_.append((tag, article, boiler, None))
+                open_.append((tag, article, boiler, named, None))
             continue
         if tag in SILENT and not closing and not m[3].endswith("/"):
             close()
@@ -196,21 +241,33 @@ def flat(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             state["heading"] = 0 if closing else 1
         if closing or tag in VOID or m[3].endswith("/"):
             continue
-        open_.append((tag, article, boiler, None))
+        open_.append((tag, article, boiler, named, None))
         if tag == "main" or (tag == "article" and not article):
-            boiler = 0 if boiler == 1 else boiler
-        boiler = max(boiler, _boiler(tag, m[3], article))
+            named = ()
+        enter(_boiler(tag, m[3], article))
         article = article or tag in ("article", "main")
     leave(0)
     close()
     return out
 
 
-def features(blocks: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
-    raw = np.asarray([b[1:] for b in blocks], float).reshape(-1, 5)
+def shares(blocks: list[Block]) -> list[float]:
+    """For each block the share of the page's words that the least named
+    element around it holds; 0 if there is none, or beside an article."""
+    held: dict[int, int] = {}
+    for b in blocks:
+        for n in b[5]:
+            held[n] = held.get(n, 0) + b[1]
+    total = sum(b[1] for b in blocks)
+    beside = any(b[3] and not b[4] and not b[5] for b in blocks)
+    return [0.0 if beside or not b[5] else min(held[n] for n in b[5]) / total for b in blocks]
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    raw = np.asarray([(b[1], b[2], b[3], b[4], len(b[5]) > 0, b[6]) for b in blocks], float).reshape(-1, 6)
     words, links = raw[:, 0], raw[:, 1] / np.maximum(raw[:, 0], 1)
     near = [np.concatenate([[0], x])[:-1] for x in (words, links)] + [np.concatenate([x, [0]])[1:] for x in (words, links)]
-    return np.stack([words, links, *near, raw[:, 2], raw[:, 3], raw[:, 4]], 1)
+    return np.stack([words, links, *near, raw[:, 2], raw[:, 3], raw[:, 4], np.asarray(shares(blocks)), raw[:, 5]], 1)
 
 
 def extracted(html: str | None, model: Trees) -> str:

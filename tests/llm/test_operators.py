@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from html import unescape
 from itertools import combinations
 
 import numpy as np
@@ -73,8 +74,11 @@ def test_compression_tells_held_out_quality(spark):
     got = compression.op1_compression_quality(spark, sf).join(known, "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["quality"]).mean() > 0.9
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in compression.op1_compression_quality(spark, SF).collect())
-    tox = toxicity.score(docs, toxicity.train(docs, known)).join(known, "doc_id").where(held_out(F.col("doc_id"), 4, 2)).toPandas()
-    assert tox[tox["toxic"] == 1]["score"].mean() > 2 * tox[tox["toxic"] == 0]["score"].mean()
+    tox = toxicity.op9_boosted_toxicity(spark, sf)
+    assert tox.count() == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in tox.collect())
+    tox = tox.join(known, "doc_id").where("held_out").toPandas()
+    # of 14 toxic texts 4 have no word that others have
+    assert tox[tox["toxic"] == 1]["predicted"].mean() >= 0.7 and tox[tox["toxic"] == 0]["predicted"].mean() <= 0.02
     kept = toxicity.without_toxic(docs, toxicity.train(docs, known))
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
@@ -114,10 +118,25 @@ def test_html_keeps_the_article_alone(spark):
     assert [r["text"] for r in got if r["page_id"] == 1] == ["Title & more\nHello big world € &zzz;\nSecond link."] * 2
     assert {r["text"] for r in got if r["page_id"] in (2, 3)} == {""} and all(r["n_chars"] == len(r["text"]) for r in got)
     assert [r["text"] for r in got if r["page_id"] is None] == ["lone text"]
-    want = {r["page_id"]: re.search("<article>(.*?)(</article>|<footer>|$)", r["html"], re.S)[1] for r in read(spark, SF, "pages").collect()}
-    for r in html.op3_flat_block_text(spark, SF).collect():
-        plain = re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", want[r["page_id"]])).split()
-        assert len(plain) == len(r["text"].split())
+    for r in read(spark, SF, "pages").join(html.op3_flat_block_text(spark, SF).select("page_id", F.col("text").alias("got")), "page_id").collect():
+        inner = re.search("<article>(.*?)(</article>|<footer>|$)", r["html"], re.S)[1]
+        parts = re.split(r"</?(?:p|h\d|div|li|ul|article)\b[^>]*>", inner)
+        lines = [" ".join(unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).replace("\xa0", " ").split()) for p in parts]
+        assert r["got"] == "\n".join(x for x in lines if x)
+
+
+def test_html_named_wrappers_keep_articles():
+    text = lambda x: html.extracted(x, html.tree())
+    body = "<h1>One two</h1>" + "".join(f"<p>This is paragraph {i} with a good number of words in it, as texts have.</p>" for i in range(6))
+    want = "\n".join(["One two", *(f"This is paragraph {i} with a good number of words in it, as texts have." for i in range(6))])
+    rest = "<div class='nav'><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></div>"
+    tail = "<div class='cookie-notice'><p>We use cookies for a great many reasons.</p></div><div id='footer'><p>Copyright of us</p></div>"
+    for wrap in ("class='content has-sidebar'", "id='page' class='sticky-header'", "class='no-sidebar'", "class='page-with-menu'", "class='notice-board-theme'", "class='plain'"):
+        assert text(f"<body><div {wrap}>{rest}<article>{body}</article>{tail}</div></body>") == want
+        assert text(f"<body><div {wrap}>{rest}{body}{tail}</div></body>") == want
+    assert text(f"<body>{rest}<article><div class='entry-header'><h1>One two</h1></div>{body[16:]}<div class='share'><a href=x>Tweet</a></div></article>{tail}</body>") == want
+    assert text(f"<body>{rest}<div class='comments'><p>{'nice post ' * 200}</p></div>{body}</body>") == want
+    assert text("<body><article><p>Short one.</p></article><div class='advert'><p>" + "buy this now " * 80 + "</p></div></body>") == "Short one."
 
 
 def test_html_named_inline_parts_end_where_they_end():
