@@ -6,15 +6,19 @@ choose the same one, so about one fingerprint stands for 14 windows and none
 is missed. A fingerprint row holds the piece's hash (key), which windows chose
 it (at, n) and a hash of the stretch of words they cover.
 
-The index is a list of immutable runs in the shared folder, whose files are
-each sorted by key. A new batch is written as a run, without a shuffle, and
-merge-joined with the historical ones; keys seen twice are matched. When there
-are more than `most_runs`, runs are compacted into one in order of key, dealt
-by ranges so that a frequent key has many. Only fingerprints are kept, about an eighth of the text.
-
-Matched keys are verified on words: rows of equal key, stretch and n repeat all
-their windows; where stretches differ, one row of each is looked up in its text
-and its windows are compared one by one (128 bits: key and window). Then each
+The index lies in a folder of the shared store and is kept between calls; its
+manifest lists what it holds. Each batch adds fingerprint rows, in files as they
+come, and a run: the batch's distinct keys with their counts, counted before they
+are shuffled, so that a frequent key is one row. Runs are immutable tables, all
+dealt by key into the same buckets, one file sorted by key each; so a new run and
+the historical ones are merge-joined as they lie, without exchange or sort, and
+runs of like size are compacted in the same way. Only fingerprints are kept,
+about an eighth of the text.
+
+Keys that the new run has twice, or that history has too, are matched, and are
+verified on words when the batch arrives: rows of equal key, stretch and n repeat
+all their windows; where stretches differ, one row of each is looked up in its
+text and its windows are compared one by one (128 bits: key and window). Each
 text drops the words that repeated windows cover.
 
 Defined results: null and empty texts have no words; texts shorter than a
@@ -25,6 +29,7 @@ repeats; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -34,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import hashing as hs
-from almanac.session import materialize, read, shared_dir
+from almanac.session import forget, made, materialize, read, remove, shared_dir
 
 U64 = hs.U64
 WINDOW, GRAM = 35, 10
 RUN = "key long, stretch long, n int, doc long, print long, at int"
+REPEATS = "doc long, print long, at int, n int"
 INVERSE = U64(pow(int(hs.MULTIPLIER[0]), -1, 1 << 64))
 
 
@@ -94,56 +100,100 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return docs.select("doc", "print", "text").mapInArrow(rows, RUN)
 
 
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"  # a bucket of one file is read in its order
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in a folder of the shared store."""
+    """Immutable sorted runs of fingerprint keys, the fingerprint rows, and the
+    repeated windows found so far, in a folder of the shared store. With the
+    folder of an earlier index, that one goes on. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, most_runs: int = 2):
-        self.spark, self.most_runs = spark, most_runs
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, tier: float = 4.0):
+        self.spark, self.tier = spark, tier
         self.folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.matches: list[str] = []
+        self.state = {"version": 0, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "rows": [], "repeats": []}
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            last = spark.read.schema("version long, state string").parquet(f"{self.folder}/manifest").orderBy(F.desc("version")).first()
+            self.state = json.loads(last["state"])
+
+    def _commit(self) -> None:
+        self.state["version"] += 1
+        entry = self.spark.createDataFrame([(self.state["version"], json.dumps(self.state))], "version long, state string")
+        entry.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
     def _write(self, df: DataFrame, kind: str) -> str:
         path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def _run(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
-
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Add a batch (fingerprint rows) as a run; the keys that it matches,
-        in itself or in historical runs."""
-        run = self._write(batch.sortWithinPartitions("key"), "run")
-        counts = self._run([run]).groupBy("key").agg(F.count("*").alias("times"))
-        if self.runs:
-            old = self._run(self.runs).groupBy("key").agg(F.lit(1).alias("old"))
-            counts = counts.hint("merge").join(old, "key", "left").where("times > 1 or old is not null")
-        else:
-            counts = counts.where("times > 1")
-        self.matches.append(self._write(counts.select("key"), "matches"))
-        self.runs.append(run)
-        if len(self.runs) > self.most_runs:
-            self.compact()
-        return self.spark.read.schema("key long").parquet(self.matches[-1])
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old ones are deleted afterwards."""
-        old = self.runs
-        self.runs = [self._write(self._run(old).repartitionByRange("key", "doc", "print", "at").sortWithinPartitions("key"), "run")]
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in old:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-    def repeated(self) -> DataFrame:
-        """All rows whose key some batch matched."""
-        if not self.runs:
-            return self.spark.createDataFrame([], RUN)
-        # written, so that both sides of the join come from plain exchanges and
-        # Spark can split a frequent key
-        keys = materialize(self.spark.read.schema("key long").parquet(*self.matches).distinct(), "keys")
-        return self._run(self.runs).join(keys, "key", "left_semi")
+    def _run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (key LONG, times LONG) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.state['buckets']} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(name)
+
+    def _new_run(self, counts: DataFrame, dealt: bool = False) -> dict:
+        """Write (key, times) rows. Counting has dealt them by key already, into
+        as many parts as there are buckets unless the session names another
+        number; and so has a join of runs."""
+        name = f"almanac_run_{uuid.uuid4().hex}"
+        if not dealt and self.state["buckets"] != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            counts = counts.repartition(self.state["buckets"], "key")
+        counts.write.bucketBy(self.state["buckets"], "key").sortBy("key").option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
+        return {"name": name, "keys": self._run(name).count()}
+
+    def matches(self, run: dict) -> DataFrame:
+        """Keys of a run that it has twice or that a historical run has: merge
+        joins of buckets as they lie."""
+        found, met = self._run(run["name"]), F.col("times") > 1
+        for i, old in enumerate(self.state["runs"]):
+            found = found.join(self._run(old["name"]).select("key", F.lit(1).alias(f"old{i}")).hint("merge"), "key", "left")
+            met = met | F.col(f"old{i}").isNotNull()
+        return found.where(met).select("key")
+
+    def append(self, batch: DataFrame, known: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+        """Add a batch of (doc, print, text) rows, and find which of its windows
+        also start elsewhere in it or in what the index holds, and which of those
+        held do so now. known: such rows of all batches up to this one. Returns
+        (doc, print, at, n) of the repeated windows."""
+        before = self.spark.conf.get(ORDERED)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            rows = self._write(fingerprints(batch, window, gram), "rows")
+            fresh = self.spark.read.schema(RUN).parquet(rows)
+            run = self._new_run(fresh.groupBy("key").agg(F.count("*").alias("times")))
+            since = made()
+            keys = materialize(self.matches(run), "keys")
+            self.state["rows"].append(rows)
+            self.state["runs"].append(run)
+            held = self.spark.read.schema(RUN).parquet(*self.state["rows"])
+            found = self._write(repeated_windows(known, held.join(keys, "key", "left_semi"), window), "repeats")
+            forget(self.spark, since, made())
+            self.state["repeats"].append(found)
+            self._compact()
+        finally:
+            self.spark.conf.set(ORDERED, before)
+        self._commit()
+        return self.spark.read.schema(REPEATS).parquet(found)
+
+    def _compact(self) -> None:
+        """While the last run but one is less than `tier` times the last, merge
+        the two; so runs are few and each key is rewritten few times."""
+        runs = self.state["runs"]
+        while len(runs) > 1 and runs[-2]["keys"] < self.tier * max(runs[-1]["keys"], 1):
+            a, b = runs[-2:]
+            more = self._run(b["name"]).withColumnRenamed("times", "more").hint("merge")
+            both = self._run(a["name"]).join(more, "key", "full").select("key", (F.coalesce("times", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("times"))
+            runs[-2:] = [self._new_run(both, dealt=True)]
+            for old in (a, b):
+                self.spark.sql(f"DROP TABLE {old['name']}")
+                remove(self.spark, f"{self.folder}/{old['name']}")
+
+    def repeats(self) -> DataFrame:
+        """(doc, print, at, n) of all repeated windows found so far."""
+        if not self.state["repeats"]:
+            return self.spark.createDataFrame([], REPEATS)
+        return self.spark.read.schema(REPEATS).parquet(*self.state["repeats"])
 
 
 def windows(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -167,9 +217,10 @@ def windows(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataFram
     return docs.join(per, ["doc", "print"]).select("doc", "print", F.col("text").cast("binary"), "asked").mapInArrow(rows, "key long, hash long, need boolean, doc long, print long, at int")
 
 
-def repeated_windows(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> DataFrame:
-    """(doc, print, at, n): starts of windows that also start elsewhere."""
-    rows = materialize(index.repeated(), "repeated")
+def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, print, at, n): starts of windows that also start elsewhere, of
+    fingerprint rows whose keys are matched."""
+    rows = materialize(rows, "repeated")
     groups = materialize(rows.groupBy("key", "stretch", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc", "print", "at")).alias("one")), "groups")
     whole = rows.join(groups.where("times > 1").select("key", "stretch", "n"), ["key", "stretch", "n"], "left_semi").select("doc", "print", "at", "n")
     several = groups.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
@@ -214,13 +265,14 @@ def removed(docs: DataFrame, repeats: DataFrame, window: int = WINDOW, with_text
     return joined.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
 
 
-def deduplicated(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Index docs batch by batch, then drop repeated windows' words."""
     rows = keyed(docs)
     index = FingerprintIndex(docs.sparkSession)
+    batch = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(batches))
     for b in range(batches):
-        index.append(fingerprints(rows.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(batches)) == b), window, gram))
-    return removed(rows, repeated_windows(rows, index, window), window, with_text)
+        index.append(rows.where(batch == b), rows.where(batch <= b), window, gram)
+    return removed(rows, index.repeats(), window, with_text)
 
 
 def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,25 +191,37 @@ def test_substrings_match_brute_force(spark, documents, odd, none):
 def test_equal_rows_share_one_set_of_spans(spark):
     rows = [(4, " ".join(f"e{i}" for i in range(50)))] * 40
     docs = substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
-    index = substrings.FingerprintIndex(spark)
-    index.append(substrings.fingerprints(docs))
-    repeats = substrings.repeated_windows(docs, index).persist()
+    repeats = substrings.FingerprintIndex(spark).append(docs, docs)
     assert repeats.count() > repeats.distinct().count()
     got = substrings.spans(repeats).selectExpr("size(spans) as n").collect()
     assert [r["n"] for r in got] == [repeats.distinct().count()]
     assert {r["n_removed"] for r in substrings.removed(docs, repeats).collect()} == {50}
 
 
-def test_index_matches_history_and_compacts(spark, documents):
+def test_a_kept_index_goes_on_and_merges_runs_as_they_lie(spark, documents):
     rows = substrings.keyed(documents)
-    index = substrings.FingerprintIndex(spark, most_runs=2)
-    first = index.append(substrings.fingerprints(rows.where("doc % 2 = 0"))).count()
-    for part in (1, 3):
-        index.append(substrings.fingerprints(rows.where(f"doc % 4 = {part}")))
-    assert len(index.runs) == 1 and first > 0
-    whole = substrings.fingerprints(rows)
-    twice = whole.groupBy("key").count().where("count > 1")
-    assert index.repeated().count() == whole.join(twice, "key", "left_semi").count()
+    parts = [rows.where(f"doc % 4 = {p}") for p in range(4)]
+    index = substrings.FingerprintIndex(spark, buckets=4, tier=0.1)
+    found = []
+    for p, part in enumerate(parts):
+        index.append(part, rows.where(f"doc % 4 <= {p}"))
+        index = substrings.FingerprintIndex(spark, index.folder, tier=0.1)  # as a later job opens it
+        texts = [r["text"] for r in rows.where(f"doc % 4 <= {p}").orderBy("doc").collect()]
+        got = substrings.removed(rows.where(f"doc % 4 <= {p}"), index.repeats()).orderBy("doc_id").collect()
+        assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == brute_windows(texts)
+        found.append(len(index.state["runs"]))
+    assert found == [1, 2, 3, 4]
+    spark.conf.set(substrings.ORDERED, "true")
+    plan = index.matches(index.state["runs"].pop())._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(substrings.ORDERED, "false")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    merged = substrings.FingerprintIndex(spark, index.folder)
+    read_run = lambda r: {tuple(x) for x in merged._run(r["name"]).collect()}
+    want = Counter()
+    for run in merged.state["runs"]:
+        want.update(dict(read_run(run)))
+    merged._compact()
+    assert len(merged.state["runs"]) == 1 and read_run(merged.state["runs"][0]) == set(want.items())
 
 
 def test_losses_match_brute_force(spark, odd, none):
