@@ -8,7 +8,9 @@ null texts count as empty, repeated rows are treated alike, empty tables give
 empty results, and other columns pass through.
 
 SQL cannot express these stages (a learned model, sketches, a tokenizer), so
-ORACLE_SQL is None and tests compare them with brute force.
+ORACLE_SQL is None; tests hold each stage against brute force on what it was
+given: the classifier's scores, all pairs of texts, all benchmark items, the base
+patterns, and the tokenizer.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from almanac.llm import decontamination, neardup, packing, secrets, toxicity
-from almanac.session import materialize, read, ship
+from almanac.session import forget, made, materialize, read, ship
 
 ORACLE_SQL = None
 
@@ -64,8 +66,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and reread."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; what each returns is written and reread, and
+    then what the stage wrote besides is deleted, its input too."""
+    docs, since = read(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, since, made() - 1)
     return docs

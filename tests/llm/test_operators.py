@@ -510,19 +510,48 @@ def test_containment_finds_each_copy_of_a_small_item(spark):
     assert {(d, index.ids.index(i)) for d, i, *_ in index.search(pa.array(range(2_000)), pa.array(docs), 0.8)} == want
 
 
-def test_pipeline_stages_keep_columns_and_take_effect(spark):
+def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     from almanac.session import materialize
 
-    sf = "/root/testdata/sf0.01"
-    docs = read(spark, sf, "documents")
-    names = docs.columns
-    sizes = [docs.count()]
+    docs = read(spark, SF, "documents")
+    names, extra = docs.columns, 10**9
+    docs = docs.unionByName(spark.createDataFrame([(extra, "the password = hunter2xyz and no more", "en", "src1", 37)], docs.schema))
+    whole, stages = docs, {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = materialize(stage(spark, docs, sf), f"test-{name}")
-        sizes.append(docs.count())
-        if name == "secrets":
-            assert not [r for r in docs.collect() if brute_spans(r["text"])]
-        if name != "packing":
-            assert docs.columns == names
-    assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] <= sizes[2] and sizes[4] == sizes[3] and sizes[5] >= sizes[4]
+        given = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = materialize(stage(spark, docs, SF), f"test-{name}")
+        assert name == "packing" or docs.columns == names
+        stages[name] = (given, docs.collect())
+    given, kept = stages["toxicity"]
+    model = toxicity.train(read(spark, SF, "documents"), read(spark, SF, "labels"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(whole, model).collect()}
+    assert {r["doc_id"] for r in kept} == {d for d in given if scores[d] < 0.3}
+    given, kept = stages["near_duplicates"]
+    assert {r["doc_id"] for r in kept} == {d for d, _, c in brute_components(list(given.items()), 5) if d == c} and len(kept) < len(given)
+    given, kept = stages["decontamination"]
+    items = [shingles(r["text"], 5) for r in read(spark, SF, "benchmark").collect()]
+    assert {r["doc_id"] for r in kept} == {d for d, t in given.items() for x in [shingles(t, 5)] if all(len(s & x) < 0.8 * len(s) for s in items)}
+    given, kept = stages["secrets"]
+    assert {r["doc_id"] for r in kept} == set(given) and not [r for r in kept if brute_spans(r["text"])]
+    assert all(r["text"] == given[r["doc_id"]] for r in kept if "[secret]" not in (r["text"] or "")) and any(brute_spans(t) for t in given.values())
+    given, pieces = stages["packing"]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for d, t in given.items():
+        assert sum(r["length"] for r in pieces if r["doc_id"] == d) == len(plain.encode(t or "", add_special_tokens=False).ids) + 1
+    assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect()} == {(r["doc_id"], r["piece"], r["length"]) for r in pieces if r["doc_id"] != extra}
+
+
+def test_pipeline_stages_take_nulls_and_empty_tables(spark, odd, none):
+    import corpus_pipeline
+    from almanac.session import materialize
+
+    for docs in (odd, none):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SF), f"odd-{name}")
+            assert name == "packing" or docs.columns == odd.columns
+        assert (docs.count() > 0) == (n > 0)
