@@ -10,8 +10,13 @@ MARKED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 #: Entities that are decoded by name.
 ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&amp;": "&"}
-#: Words that say nothing in a title.
-STOP = "para del las los con por una the and for".split()
+#: Words that say nothing in a title, folded: particles, kinds of
+#: performers, venues.
+STOP = (
+    "de la el las los del en con por una uno y al fin gran san santa para the and for "
+    "orquesta orquestas grupo grupos amenizado amenizada amenizados amenizadas "
+    "plaza calle parque teatro iglesia avenida recinto cancha auditorio ermita parroquia plazoleta pabellon campo puente"
+).split()
 CLOSING = r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article|header|footer|ul|ol|table|nav|title)>"
 
 
@@ -25,6 +30,11 @@ def words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(c), "[^a-z]+", " "))
 
 
+def words_and_digits(c: Column) -> Column:
+    """Folded letters and digits; all else is one space."""
+    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
+
+
 def compact(c: Column) -> Column:
     """Folded letters and digits alone."""
     return F.regexp_replace(fold(c), "[^a-z0-9]", "")
@@ -43,14 +53,31 @@ def slug(c: Column, most: int = 5) -> Column:
 
 
 def entities(c: Column) -> Column:
-    """The named ones as themselves; other named ones as a space."""
+    """The named ones as themselves, decimal and hexadecimal ones as their
+    character; other named ones as a space."""
     for name, to in ENTITIES.items():
         if name != "&amp;":
             c = F.replace(c, F.lit(name), F.lit(to))
-    c = F.replace(c, F.lit("&amp;"), F.lit("\x01"))
+    c = numeric_entities(F.replace(c, F.lit("&amp;"), F.lit("\x01")))
     return F.replace(F.regexp_replace(c, "&[a-zA-Z]+;", " "), F.lit("\x01"), F.lit("&"))
 
 
+def numeric_entities(c: Column) -> Column:
+    """&#233; and &#xe9; as the character; what is no code point stays."""
+    pattern = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    between = F.split(c, pattern, -1)
+
+    def char(e: Column) -> Column:
+        code = F.substring(e, 3, F.char_length(e) - 3)
+        n = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, F.char_length(code)), 16, 10)).otherwise(code).try_cast("int")
+        good = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(e)
+
+    joined = F.array_join(F.zip_with(between, F.transform(found, char), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
+
+
 def html_lines(html: Column) -> Column:
     """Lines of visible text: block ends and <br> break, scripts and styles go."""
     c = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
@@ -67,6 +94,18 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, "^https?://([^/:?#]+)", 1), r"^(www|m)\.", "")
 
 
+def unwrapped(url: Column) -> Column:
+    """Where a redirecting address (l.php?u=...) leads; others as they are."""
+    inner = F.regexp_extract(url, r"/l\.php\?(?:[^#]*&)?u=([^&#]+)", 1)
+    return F.when(inner != "", F.try_url_decode(inner)).otherwise(url)
+
+
+def handle(url: Column) -> Column:
+    """The account that an address names: profile.php's id, else its first part."""
+    number = F.regexp_extract(url, r"profile\.php\?(?:[^#]*&)?id=([0-9]+)", 1)
+    return F.when(number != "", number).otherwise(F.lower(F.regexp_extract(url, r"^https?://[^/]+/([A-Za-z0-9._-]+)", 1)))
+
+
 def hours(c: Column) -> Column:
     """21.30h and 21.30 horas as 21:30h and 21:30 horas; prices stay."""
     return F.regexp_replace(c, r"(\d{1,2})\.(\d{2})(\s*(?:h|horas)(?:[^a-z]|$))", "$1:$2$3")

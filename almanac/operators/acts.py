@@ -27,14 +27,15 @@ MUSIC = re.compile(r"orquesta|verbena|baile|grupo|actuacion|concierto|ameniza|mu
 TIME = re.compile(r"(?<!\d)([01]?\d|2[0-3]):([0-5]\d)(?:\s*(?:-|–|a)\s*(?:las\s+)?([01]?\d|2[0-3]):([0-5]\d))?")
 VENUE = re.compile(r"(?:^|[\s(])((?:[Pp]laza|[Pp]lazoleta|[Pp]arque|[Rr]ecinto|[Cc]asco|[Cc]ancha|[Pp]abell[oó]n|[Aa]venida|[Cc]alle|[Aa]uditorio|[Pp]olideportivo|[Tt]eatro|[Ss]al[oó]n)(?:\s+(?:de|del|la|las|los|el|y|[A-ZÁÉÍÓÚÑ][\wáéíóúñü'.-]*))*)")
 TOLD_PLACE = re.compile(r"[Ll]ugar:\s*([^.\n]{3,80})")
-CODE = re.compile(r"[{}$#;]|function\s|=>|\b(?:var|const|let)\s")
+#: Signs of program text that was pasted into a page.
+SCRIPT = ["{", "}", "$", "#", ";", "=>", "function ", "var ", "const ", "let "]
 ACT = "array<struct<titulo:string,hora:string,lugar:string,orquestas:array<string>>>"
 
 
 def place_of(text: str, fallback: str = "") -> str:
     """The venue that a text names: after "Lugar:", else the last venue noun
     with its name (prose after it is left out), else the fallback."""
-    if (m := TOLD_PLACE.search(text)) and not CODE.search(m[1]):
+    if (m := TOLD_PLACE.search(text)) and not any(f" {x}" in f" {m[1]}" or (len(x) < 3 and x in m[1]) for x in SCRIPT):
         return m[1].strip()
     found = [re.sub(r"(\s+(?:de|del|la|las|los|el|y))+$", "", m[1]).strip() for m in VENUE.finditer(text)]
     named = [f for f in found if " " in f and not re.search(r"\s(Gran|Concierto|Verbena|Baile)$", f)]

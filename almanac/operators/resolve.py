@@ -42,14 +42,14 @@ def collapse(events: DataFrame) -> DataFrame:
 
 
 def alike(a: str, b: str) -> Column:
-    """Two rows of a block tell of one event: shared names decide, else three
-    shared title words; different places or line-ups speak against it."""
+    """Two rows of a block tell of one event: shared names decide, else two
+    shared title words, or three against different places or line-ups."""
     titles = F.size(F.array_intersect(f"{a}.toks", f"{b}.toks"))
     names = F.size(F.array_intersect(f"{a}.orquestas", f"{b}.orquestas"))
     both = (F.size(f"{a}.orquestas") > 0) & (F.size(f"{b}.orquestas") > 0)
     places = (F.col(f"{a}.lugar") != "") & (F.col(f"{b}.lugar") != "") & (F.col(f"{a}.lugar") != F.col(f"{b}.lugar"))
     against = (both & (names == 0) & (titles < 3)) | (places & (names < 1) & (titles < 3))
-    return ~against & ((names >= 1) | (titles >= 3))
+    return ~against & ((names >= 1) | (titles >= 2))
 
 
 def fuzzy_pairs(events: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _alike(a: dict, b: dict) -> bool:
     titles, names = len(a["toks"] & b["toks"]), len(a["orq"] & b["orq"])
     if (a["orq"] and b["orq"] and not names and titles < 3) or (a["lugar"] and b["lugar"] and a["lugar"] != b["lugar"] and names < 1 and titles < 3):
         return False
-    return names >= 1 or titles >= 3
+    return names >= 1 or titles >= 2
 
 
 def fold(events: DataFrame, any_member: bool = False) -> DataFrame:

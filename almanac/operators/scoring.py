@@ -13,8 +13,8 @@ class Rule:
     """Points and a reason for rows that meet a condition. `group`: of the
     rules of one group only the first that holds counts."""
 
-    reason: str
-    points: int
+    reason: str | Column
+    points: int | Column
     when: Column
     group: str | None = None
 
@@ -24,7 +24,7 @@ def scored(df: DataFrame, rules: list[Rule], accept: int = 4) -> DataFrame:
     parts: dict[str, Column | None] = {}
     for i, r in enumerate(rules):
         key = r.group or f"#{i}"
-        hit = F.struct(F.lit(r.points).alias("points"), F.lit(r.reason).alias("reason"))
+        hit = F.struct(F.lit(r.points).cast("int").alias("points"), F.lit(r.reason).alias("reason"))
         met = F.coalesce(r.when, F.lit(False))
         parts[key] = F.when(met, hit) if key not in parts else F.coalesce(parts[key], F.when(met, hit))
     hits = F.filter(F.array(*parts.values()), lambda x: x.isNotNull())

@@ -77,7 +77,7 @@ def agenda(spark: SparkSession, sf: str, which: str = "futuras", fuente: str | N
     """The agenda in order of date and hour, what lacks either last."""
     e = ev(spark, sf)
     if fuente:
-        e = e.where(F.col("fuente") == fuente)
+        e = e.where(F.lower("fuente") == fuente.lower())
     future = D.is_future(F.col("day"), today)
     e = e if which == "todas" else e.where(~future if which == "pasadas" else future)
     return e.orderBy(D.as_date(F.col("day")).asc_nulls_last(), F.nullif("hora", F.lit("")).asc_nulls_last(), "id").select(*AGENDA.split(", "))
@@ -248,7 +248,7 @@ def collapse_by_key(spark, sf):
 @query(f"""WITH {BILL}, e AS (SELECT id, municipio, day, lugar, orquestas, {TOKS.format('titulo')} AS toks FROM evb),
 p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.toks, b.toks)) AS t, len(list_intersect(a.orquestas, b.orquestas)) AS o,
  len(a.orquestas) > 0 AND len(b.orquestas) > 0 AS bothb, a.lugar <> '' AND b.lugar <> '' AND a.lugar <> b.lugar AS pl FROM e a JOIN e b ON a.municipio = b.municipio AND a.day = b.day AND a.id < b.id)
-SELECT id_a, id_b FROM p WHERE NOT ((bothb AND o = 0 AND t < 3) OR (pl AND o < 1 AND t < 3)) AND (o >= 1 OR t >= 3)""")
+SELECT id_a, id_b FROM p WHERE NOT ((bothb AND o = 0 AND t < 3) OR (pl AND o < 1 AND t < 3)) AND (o >= 1 OR t >= 2)""")
 def fuzzy_pairs(spark, sf):
     return R.fuzzy_pairs(evb(spark, sf))
 

@@ -6,32 +6,33 @@ Items are (url, page, width, s, x, y, w); a page is a group of bounded size.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.session import ship
 
-BINS = 200
+#: Fixed values, as shares of a page's width: where a gap may lie, how wide it
+#: has to be, and how wide an item is that runs over both columns; items a side.
+MIDDLE, LEAST_GAP, WIDE, LEAST_ITEMS = (0.15, 0.85), 0.015, 0.35, 3
 
 
 def column_cut(items: pd.DataFrame, width: float) -> float | None:
-    """Where a page is cut in two: the middle of the widest empty stretch of
-    its middle 70 %, if at least 1.5 % wide with three items on either side."""
+    """Where a page is cut in two: the middle of the widest gap between the
+    stretches that its items cover, those that run over both columns apart."""
     if not width:
         return None
-    used = [False] * BINS
-    for x, w in zip(items["x"], items["w"], strict=True):
-        for b in range(max(0, int(x / width * BINS)), min(BINS, int((x + w) / width * BINS) + 1)):
-            used[b] = True
-    best, run = (0, 0), 0
-    for b in range(int(0.15 * BINS), int(0.85 * BINS) + 1):
-        run = 0 if used[b] else run + 1
-        best = max(best, (run, b - run + 1))
-    if best[0] < 0.015 * BINS:
-        return None
-    cut = (best[1] + best[0] / 2) / BINS * width
-    return cut if min((items["x"] < cut).sum(), (items["x"] >= cut).sum()) >= 3 else None
+    narrow = items[items["w"] <= WIDE * width].sort_values("x")
+    left, right = narrow["x"].to_numpy(float), (narrow["x"] + narrow["w"]).to_numpy(float)
+    centre = (left + right) / 2
+    reach = np.maximum.accumulate(right) if len(right) else right
+    low, high = (m * width for m in MIDDLE)
+    found = [(min(b, high) - max(a, low), (max(a, low) + min(b, high)) / 2) for a, b in zip(reach[:-1], left[1:], strict=True)]
+    for gap, cut in sorted(found, key=lambda g: (-g[0], g[1])):
+        if gap >= LEAST_GAP * width and min((centre < cut).sum(), (centre >= cut).sum()) >= LEAST_ITEMS:
+            return cut
+    return None
 
 
 def page_texts(items: DataFrame, columns: bool = True) -> DataFrame:
@@ -40,7 +41,7 @@ def page_texts(items: DataFrame, columns: bool = True) -> DataFrame:
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         cut = column_cut(pdf, float(pdf["width"].iloc[0] or 0)) if columns else None
-        pdf = pdf.assign(side=0 if cut is None else (pdf["x"] >= cut).astype(int), row=(pdf["y"] / 4).round() * -4).sort_values(["side", "row", "x"], kind="stable")
+        pdf = pdf.assign(side=0 if cut is None else (pdf["x"] + pdf["w"].where(pdf["w"] <= WIDE * pdf["width"], 0) / 2 >= cut).astype(int), row=(pdf["y"] / 4).round() * -4).sort_values(["side", "row", "x"], kind="stable")
         lines = pdf.groupby(["side", "row"], sort=True)["s"].agg(" ".join)
         return pd.DataFrame({"url": [pdf["url"].iloc[0]], "page": [pdf["page"].iloc[0]], "texto": ["\n".join(lines)]})
 

@@ -24,6 +24,18 @@ def test_hours(spark, text, want):
     assert one(spark, T.hours(F.col("t")), t=text) == want
 
 
+def test_entities(spark):
+    assert one(spark, T.entities(F.col("t")), t="a&#233;b&#xE9;&#128512; &#x110000; &ntilde;&amp;") == "aébé😀 &#x110000;  &"
+    assert one(spark, T.entities(F.col("t")), t="&#;&#12") == "&#;&#12"
+
+
+def test_rites_need_music_and_mentions_lift_vetoes(spark):
+    rows = [("Baile de la Virgen", "", 0), ("Baile de la Virgen", "con parranda", 0), ("Verbena", "misa y " + "x" * 600 + " amenizado", 0), ("Verbena", "misa", 0), ("Verbena", "misa", 6), ("Verbena Sabrosa", "Sabrosa y Falete", 0)]
+    df = spark.createDataFrame(rows, "t string, d string, e int")
+    got = scored(df, S.event_rules(["Sabrosa", "Falete"], F.col("t"), F.col("d"), F.lit(""), F.lit(""), F.col("e"))).collect()
+    assert [r["score"] for r in got] == [-3, 3, 3, 0, 9, 13]
+
+
 def test_days_and_months(spark):
     assert [one(spark, D.is_future(F.col("d"), "2026-09-13"), d=d) for d in ("13-09-2026", "12-09-2026", "", "x")] == [True, False, True, True]
     assert [one(spark, D.day_number(F.col("d")), d=d) for d in ("05-10-2026", "", "31-02-2026")] == [20261005, 0, 0]
@@ -39,8 +51,8 @@ def test_scores_explain_themselves(spark):
     rows = [("Gran Verbena", "", "", ""), ("Gran Verbena", "", "23:00", "Plaza X"), ("Taller infantil de baile", "", "", ""), ("Noche con La Sabrosa", "", "", ""), ("Misa", "Rosario", "", "")]
     df = spark.createDataFrame(rows, "t string, d string, h string, p string")
     got = scored(df, S.event_rules(["Sabrosa"], F.col("t"), F.col("d"), F.col("h"), F.col("p"))).collect()
-    assert [(r["score"], r["aceptado"]) for r in got] == [(3, False), (5, True), (-6, False), (5, True), (-14, False)]
-    assert got[1]["motivos"] == ["titulo", "noche", "lugar"]
+    assert [(r["score"], r["aceptado"]) for r in got] == [(3, False), (5, True), (-6, False), (5, True), (-8, False)]
+    assert got[1]["motivos"] == ["titulo: gran verbena", "noche", "lugar: Plaza X"]
 
 
 @pytest.mark.parametrize(("told", "days"), [("3 h", 0), ("20 min", 0), ("ayer", 1), ("4 d", 4), ("2 sem", 14), ("15 de ago.", 29), ("20 de dic.", 267), ("", 999)])
@@ -64,6 +76,8 @@ def test_sections():
     assert cut("inscripción (hasta el 10 de septiembre)") == [] and cut(None) == []
     assert cut("24 25 Jueves actos", "06", "2026") == [(25, "", "")] and cut("24 26 Jueves actos", "06", "2026") == []
     assert cut("SÁBADO 3 Sábado 10") == [(3, "", ""), (10, "", "")]
+    assert cut("Viernes 21:30 baile") == [] and cut("antes del día 5 de mayo") == [] and cut("a las 7 de agosto") == []
+    assert cut("7 - 9 de agosto\n30 de agosto: fin") == [(7, "08", ""), (30, "08", "")]
     got = P.sections_of("Viernes 25 misa. A su término BAILE POPULAR. 26 Sábado gala")
     assert got[0]["texto"] == "Viernes 25 misa. " and got[1]["texto"].startswith("A su término")
 
@@ -71,6 +85,9 @@ def test_sections():
 def test_line_ups(spark):
     assert P.names_of("Orquesta La Sabrosa y Nueva Línea") == ["Sabrosa y Nueva Línea"]
     assert set(P.names_of("Verbena con el Grupo Pati, Atenia y la Orquesta Olimpia")) == {"Pati", "Atenia", "Olimpia"}
+    assert P.names_of("Verbena amenizada por las orquestas Uno, Dos y Tres. Fuegos") == ["Uno", "Dos", "Tres"]
+    assert P.names_of("Actuación de: Grupo Alma, DJ Rayo y Parranda Sur (gratis)") == ["Alma", "Rayo", "Sur"]
+    assert P.names_of("Baile con la Orquesta Malibú, Plaza del Pueblo") == ["Malibú"] and P.names_of("Gala con Pepe en la Plaza") == ["Pepe"]
     assert P.names_of("Baile con entrega de premios") == [] and P.names_of(None) == []
     df = spark.createDataFrame([(1, "Sábado 3 baile. Domingo 4 gala"), (2, None)], "id int, t string")
     assert [(r["id"], r["ord"], r["dia"]) for r in P.sections(df, "id", "t").collect()] == [(1, 0, 3), (1, 1, 4)]

@@ -20,7 +20,7 @@ def test_fold_is_sequential_and_clusters_look_at_any_member(spark):
 
 
 def test_different_line_ups_at_one_place_are_not_merged(spark):
-    df = spark.createDataFrame([event(1, "Verbena", ["Uno"], "Plaza"), event(2, "Verbena", ["Dos"], "Plaza"), event(3, "Gran verbena popular plaza", [], "Plaza"), event(4, "Gran verbena popular plaza", [], "Parque")], COLUMNS)
+    df = spark.createDataFrame([event(1, "Verbena", ["Uno"], "Plaza"), event(2, "Verbena", ["Dos"], "Plaza"), event(3, "Verbena popular nocturna plaza", [], "Plaza"), event(4, "Verbena popular nocturna plaza", [], "Parque")], COLUMNS)
     assert {tuple(r) for r in R.fuzzy_pairs(df).collect()} == {(3, 4)}
 
 

@@ -36,6 +36,8 @@ def test_pages_in_columns_and_repairs(spark):
     left, right = [(f"l{i}", 50.0, 700.0 - 20 * i) for i in range(4)], [(f"r{i}", 350.0, 700.0 - 20 * i) for i in range(4)]
     df = spark.createDataFrame([("u", 1, 600.0, s, x, y, 100.0) for s, x, y in left + right], "url string, page int, width double, s string, x double, y double, w double")
     assert pdf.page_texts(df).first()["texto"].split("\n") == ["l0", "l1", "l2", "l3", "r0", "r1", "r2", "r3"]
+    wide = df.union(spark.createDataFrame([("u", 1, 600.0, "heading", 40.0, 740.0, 500.0)], df.schema))
+    assert pdf.page_texts(wide).first()["texto"].split("\n") == ["heading", "l0", "l1", "l2", "l3", "r0", "r1", "r2", "r3"]
     assert pdf.page_texts(df, columns=False).first()["texto"].split("\n")[0] == "l0 r0"
     cases = {"BOM - BA": "BOMBA", "veci - nas": "vecinas", "Música - Baile": "Música - Baile", "8 de septiembe": "8 de septiembre"}
     for text, want in cases.items():
