@@ -41,32 +41,67 @@ def collapse(events: DataFrame) -> DataFrame:
     )
 
 
-def alike(a: str, b: str) -> Column:
-    """Two rows of a block tell of one event: shared names decide, else two
-    shared title words, or three against different places or line-ups."""
-    titles = F.size(F.array_intersect(f"{a}.toks", f"{b}.toks"))
-    names = F.size(F.array_intersect(f"{a}.orquestas", f"{b}.orquestas"))
-    both = (F.size(f"{a}.orquestas") > 0) & (F.size(f"{b}.orquestas") > 0)
-    places = (F.col(f"{a}.lugar") != "") & (F.col(f"{b}.lugar") != "") & (F.col(f"{a}.lugar") != F.col(f"{b}.lugar"))
-    against = (both & (names == 0) & (titles < 3)) | (places & (names < 1) & (titles < 3))
-    return ~against & ((names >= 1) | (titles >= 2))
-
-
 def fuzzy_pairs(events: DataFrame) -> DataFrame:
-    """(id_a, id_b) of rows that are alike, within a block, id_a < id_b."""
-    e = events.select("id", "municipio", "day", "lugar", "orquestas", T.tokens(F.col("titulo")).alias("toks"))
-    a, b = e.alias("a"), e.alias("b")
-    same = (F.col("a.municipio") == F.col("b.municipio")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same).where(alike("a", "b")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-
-
-def _alike(a: dict, b: dict) -> bool:
+    """(id_a, id_b), id_a < id_b, of rows of one municipality and day that tell
+    of one event: shared names decide, else two shared title words, or three
+    against different places or line-ups. Rows meet by (municipality, day, name
+    or word), so a large block is compared only where something is shared."""
+    names = F.transform("orquestas", lambda x: F.struct(F.lit(True).alias("named"), x.alias("w")))
+    words = F.transform(T.tokens(F.col("titulo")), lambda x: F.struct(F.lit(False).alias("named"), x.alias("w")))
+    rows = events.select("id", "municipio", "day", "lugar", (F.size("orquestas") > 0).alias("billed"), F.explode(F.array_distinct(F.concat(names, words))).alias("k")).select("*", "k.*").drop("k")
+    other = rows.select("municipio", "day", "named", "w", *[F.col(c).alias(f"{c}_b") for c in ("id", "lugar", "billed")])
+    met = rows.join(other, ["municipio", "day", "named", "w"]).where(F.col("id") < F.col("id_b"))
+    n = met.groupBy(F.col("id").alias("id_a"), "id_b", "lugar", "lugar_b", "billed", "billed_b").agg(F.count_if("named").alias("names"), F.count_if(~F.col("named")).alias("titles"))
+    places = (F.col("lugar") != "") & (F.col("lugar_b") != "") & (F.col("lugar") != F.col("lugar_b"))
+    against = (F.col("names") == 0) & (F.col("titles") < 3) & ((F.col("billed") & F.col("billed_b")) | places)
+    return n.where(~against & ((F.col("names") >= 1) | (F.col("titles") >= 2))).select("id_a", "id_b")
+
+
+def alike(a: dict, b: dict) -> bool:
+    """The same of two rows with their line-up, title words and place."""
     titles, names = len(a["toks"] & b["toks"]), len(a["orq"] & b["orq"])
-    if (a["orq"] and b["orq"] and not names and titles < 3) or (a["lugar"] and b["lugar"] and a["lugar"] != b["lugar"] and names < 1 and titles < 3):
+    places = a["lugar"] and b["lugar"] and a["lugar"] != b["lugar"]
+    if not names and titles < 3 and ((a["orq"] and b["orq"]) or places):
         return False
     return names >= 1 or titles >= 2
 
 
+class Groups:
+    """The groups of one block, found by what they share with a row. Members
+    that say the same are kept once."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.kinds: list[list[dict]] = []
+        self.seen: list[set] = []
+        self.by: dict[tuple, list[int]] = {}
+
+    def place(self, row: dict, any_member: bool) -> int:
+        """The id of the first group that the row is alike, or its own."""
+        marks = [*((0, o) for o in row["orq"]), *((1, t) for t in row["toks"])]
+        met = sorted({g for m in marks for g in self.by.get(m, ())})
+        found = next((g for g in met if any(alike(k, row) for k in self.kinds[g])), None)
+        if found is None:
+            found = len(self.ids)
+            self.ids.append(row["id"])
+            self.kinds.append([dict(row, orq=set(row["orq"]))])
+            self.seen.append(set())
+            fresh = marks
+        elif any_member:
+            fresh = marks
+            if (kind := (row["lugar"], frozenset(row["orq"]), frozenset(row["toks"]))) not in self.seen[found]:
+                self.seen[found].add(kind)
+                self.kinds[found].append(row)
+        else:
+            self.kinds[found][0]["orq"] |= row["orq"]
+            fresh = [(0, o) for o in row["orq"]]
+        for m in fresh:
+            at = self.by.setdefault(m, [])
+            if found not in at[-1:]:
+                at.append(found)
+        return self.ids[found]
+
+
 def fold(events: DataFrame, any_member: bool = False) -> DataFrame:
     """(id, grupo): rows are taken in order of source and id; each joins the
     first group that it is alike, compared with what the group has gathered
@@ -74,29 +109,19 @@ def fold(events: DataFrame, any_member: bool = False) -> DataFrame:
 
     The order matters inside a block of one municipality and day. Blocks are
     dealt by hash, sorted by Spark, and read as a stream that holds one block's
-    groups at a time; so there is no call for each of many small blocks."""
+    groups at a time, indexed by name and word, so that a row looks only at
+    groups with which it shares one."""
     order = ["municipio", "day", "fuente", "id"]
     rows = events.select(*order, "lugar", "orquestas", T.tokens(F.col("titulo")).alias("toks")).repartition("municipio", "day").sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, groups = None, []
+        block, groups = None, Groups()
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
                 if block != (r.municipio, r.day):
-                    block, groups = (r.municipio, r.day), []
-                row = {"id": r.id, "lugar": r.lugar or "", "orq": set(r.orquestas), "toks": set(r.toks)}
-                for g in groups:
-                    if any(_alike(m, row) for m in g):
-                        break
-                else:
-                    g = []
-                    groups.append(g)
-                if any_member or not g:
-                    g.append(row)
-                else:
-                    g[0]["orq"] |= row["orq"]
-                out.append((r.id, g[0]["id"]))
+                    block, groups = (r.municipio, r.day), Groups()
+                out.append((r.id, groups.place({"id": r.id, "lugar": r.lugar or "", "orq": set(r.orquestas), "toks": set(r.toks)}, any_member)))
             yield pd.DataFrame(out, columns=["id", "grupo"])
 
     return rows.mapInPandas(stream, "id long, grupo long")

@@ -7,16 +7,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def upsert(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """Rows of either; where both have the key, the batch's values that are
-    not null win. Repeating a batch changes nothing."""
+    not null win, in the columns that it has. Repeating a batch changes nothing."""
     b = batch.select(*[F.col(c).alias(f"_{c}") for c in batch.columns])
     joined = stored.join(b, F.col(key) == F.col(f"_{key}"), "full_outer")
-    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) for c in stored.columns])
+    return joined.select(*[(F.coalesce(f"_{c}", c) if c in batch.columns else F.col(c)).alias(c) for c in stored.columns])
 
 
 def purge(stored: DataFrame, date: str, day: str) -> DataFrame:
@@ -33,14 +33,31 @@ def novel(batch: DataFrame, shown: DataFrame, key: str = "id") -> DataFrame:
     return batch.join(shown.select(key), key, "left_anti")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write df in place of the table at path, which df may have read."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    """Write df in place of the table at path, which df may have read. Whoever
+    opens the table after a job that was cut off calls recover first."""
+    fs, at = _files(df.sparkSession, path)
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    fs = at(path).getFileSystem(conf)
     if fs.exists(at(path)):
         fs.rename(at(path), at(old))
     fs.rename(at(fresh), at(path))
     fs.delete(at(old), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """End a swap that was cut off: where the table is missing, the newest whole
+    one beside it, new before old, takes its place."""
+    fs, at = _files(spark, path)
+    if fs.exists(at(path)):
+        return
+    for kind in ("new", "old"):
+        whole = [f for f in (fs.globStatus(at(f"{path}.{kind}-*")) or []) if fs.exists(at(f"{f.getPath()}/_SUCCESS"))]
+        if whole:
+            fs.rename(max(whole, key=lambda f: f.getModificationTime()).getPath(), at(path))
+            return

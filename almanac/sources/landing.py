@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +32,25 @@ class SourceSpec:
     options: dict = field(default_factory=dict)
 
 
-def union(spark: SparkSession, specs: list[SourceSpec], only: str | None = None) -> DataFrame:
+def union(spark: SparkSession, specs: list[SourceSpec], only: str | None = None, failed: dict[str, str] | None = None) -> DataFrame:
     """All sources' rows with their name and rank; `only` prunes to one, and
-    the others are not read."""
-    frames = [s.parse(spark, s.path, **s.options).withColumn("fuente", F.lit(s.name)).withColumn("rango", F.lit(s.rank)) for s in specs if only is None or s.name.lower() == only.lower()]
-    if not frames:
+    the others are not read. With `failed`, a source that cannot be opened is
+    noted there by its name, and the others go on."""
+    chosen = [s for s in specs if only is None or s.name.lower() == only.lower()]
+    if not chosen:
         raise ValueError(f"no source is named {only!r}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    out = None
+    for s in chosen:
+        try:
+            rows = s.parse(spark, s.path, **s.options).withColumn("fuente", F.lit(s.name)).withColumn("rango", F.lit(s.rank))
+        except AnalysisException as e:
+            if failed is None:
+                raise
+            failed[s.name] = str(e).splitlines()[0]
+            continue
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no source could be opened: {failed}")
     return out
 
 

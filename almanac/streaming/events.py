@@ -31,7 +31,9 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, key: str, late: str = "60 days") -> DataFrame:
-    """Each key once, whatever number of batches it comes in."""
+    """Each key once in whatever batches it comes, as long as it comes again
+    within `late` of its last time: state is dropped after that, and what is
+    stored is told apart by store.novel."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).select(key)
 
 

@@ -19,6 +19,31 @@ def test_fold_is_sequential_and_clusters_look_at_any_member(spark):
     assert R.fold(df.limit(0)).count() == 0
 
 
+def test_folds_match_a_plain_scan(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"palabra{c}" for c in "abcdefgh"]
+    rows = [event(i, " ".join(rng.sample(words, 3)), rng.sample("uvwxyz", rng.choice([0, 0, 1, 2])), rng.choice(["", "P", "Q"]), fuente=rng.choice("ab"), day=rng.choice(["01-02-2026", "02-02-2026"])) for i in range(160)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    mine = [{"id": r[0], "day": r[2], "fuente": r[7], "lugar": r[5], "orq": set(r[6]), "toks": set(r[1].split())} for r in rows]
+    pairs = {(a["id"], b["id"]) for a in mine for b in mine if a["id"] < b["id"] and a["day"] == b["day"] and R.alike(a, b)}
+    assert {tuple(r) for r in R.fuzzy_pairs(df).collect()} == pairs and pairs
+    for any_member in (False, True):
+        groups, want = [], set()
+        for r in sorted(mine, key=lambda r: (r["day"], r["fuente"], r["id"])):
+            g = next((g for g in groups if g[0]["day"] == r["day"] and any(R.alike(m, r) for m in g)), None)
+            if g is None:
+                groups.append([dict(r, orq=set(r["orq"]))])
+                g = groups[-1]
+            elif any_member:
+                g.append(r)
+            else:
+                g[0]["orq"] |= r["orq"]
+            want.add((r["id"], g[0]["id"]))
+        assert {(r["id"], r["grupo"]) for r in R.fold(df, any_member).collect()} == want
+
+
 def test_different_line_ups_at_one_place_are_not_merged(spark):
     df = spark.createDataFrame([event(1, "Verbena", ["Uno"], "Plaza"), event(2, "Verbena", ["Dos"], "Plaza"), event(3, "Verbena popular nocturna plaza", [], "Plaza"), event(4, "Verbena popular nocturna plaza", [], "Parque")], COLUMNS)
     assert {tuple(r) for r in R.fuzzy_pairs(df).collect()} == {(3, 4)}
@@ -41,4 +66,9 @@ def test_upsert_is_idempotent_and_replace_swaps(spark, tmp_path):
     K.replace(once, path)
     K.replace(K.upsert(spark.read.parquet(path), b), path)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "x"), (2, "z"), (3, None)]
+    part = K.upsert(a.withColumn("w", a.id), b)  # a batch without a stored column
+    assert sorted(map(tuple, part.collect()), key=repr) == [(1, "x", 1), (2, "z", 2), (3, None, None)]
+    (tmp_path / "t").rename(tmp_path / "t.new-1")  # as a swap that was cut off leaves it
+    K.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3
     assert [r["id"] for r in K.gone(a, b).collect()] == [1] and [r["id"] for r in K.novel(b, a).collect()] == [3]

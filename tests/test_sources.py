@@ -21,6 +21,8 @@ def test_json_landings(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<urlset><loc>https://x.es/fiestas-de-mayo/</loc><loc> https://x.es/a-b </loc></urlset>")
     assert sorted(r["titulo"] for r in L.sitemap(spark, str(tmp_path / "s.xml")).collect()) == ["A B", "Fiestas De Mayo"]
     specs = [L.SourceSpec("uno", str(tmp_path / "s.xml"), L.sitemap), L.SourceSpec("dos", "/nowhere", L.sitemap, 1)]
+    failed = {}
+    assert L.union(spark, specs, failed=failed).select("fuente").distinct().collect()[0][0] == "uno" and list(failed) == ["dos"]
     assert L.union(spark, specs, only="UNO").select("fuente").distinct().collect()[0][0] == "uno"
 
 
