@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm import hashing as hs
@@ -77,9 +77,14 @@ def likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ste
     return np.take_along_axis(j, fit.argmax(1)[:, None], 1)[:, 0]
 
 
+def printed() -> Column:
+    """A hash of the text, which tells texts of a repeated doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print")
+
+
 def prints(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(doc_id, n, hi, lo, registers): set size, 128 bits that name the set,
-    sketch (null without shingles)."""
+    """(doc_id, print, n, hi, lo, registers): a hash of the text, set size, 128
+    bits that name the set, sketch (null without shingles)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,9 +99,9 @@ def prints(docs: DataFrame, k: int, m: int) -> DataFrame:
                         regs[d] = r.tobytes()
                     for s in (0, 1):
                         names[s, some] = np.add.reduceat(hs.mix(h ^ hs.MULTIPLIER[s]), at[:-1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *map(pa.array, names.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n", "hi", "lo", "registers"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *map(pa.array, names.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "print", "n", "hi", "lo", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n long, hi long, lo long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), printed()).mapInArrow(rows, "doc_id long, print long, n long, hi long, lo long, registers binary")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -218,6 +223,11 @@ def rest_links(rest: DataFrame, shingles: DataFrame, percent: int, block: int =
 # -------------------------------------------------------------------- whole
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
+    return resolved(docs, k, percent, bands, rows).drop("print")
+
+
+def resolved(docs: DataFrame, k: int, percent: int, bands: int = 40, rows: int = 5) -> DataFrame:
+    """The same with the print of each row's text."""
     name = ["n", "hi", "lo"]
     found = materialize(prints(docs, k, bands * rows), "prints")
     classes = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*name).agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
@@ -259,16 +269,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     least = owner.groupBy("root").agg(F.min("least").alias("component"))
     named = owner.join(least, "root").join(classes.select("cls", *name), "cls").select(*name, "component")
     component = F.when(F.col("component").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", *name).join(named, name, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "print", *name).join(named, name, "left").select("doc_id", "print", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs less the rows that are not kept, all columns kept. Rows that share
-    a doc_id stay or go together."""
-    found = near_duplicates(docs, k, percent)
-    (left,) = unused(docs, "gone")
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias(left)).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col(left), "left_anti")
+    """docs less the rows that are not kept, all columns kept. A row goes by its
+    doc_id and text: of a repeated doc_id only the texts that are copies go;
+    equal rows and rows without an id stay."""
+    doc, print_ = unused(docs, "gone_doc", "gone_print")
+    gone = resolved(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("print").alias(print_)).distinct()
+    here = (F.col("doc_id").cast("long") == F.col(doc)) & (printed() == F.col(print_))
+    return docs.join(sized(materialize(gone, "gone")), here, "left_anti")
 
 
 def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

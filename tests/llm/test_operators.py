@@ -401,6 +401,8 @@ def test_near_duplicates_match_brute_force(spark, documents, odd, none):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute_components(plain, k), key=key)
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert neardup.near_duplicates(none).count() == 0
+    two = spark.createDataFrame([(3, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "k l m n o p q r s"), (None, "a b c d e f g h")], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.without_copies(two).collect()), key=repr) == [(3, "a b c d e f g h"), (7, "k l m n o p q r s"), (None, "a b c d e f g h")]
     left = neardup.without_copies(odd)
     assert left.count() == 9 - 0 and left.columns == odd.columns
 
