@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 #: Rows and bytes that go to a Python worker at once, where the session names
 #: none: texts and pages are long, and a worker holds a batch several times over.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _MADE: list[str] = []
 
 
