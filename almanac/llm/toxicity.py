@@ -38,7 +38,7 @@ from almanac.session import materialize, read
 SECOND_PERSON = "you your yours yourself du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos usted ustedes ti tus".split()
 FEATURES = ("strong", "weak", "top", "sum", "rate", "hits", "near_you", "you", "capitals", "shouted", "punctuation", "exclaimed", "obfuscated", "doubled", "length", "words")
 BEGINNINGS = (4, 5, 6, 7, 8, 9)  # bytes
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 OTHER = np.ones(256, bool)  # what separates words: all but letters
 OTHER[ord("a") : ord("z") + 1] = OTHER[ord("A") : ord("Z") + 1] = OTHER[0x80:] = False
