@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.operators.resolve import key as canonical_key
+
 
 def upsert(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """Rows of either; where both have the key, the batch's values that are
@@ -33,6 +35,53 @@ def novel(batch: DataFrame, shown: DataFrame, key: str = "id") -> DataFrame:
     return batch.join(shown.select(key), key, "left_anti")
 
 
+def deduplicated(stored: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row for each group (id, grupo) of stored rows: the one with an hour,
+    the larger line-up, the longer title and the smaller id stays, with the
+    longest title, united line-ups and sources and the largest score; what has
+    no clave, fuentes or estado gets them. A row without a group stays alone."""
+    rows = stored.join(groups, "id", "left").withColumn("grupo", F.coalesce("grupo", "id"))
+    first = F.struct(F.col("hora") == "", -F.size("orquestas"), -F.char_length("titulo"), "id")
+    told = F.filter(F.array_distinct(F.concat(F.coalesce("fuentes", F.array().cast("array<string>")), F.array("fuente"))), lambda x: x.isNotNull())
+    lead = {c: F.min_by(c, first) for c in ("id", "hora", "day", "municipio", "lugar", "fuente")}
+    longest = F.min_by("titulo", F.struct(-F.char_length("titulo"), "id"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    state = F.coalesce(F.min_by("estado", first), F.lit("activo"))
+    merged = rows.withColumn("fuentes", told).groupBy("grupo").agg(
+        *[v.alias(c) for c, v in lead.items()], longest.alias("titulo"), union("orquestas").alias("orquestas"), union("fuentes").alias("fuentes"),
+        F.max("score").alias("score"), F.min_by("clave", first).alias("clave"), state.alias("estado"),
+    )
+    return merged.drop("grupo").withColumn("clave", F.coalesce("clave", canonical_key(F.col("municipio"), F.col("day"), F.try_element_at("orquestas", F.lit(1)), F.col("titulo"))))
+
+
+def with_states(stored: DataFrame, signals: DataFrame) -> DataFrame:
+    """Stored rows with estado and posibleCancelacion after the newest signal of
+    each (id, at, cancela, retoma): resuming makes active, cancelling marks."""
+    last = signals.groupBy("id").agg(F.max_by(F.struct("cancela", "retoma"), F.struct("at", "retoma")).alias("_s"))
+    joined = stored.join(last, "id", "left")
+    new = {"estado": F.when(F.col("_s.retoma"), "activo").otherwise(F.col("estado")), "posibleCancelacion": F.when(F.col("_s.retoma"), False).when(F.col("_s.cancela"), True).otherwise(F.col("posibleCancelacion"))}
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in stored.columns])
+
+
+def cached(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(clave, url, at, texto): the newest text of each address, by its hash."""
+    both = cache.select("url", "at", "texto").union(fresh.select("url", "at", "texto"))
+    newest = both.groupBy("url").agg(F.max(F.struct("at", "texto")).alias("_n"))
+    return newest.select(F.sha1("url").alias("clave"), "url", "_n.at", "_n.texto")
+
+
+def conflicts(accounts: DataFrame) -> DataFrame:
+    """Accounts whose handle an account of smaller id has already."""
+    owner = accounts.where(F.col("handle") != "").groupBy("handle").agg(F.min("id").alias("_owner"))
+    return accounts.join(owner, "handle").where(F.col("id") != F.col("_owner")).select(*accounts.columns)
+
+
+def with_media(posts: DataFrame, media: DataFrame) -> DataFrame:
+    """Adds imagen to posts: the address of their featured medium, null without."""
+    m = media.select(F.col("id").alias("_m"), F.col("source_url").alias("imagen"))
+    return posts.join(m, F.col("featured_media") == F.col("_m"), "left").drop("_m")
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path
     return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from almanac.plans import agenda, records  # noqa: F401 (records adds its queries)
+from almanac.plans import agenda, gates, records  # noqa: F401 (gates and records add their queries)
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
