@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import text as T
-from almanac.operators.social import NIGHT, any_word
+from almanac.operators.social import NIGHT, any_word, is_container
 
 #: Words of a feast, and of what a text must hold to be promoted.
 FEAST = "fiestas?|festejos|romeria|verbenas?|bailes?|orquestas?|tardeo"
@@ -74,6 +74,13 @@ def is_poster(src: Column, valid: str) -> Column:
     return F.lower(_text(src)).rlike("^https?:") & path.rlike(r"\.(jpe?g|png|webp)$") & F.contains(_text(src), F.lit(valid)) & F.lower(_text(src)).rlike(POSTER)
 
 
+def is_opened(title: Column, accepted: Column, places: list[str] = ()) -> Column:
+    """Whether a listed item's page is worth reading: its title is accepted,
+    stands for a programme, or names (as whole words) a place. places: folded."""
+    named = T.fold(_text(title)).rlike(any_word(list(places))) if places else F.lit(False)
+    return F.coalesce(accepted, F.lit(False)) | is_container(_text(title)) | named
+
+
 def is_elsewhere(text: Column, places: list[str]) -> Column:
     """Names, as whole words, a place outside of the region. places: folded."""
     return T.fold(_text(text)).rlike(any_word(places)) if places else F.lit(False)

@@ -57,6 +57,15 @@ def link_gates(spark, sf):
     return read(spark, sf, "pages").select("page_id", G.is_poster(src, "2026").alias("cartel"), G.is_entity(url, name, "x.com", own="yo").alias("entidad"))
 
 
+LISTED = ["Programa de actos", "Obras en la Villa", "Aviso", "Verbena", "Villano"]
+
+
+@query("SELECT page_id, page_id % 5 IN (0, 1, 3) AS abrir FROM pages")
+def opened_items(spark, sf):
+    title = pick(LISTED, F.col("page_id") % 5)
+    return read(spark, sf, "pages").select("page_id", G.is_opened(title, title == "Verbena", ["la villa"]).alias("abrir"))
+
+
 _SET = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: len(w) > 3))"
 _NAMED = "p_name || ' ' || p_type"
 

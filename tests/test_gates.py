@@ -30,6 +30,7 @@ def each(spark, column, values):
         (lambda t: G.is_fresh(t.cast("int")), ["7", "8", None], [True, False, False]),
         (lambda t: G.is_poster(t, "2026"), ["https://a/2026/Fiesta.JPG?x", "a/2026/fiesta.jpg", "https://a/2025/fiesta.jpg", None], [True, False, False, False]),
         (lambda t: G.is_entity(t, F.lit("Ana"), "x.com", own="yo"), ["https://www.x.com/ana", "https://x.com/yo", "https://y.com/ana", "https://x.com/help/a", "https://x.com/ana/photos", None], [True, False, False, False, False, False]),
+        (lambda t: G.is_opened(t, F.lit(None).cast("boolean"), ["la villa"]), ["Fiestas de X", "En La Villa", "La Villanueva", None], [True, True, False, False]),
         (lambda t: G.is_elsewhere(t, ["la palma"]), ["Baile en La Palma", "la palmera", None], [True, False, False]),
     ],
 )
