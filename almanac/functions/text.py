@@ -17,6 +17,9 @@ STOP = (
     "orquesta orquestas grupo grupos amenizado amenizada amenizados amenizadas "
     "plaza calle parque teatro iglesia avenida recinto cancha auditorio ermita parroquia plazoleta pabellon campo puente"
 ).split()
+#: What columns of programmes break or abbreviate, and how it reads.
+_M, _D = "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre", "lunes|martes|mi[ée]rcoles|jueves|viernes|s[áa]bado|domingo"
+PROGRAMME = [("(?iu)SÁBAD O", "SÁBADO"), ("(?i)D OMINGO", "DOMINGO"), (r"(?i)\bJUl\b", "julio"), (r"(?i)\b(\d{1,2}):(\d{2})\s*H\b", "$1:$2"), (rf"(?iu)\b({_M})\s+({_D})\s+(\d{{1,2}})", "$2 $3 DE $1")]
 CLOSING = r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article|header|footer|ul|ol|table|nav|title)>"
 
 
@@ -111,6 +114,23 @@ def hours(c: Column) -> Column:
     return F.regexp_replace(c, r"(\d{1,2})\.(\d{2})(\s*(?:h|horas)(?:[^a-z]|$))", "$1:$2$3")
 
 
+def clean_title(c: Column, most: int = 90) -> Column:
+    """A title without marks of layout, in single spaces, of most characters."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[|*_#>`↓]+", " "), r"\s+", " ")), 1, most)
+
+
+def says(c: Column, word: Column) -> Column:
+    """Whether a text has a word, whatever the marks and case of either."""
+    return F.contains(F.concat(F.lit(" "), words_and_digits(c), F.lit(" ")), F.concat(F.lit(" "), words_and_digits(word), F.lit(" ")))
+
+
+def rewritten(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """A text after (pattern, replacement) rules, in their order."""
+    for pattern, to in rules:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
 def last_number_year(c: Column) -> Column:
     """The largest year 2020-2099 named in a text."""
     return F.array_max(F.transform(F.regexp_extract_all(c, F.lit("(20[2-9][0-9])"), F.lit(1)), lambda x: x.cast("int")))

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.functions import text as T
 from almanac.operators.resolve import key as canonical_key
 
 
@@ -76,6 +77,31 @@ def conflicts(accounts: DataFrame) -> DataFrame:
     return accounts.join(owner, "handle").where(F.col("id") != F.col("_owner")).select(*accounts.columns)
 
 
+def alerts(stored: DataFrame, fresh: DataFrame, most: int = 300) -> DataFrame:
+    """(municipio, tipo, url, at, detalle, primero): the newest alert of each
+    (municipio, tipo, url), with the time since which it is held. A repeated one
+    keeps its place; of more than most, a ring, those held longest go."""
+    told = fresh.select("municipio", "tipo", "url", "at", "detalle", F.col("at").alias("primero"))
+    newest = F.max(F.struct("at", "detalle")).alias("_n")
+    held = stored.unionByName(told).groupBy("municipio", "tipo", "url").agg(newest, F.min("primero").alias("primero"))
+    kept = held.orderBy(F.desc("primero"), "municipio", "tipo", "url").limit(most)
+    return kept.select("municipio", "tipo", "url", "_n.at", "_n.detalle", "primero")
+
+
+def imported(accounts: DataFrame, followed: DataFrame, own: str, at: int) -> DataFrame:
+    """accounts and the new ones of followed (nombre, url, tipo, municipio), by
+    nombre: navigation, the own profile, addresses without a handle and handles
+    that an account has are left out; the first of a handle, by url, counts."""
+    named, url = F.trim("nombre"), F.trim("url")
+    rows = followed.select(named.alias("nombre"), url.alias("url"), "tipo", "municipio", T.handle(url).alias("handle"))
+    inner = F.col("nombre").rlike("(?i)editar perfil|solicitudes de amistad") | F.contains("url", F.lit(own)) | F.col("url").rlike(r"/friends/?([?#]|$)")
+    new = rows.where(~inner & (F.col("handle") != "")).join(accounts.select("handle"), "handle", "left_anti")
+    fields = ("nombre", "url", "tipo", "municipio")
+    first = new.groupBy("handle").agg(F.min_by(F.struct(*fields), F.struct("url", "nombre")).alias("_f"))
+    made = first.select(T.slug(F.col("_f.nombre")).alias("id"), "handle", *[f"_f.{f}" for f in fields], F.lit(True).alias("activa"), F.lit(at).cast("long").alias("createdAt"), F.lit(at).cast("long").alias("updatedAt"))
+    return accounts.unionByName(made).orderBy("nombre", "handle")
+
+
 def with_media(posts: DataFrame, media: DataFrame) -> DataFrame:
     """Adds imagen to posts: the address of their featured medium, null without."""
     m = media.select(F.col("id").alias("_m"), F.col("source_url").alias("imagen"))
@@ -99,6 +125,27 @@ def replace(df: DataFrame, path: str) -> None:
     fs.delete(at(old), True)
 
 
+def back_up(spark: SparkSession, path: str, day: str) -> str:
+    """Copy the table at path beside it, once a day; a later call of that day
+    leaves the first copy as it is. The copy's path."""
+    copy = f"{path}.backup-{day}"
+    fs, at = _files(spark, copy)
+    if not fs.exists(at(f"{copy}/_SUCCESS")):
+        spark.read.parquet(path).write.mode("overwrite").parquet(copy)
+    return copy
+
+
+def apply_dedup(spark: SparkSession, path: str, groups: DataFrame, day: str, dry: bool = True) -> DataFrame:
+    """Back the table at path up and merge the groups (id, grupo) of its rows.
+    Unless dry, the result takes the table's place. Returns (grupo, ids, n) of
+    the groups that merge: the report."""
+    stored = spark.read.parquet(back_up(spark, path, day))
+    if not dry:
+        replace(deduplicated(stored, groups), path)
+    merging = stored.select("id").join(groups, "id").groupBy("grupo").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+    return merging.where("n > 1")
+
+
 def recover(spark: SparkSession, path: str) -> None:
     """End a swap that was cut off: where the table is missing, the newest whole
     one beside it, new before old, takes its place."""
