@@ -12,7 +12,10 @@ order and smoothing,
     p(w) = (c(w)+add)/(tokens+add*vocabulary)
 
 A document's score is the mean difference of its tokens' losses, background
-less target: higher is more like the target.
+less target: higher is more like the target. With leave_out, a document's own
+counts are taken out of each model that counted them before it is scored, so
+that members of the target are scored as unseen texts are; what its copies add
+stays.
 
 Nothing of the models comes to the driver but three sums. Documents are cut
 into chunks of some megabytes, which are written; each chunk gives its
@@ -198,7 +201,15 @@ def counts(cut: DataFrame, known: np.ndarray | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- scoring
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, most_words: int | None = None, add: float = 0.5, history: float = 50.0) -> DataFrame:
+def occurrences(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in its own document."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    _, place, n = np.unique(doc * (int(at.max()) + 1) + at, return_inverse=True, return_counts=True)
+    return n[place]
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, most_words: int | None = None, add: float = 0.5, history: float = 50.0, leave_out: bool = False) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of each row;
     losses are means over tokens, in nats."""
     known = None if most_words is None else vocabulary(docs, most_words).words
@@ -217,6 +228,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, most_words: int
         right = right.sort_by("bucket")
         w, v, vw = np.split(at, 3)
         n = np.bincount(doc, minlength=len(ends) - 1)
+        wanted = left["wanted"][0].values.to_numpy(zero_copy_only=False).astype(bool)
+        own = [occurrences(x, doc) if leave_out else 0 for x in (w, v, vw)]
         loss = np.zeros((2, len(n)))
         for k, name in enumerate(("target", "background")):
             if not len(key):
@@ -224,16 +237,19 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, most_words: int
             c = np.concatenate([unpacked(x.as_py(), m) for x, m in zip(right[name], right["n"].to_pylist(), strict=True)]) * scales[k]
             if len(c) != len(key):
                 raise ValueError(f"{len(c)} counts for {len(key)} keys")
-            low = (c[w] + add) / (tokens[k] * scales[k] + add * size)
-            loss[k] = np.bincount(doc, -np.log((c[vw] + history * low) / (c[v] + history)), len(n))
+            counted = wanted[doc] * scales[k] if k == 0 else scales[k]
+            cw, cv, cvw = (np.maximum(c[x] - o * counted, 0) for x, o in zip((w, v, vw), own, strict=True))
+            rest = tokens[k] * scales[k] - (n[doc] * counted if leave_out else 0)
+            low = (cw + add) / (rest + add * size)
+            loss[k] = np.bincount(doc, -np.log((cvw + history * low) / (cv + history)), len(n))
         loss /= np.maximum(n, 1)
         ids = left["ids"].combine_chunks().flatten()
         return pa.Table.from_arrays([ids, pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[1] - loss[0])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     found = table.select("chunk", "bucket", "n", "target", "background")
-    return cut.select("chunk", "size", "ids", "ends", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(rows, SCHEMA)
+    return cut.select("chunk", "size", "ids", "wanted", "ends", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(rows, SCHEMA)
 
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that labels mark as of good quality."""
-    return cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(F.col("quality") == 1))
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(F.col("quality") == 1), leave_out=True)

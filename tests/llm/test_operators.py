@@ -291,6 +291,36 @@ def test_losses_of_rare_words_are_exact(spark):
         assert np.allclose([got[d]["target_loss"], got[d]["background_loss"], got[d]["score"]], [*loss, loss[1] - loss[0]], atol=1e-9)
 
 
+def test_losses_without_a_documents_own_counts(spark, odd, none):
+    """Each document against models counted anew over all others."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"r{i}" for i in rng.integers(0, 80, 60)) for _ in range(14)]
+    texts += [texts[0], "", None, "x x x x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    members = {0, 3, 6, 9}
+    target = spark.createDataFrame([(d,) for d in members], "doc_id long")
+    got = {r["doc_id"]: r for r in crossentropy.cross_entropy_difference(docs, target, leave_out=True).collect()}
+    seqs = [(t or "").split() for t in texts]
+    size = len({w for s in seqs for w in s}) + 2
+    scale = sum(len(seqs[d]) for d in members) / sum(map(len, seqs))
+    for d, s in enumerate(seqs):
+        loss = []
+        for of, k in ((members - {d}, 1.0), (set(range(len(seqs))) - {d}, scale)):
+            uni, his, two = Counter(), Counter(), Counter()
+            for o in of:
+                uni.update(seqs[o])
+                his.update([None, *seqs[o]][: len(seqs[o])])
+                two.update(zip([None, *seqs[o]], seqs[o], strict=False))
+            part = 0.0
+            for a, b in zip([None, *s], s, strict=False):
+                low = (k * uni[b] + 0.5) / (k * sum(uni.values()) + 0.5 * size)
+                part -= np.log((k * two[a, b] + 50 * low) / (k * his[a] + 50))
+            loss.append(part / max(len(s), 1))
+        assert np.allclose([got[d]["target_loss"], got[d]["background_loss"], got[d]["score"]], [*loss, loss[1] - loss[0]], atol=1e-9)
+    assert crossentropy.cross_entropy_difference(odd, target.limit(0), leave_out=True).count() == 9
+    assert crossentropy.cross_entropy_difference(none, target, leave_out=True).count() == 0
+
+
 def test_packing_round_trips_and_fills(spark, documents, odd, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
