@@ -48,9 +48,9 @@ from almanac.session import materialize, read, sized
 U64 = hs.U64
 #: What stands for the class of other words and for the start of a document.
 OTHER, START = U64(1), U64(0)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Bytes of text whose keys make a bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 10 << 20
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -168,6 +168,7 @@ def counts(cut: DataFrame, known: np.ndarray | None) -> DataFrame:
                 mine, m = np.unique(keys[np.tile(wanted.astype(bool)[doc], 3)], return_counts=True)
                 of = np.zeros(len(key), np.int64)
                 of[np.searchsorted(key, mine)] = m
+                del keys, doc, mine, m
                 bucket = (key >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
                 edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 cols = [[], [], [], [], []]
@@ -186,6 +187,7 @@ def counts(cut: DataFrame, known: np.ndarray | None) -> DataFrame:
         keys = np.concatenate([np.cumsum(unpacked(x.as_py(), n), dtype=U64) + base for x, n in zip(t["keys"], ns, strict=True)])
         key_, at = np.unique(keys, return_inverse=True)
         del keys
+        at = at.astype(np.int32)
         word, sums, back = (key_ & U64(3)) == 0, [], []
         for name in ("target", "background"):
             own = np.concatenate([unpacked(x.as_py(), n) for x, n in zip(t[name], ns, strict=True)])
@@ -206,7 +208,7 @@ def occurrences(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     if not len(at):
         return np.zeros(0, np.int64)
     _, place, n = np.unique(doc * (int(at.max()) + 1) + at, return_inverse=True, return_counts=True)
-    return n[place]
+    return n.astype(np.int32)[place]
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, most_words: int | None = None, add: float = 0.5, history: float = 50.0, leave_out: bool = False) -> DataFrame:
