@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import ann, compression, crossentropy, decontamination, html, middle, neardup, packing, secrets, substrings, toxicity
+from almanac.llm import ann, bpe, compression, crossentropy, decontamination, html, middle, neardup, packing, secrets, substrings, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_multipart_secrets": secrets.op8_multipart_secrets,
         "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
         "op10_containment_search": decontamination.op10_containment_search,
+        "op11_chunk_reuse_bpe": bpe.op11_chunk_reuse_bpe,
+        "op12_conversation_trie": trie.op12_conversation_trie,
         "op13_fill_in_middle": middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_in_middle": middle.OP13_SQL}
+    return {"op12_conversation_trie": trie.OP12_SQL, "op13_fill_in_middle": middle.OP13_SQL}
