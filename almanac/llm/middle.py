@@ -87,9 +87,11 @@ def offsets(asked: DataFrame) -> DataFrame:
     pieces = pieces.withColumn("base", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)))
 
     cuts = asked.select("key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("units")).where("units > 0")
-    cuts = cuts.withColumns({"pos": F.floor((F.col("units") - 1) / PIECE).cast("int"), "last": ((F.col("units") - 1) % PIECE).cast("int")})
+    cuts = cuts.withColumnsRenamed({"key": "of"}).withColumn("last", ((F.col("units") - 1) % PIECE).cast("int"))
 
-    held = pieces.join(cuts, ["key", "pos"])
+    # an interval and no second key: both sides stay where the texts lie
+    start = F.col("pos").cast("long") * PIECE
+    held = pieces.join(cuts, (F.col("key") == F.col("of")) & (start < F.col("units")) & (F.col("units") <= start + PIECE))
     units = held.select("key", "first", "second", "units", "base", "last", F.posexplode(split(F.col("piece"), 1)).alias("ordinal", "unit")).where("ordinal <= last")
     upto = Window.partitionBy("key", "units").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     ends = units.withColumn("end", F.col("base") + F.sum(F.char_length("unit")).over(upto)).where("ordinal = last")
