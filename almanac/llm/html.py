@@ -15,8 +15,13 @@ inline element is a block of its own, and what stands around it stays one.
 
 Each page is read by itself where it is, whole; nothing is shuffled.
 
+A page is read in one pass, in time and memory linear in its length, whatever it
+holds.
+
 Defined results: null or empty html gives empty text; markup that never ends
-is dropped, as are unclosed scripts; an unknown character reference stays as
+is dropped, as are unclosed scripts; other unclosed elements that hold no text end
+with their parent, a head at the first element that cannot stand in it; a quote in
+a tag that nothing closes is no quote; an unknown character reference stays as
 it is; null ids and urls are kept; repeated rows give repeated results; an
 empty table gives an empty result; other columns are not read.
 """
@@ -53,12 +58,19 @@ OTHERS = "comment comments disqus respond reply replies discussion related recom
 IMPLIED = "p li dt dd tr td th".split()
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Of the silent ones, those whose content is text whatever it looks like; a
+#: script or style without an end runs to the end of the page.
+RAW = "script style textarea title iframe".split()
+#: What may stand in a head; any other element ends it.
+IN_HEAD = "base link meta title script style noscript template".split()
+
+TAG = re.compile(r"<(?:(!--)|[!?]|(/?)([A-Za-z][^\s/>]*))")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "boiler", "named", "share", "heading")
-Block = tuple[str, int, int, bool, bool, tuple[int, ...], bool]
+Block = tuple[str, int, int, bool, bool, int, bool]
 
 #: A small labelled table, by hand: features as named above without named and
 #: share, then 1 for main text. Blocks of articles, with and without an article element, and blocks
@@ -139,18 +151,60 @@ def _boiler(tag: str, attributes: str, in_article: bool) -> int:
     return named
 
 
-def flat(html: str) -> list[Block]:
-    """(text, words, linked words, in article, in boilerplate, the named
-    elements around it by number, heading) of each block in page order."""
+def pieces(html: str) -> Iterator[tuple[str, str, bool, str, int]]:
+    """(text before it, tag, closing, attributes, end) of each tag of a page in one
+    pass, and what is left as text with an empty tag. A ">" inside quotes ends no
+    tag; a quote that nothing closes is no quote. What follows a raw element's
+    start is skipped up to its end."""
+    at, end = 0, len(html)
+    unclosed: set[str] = set()
+    while m := TAG.search(html, at):
+        before, start = html[at : m.start()], m.end()
+        if m[3] is None:
+            close = html.find("-->" if m[1] else ">", start)
+            at = end if close < 0 else close + (3 if m[1] else 1)
+            if before:
+                yield before, "", False, "", at
+            continue
+        stop, where = end, start
+        while k := MARK.search(html, where):
+            if k[0] == ">":
+                stop = k.start()
+                break
+            where, pair = k.end(), -1
+            if k[0] not in unclosed and (pair := html.find(k[0], where)) < 0:
+                unclosed.add(k[0])
+            where = max(where, pair + 1)
+        tag, attributes, at = m[3].lower(), html[start:stop], min(end, stop + 1)
+        yield before, tag, m[2] == "/", attributes, at
+        if tag in RAW and not m[2] and not attributes.endswith("/") and f"</{tag}" not in unclosed:
+            ended = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if ended:
+                at = ended.start()
+            elif tag in ("script", "style"):
+                return
+            else:
+                unclosed.add(f"</{tag}")
+    if at < end:
+        yield html[at:], "", False, "", end
+
+
+def flat(html: str) -> tuple[list[Block], list[int]]:
+    """(text, words, linked words, in article, in boilerplate, the innermost
+    named element around it by number or 0, heading) of each block in page order;
+    and for each such number, from 0, the number of the named element around it."""
     out: list[Block] = []
+    parents = [0]
     text: list[str] = []
     linked = [0]
-    # tag, then what holds again after it: in article, in boilerplate, named, and
-    # the text and links before it of the block around a named inline element
-    open_: list[tuple[str, bool, bool, tuple[int, ...], tuple[list[str], int] | None]] = []
-    state = {"link": 0, "heading": 0, "names": 0}
-    article, boiler = False, False
-    named: tuple[int, ...] = ()
+    # tag, then what holds again after it: in article, in boilerplate, named, in
+    # a silent element, and the text and links before it of the block around a named
+    # inline element
+    open_: list[tuple[str, bool, bool, int, bool, tuple[list[str], int] | None]] = []
+    places: dict[str, list[int]] = {}  # where each kind of element is open
+    blocks: list[int] = []  # where elements are open that aren't inline
+    state = {"link": 0, "heading": 0}
+    article, boiler, named, silent = False, False, 0, False
 
     def close() -> None:
         if text:
@@ -161,14 +215,23 @@ def flat(html: str) -> list[Block]:
             text.clear()
         linked[0] = 0
 
+    def begin(tag: str, around: tuple[list[str], int] | None = None) -> None:
+        places.setdefault(tag, []).append(len(open_))
+        if tag not in INLINE:
+            blocks.append(len(open_))
+        open_.append((tag, article, boiler, named, silent, around))
+
     def leave(k: int) -> None:
         """Close the k-th open element and all in it."""
-        nonlocal article, boiler, named
+        nonlocal article, boiler, named, silent
         while len(open_) > k:
-            tag, was_article, was_boiler, was_named, around = open_.pop()
+            tag, was_article, was_boiler, was_named, was_silent, around = open_.pop()
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
             if tag not in INLINE or around:
                 close()
-            article, boiler, named = was_article, was_boiler, was_named
+            article, boiler, named, silent = was_article, was_boiler, was_named, was_silent
             if around:
                 text[:], linked[0] = around
 
@@ -177,26 +240,30 @@ def flat(html: str) -> list[Block]:
         nonlocal boiler, named
         boiler = boiler or kind == 2
         if kind == 1:
-            state["names"] += 1
-            named = (*named, state["names"])
+            parents.append(named)
+            named = len(parents) - 1
 
     def last(tag: str) -> int:
-        return next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1)
+        return places[tag][-1] if places.get(tag) else -1
 
-    at, end = 0, len(html)
-    while at < end:
-        m = TAG.search(html, at)
-        piece = html[at : m.start() if m else end]
+    for piece, tag, closing, attributes, _ in pieces(html):
         if piece:
-            text.append(piece)
-            if state["link"]:
-                linked[0] += len(piece.split())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+            if silent and blocks and open_[blocks[-1]][0] == "head" and not piece.isspace():
+                leave(blocks[-1])
+            if not silent:
+                text.append(piece)
+                if state["link"]:
+                    linked[0] += len(piece.split())
+        if not tag:
+            continue
+        if silent and not closing and tag not in IN_HEAD and (head := last("head")) >= 0 and (blocks[-1] == head or tag == "body"):
+            leave(head)
+        if silent:
+            if closing and (k := last(tag)) >= 0:
+                leave(k)
+            elif not closing and tag not in VOID and not attributes.endswith("/"):
+                begin(tag)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
@@ -210,27 +277,26 @@ def flat(html: str) -> list[Block]:
                 within = last(tag)
             if closing:
                 continue
-            kind = _boiler(tag, m[3], article) if m[3] else 0
+            kind = _boiler(tag, attributes, article) if attributes else 0
             if kind:
-                open_.append((tag, article, boiler, named, (text[:], linked[0])))
+                begin(tag, (text[:], linked[0]))
                 text.clear()
                 linked[0] = 0
                 enter(kind)
             elif within >= 0:
-                open_.append((tag, article, boiler, named, None))
+                begin(tag)
             continue
-        if tag in SILENT and not closing and not m[3].endswith("/"):
-            close()
-            stop = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(html, at)
-            at = stop.end() if stop else end
+        if tag in SILENT and not closing:
+            if not attributes.endswith("/"):
+                close()
+                begin(tag)
+                silent = True
             continue
         # what ends here: this element, or a paragraph or one of its kind before it
         if closing:
             k = last(tag)
         else:
-            k = len(open_) - 1
-            while k >= 0 and open_[k][0] in INLINE:
-                k -= 1
+            k = blocks[-1] if blocks else -1
             if k >= 0 and open_[k][0] != "p" and not (tag in IMPLIED and open_[k][0] == tag):
                 k = -1
         if k >= 0:
@@ -239,42 +305,44 @@ def flat(html: str) -> list[Block]:
         state["link"] = 0
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             state["heading"] = 0 if closing else 1
-        if closing or tag in VOID or m[3].endswith("/"):
+        if closing or tag in VOID or attributes.endswith("/"):
             continue
-        open_.append((tag, article, boiler, named, None))
+        begin(tag)
         if tag == "main" or (tag == "article" and not article):
-            named = ()
-        enter(_boiler(tag, m[3], article))
+            named = 0
+        enter(_boiler(tag, attributes, article))
         article = article or tag in ("article", "main")
     leave(0)
     close()
-    return out
+    return out, parents
 
 
-def shares(blocks: list[Block]) -> list[float]:
+def shares(blocks: list[Block], parents: list[int]) -> list[float]:
     """For each block the share of the page's words that the least named
-    element around it holds; 0 if there is none, or beside an article."""
-    held: dict[int, int] = {}
+    element around it holds, which is the innermost; 0 if there is none, or beside
+    an article."""
+    held = [0] * len(parents)
     for b in blocks:
-        for n in b[5]:
-            held[n] = held.get(n, 0) + b[1]
+        held[b[5]] += b[1]
+    for n in range(len(parents) - 1, 0, -1):
+        held[parents[n]] += held[n] if parents[n] else 0
     total = sum(b[1] for b in blocks)
     beside = any(b[3] and not b[4] and not b[5] for b in blocks)
-    return [0.0 if beside or not b[5] else min(held[n] for n in b[5]) / total for b in blocks]
+    return [0.0 if beside or not b[5] else held[b[5]] / total for b in blocks]
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    raw = np.asarray([(b[1], b[2], b[3], b[4], len(b[5]) > 0, b[6]) for b in blocks], float).reshape(-1, 6)
+def features(blocks: list[Block], parents: list[int]) -> np.ndarray:
+    raw = np.asarray([(b[1], b[2], b[3], b[4], b[5] > 0, b[6]) for b in blocks], float).reshape(-1, 6)
     words, links = raw[:, 0], raw[:, 1] / np.maximum(raw[:, 0], 1)
     near = [np.concatenate([[0], x])[:-1] for x in (words, links)] + [np.concatenate([x, [0]])[1:] for x in (words, links)]
-    return np.stack([words, links, *near, raw[:, 2], raw[:, 3], raw[:, 4], np.asarray(shares(blocks)), raw[:, 5]], 1)
+    return np.stack([words, links, *near, raw[:, 2], raw[:, 3], raw[:, 4], np.asarray(shares(blocks, parents)), raw[:, 5]], 1)
 
 
 def extracted(html: str | None, model: Trees) -> str:
-    blocks = flat(html or "")
+    blocks, parents = flat(html or "")
     if not blocks:
         return ""
-    main = model(features(blocks)) > 0
+    main = model(features(blocks, parents)) > 0
     return "\n".join(b[0] for b, keep in zip(blocks, main, strict=True) if keep)
 
 
