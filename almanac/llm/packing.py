@@ -1,13 +1,17 @@
 """Best-fit packing of documents into sequences, by vector best-fit.
 
 Each piece of a document takes tokens, one document slot and an attention cost
-from the sequence that holds it: the square of its length in whole tiles, as
-block-sparse kernels compute it, so that many short pieces cost more than their
-tokens say. Each sequence has a capacity of all three: its tokens, `documents`
-slots (what a mask of document bounds holds) and the cost of one full piece. Pieces are placed longest first. Among the open
-sequences with room in every dimension, the one is taken that leaves the
-smallest weighted norm of residual capacity (rule "residual") or that has the
-largest weighted dot product of need and residual (rule "dot").
+from the sequence that holds it: the square of its length, as each token looks at
+its own document. Each sequence has a capacity of all three. Pieces are placed
+longest first. Among the open sequences with room in every dimension, the one is
+taken that leaves the smallest weighted norm of residual capacity (rule
+"residual") or that has the largest weighted dot product of need and residual
+(rule "dot").
+
+By default a sequence has as many slots as tokens, and the attention cost of one
+piece that fills it: pieces that fit by their tokens fit by both others, so these
+choose among sequences but never cost one. A trainer with tighter masks or
+kernels that compute in tiles says so by a Capacity of its own.
 
 Tokenising runs where the documents are; only (doc_id, piece, start, length,
 crc) is shuffled, dealt by hash into groups of a bounded number of pieces.
@@ -44,10 +48,10 @@ class Capacity:
     """What a sequence can hold, and the weight of each dimension."""
 
     tokens: int = 4096
-    documents: int = 512
+    documents: int = 4096
     attention: int = 4096 * 4096
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
-    tile: int = 128
+    tile: int = 1
 
     def cost(self, n: int) -> int:
         """The attention cost of a piece of n tokens."""
