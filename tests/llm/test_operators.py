@@ -157,6 +157,31 @@ def test_html_named_inline_parts_end_where_they_end():
     assert text('<div hidden><article><p>gone</p></article></div><article><p>one</p><div class="comments"><article><p>nice</p></article></div></article>') == "one"
 
 
+def test_html_optional_and_missing_ends_lose_no_text():
+    text = lambda x: html.extracted(x, html.tree())
+    main = "Main text of an article that goes on for a good while and says a number of things."
+    assert text(f"<html><head><title>t</title><p>{main}</p>") == main
+    assert text(f"<head><meta charset=x><script>a<b</script>{main}") == main
+    assert text(f"<html><head><title>t<body><p>{main}</p>") == main
+    for tag in ("button", "select", "canvas", "svg"):
+        assert text(f"<body><div><{tag}>gone</div><p>{main}</p></body>") == main
+        assert text(f"<article><p>{main}</p><{tag}><i>gone</i></{tag}></article>") == main
+    assert text(f'<article><p title="x>{main}</p></article>') == main
+    assert text(f"<article><textarea></article><p>gone</textarea><p>{main}</p></article>") == main
+    assert text(f"<article><p>{main}</p><script>var a = '<p>' </article>") == main
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 333_000 + '"', '<div class="ad">' * 60_000 + "x", '<div class="ad">x' * 25_000 + "</div>" * 25_000, "<div>" * 90_000 + "</p>" * 120_000, "<span class=ad>" * 30_000 + "<div>x</div>" * 40_000, "<button>" * 120_000, "<title>" * 140_000, "<a b='" * 166_667, "<!--" * 250_000, "<a class=ad>x" * 70_000],
+    ids=range(10),
+)
+def test_html_reads_hostile_pages_in_linear_time(page):
+    began = time.time()
+    html.extracted(page, html.tree())
+    assert time.time() - began < 5
+
+
 def brute_windows(texts, w=35):
     seen = Counter(tuple(x[i : i + w]) for x in map(words, texts) for i in range(len(x) - w + 1))
     out = []
@@ -353,7 +378,7 @@ def test_packing_takes_the_best_of_all_open_sequences(rule):
     rng = np.random.default_rng(6)
     lengths = np.minimum(rng.lognormal(5.5, 1.2, 1_500).astype(int) + 1, 4096)
     short = rng.integers(1, 9, 6_000)
-    for cap, lengths in ((packing.Capacity(), lengths), (packing.Capacity(documents=5, attention=4096 * 4096 // 2), lengths), (packing.Capacity(), short), (packing.Capacity(documents=4096), short)):
+    for cap, lengths in ((packing.Capacity(), lengths), (packing.Capacity(documents=5, attention=4096 * 4096 // 2), lengths), (packing.Capacity(documents=512, tile=128), short), (packing.Capacity(tile=128), short)):
         some = lengths[[cap.cost(n) <= cap.attention for n in lengths.tolist()]]
         bins, places, left = packing.best_fit(some, cap, rule)
         (wt, wd, wa), state = cap.weights, {}
@@ -377,6 +402,16 @@ def test_packing_takes_the_best_of_all_open_sequences(rule):
             assert sum(x[0] > 8 and min(x[1], x[2] - cap.cost(1) + 1) <= 0 for x in state.values()) > 1
 
 
+def test_default_capacities_cost_no_sequence():
+    rng = np.random.default_rng(8)
+    count = lambda lengths, cap: len(packing.best_fit(np.asarray(lengths), cap)[2])
+    assert count([3969, 100], packing.Capacity()) == 1
+    assert count([3980] * 100 + [100] * 100, packing.Capacity()) == 100
+    assert count([1] * 8192, packing.Capacity()) == 2
+    for lengths in (rng.integers(1, 4097, 3_000), np.minimum(rng.lognormal(5.5, 1.2, 3_000).astype(int) + 1, 4096), rng.integers(1, 9, 9_000)):
+        assert count(lengths, packing.Capacity()) <= count(lengths, packing.Capacity(weights=(1.0, 0.0, 0.0))) + 1
+
+
 def test_packing_spreads_equal_rows(spark):
     rows = [(1, 0, 0, 900, 5)] * 900 + [(i, 0, 0, 10, i) for i in range(100)]
     pieces = spark.createDataFrame([(*r, 3) for r in rows], packing.PIECES + ", _group int").repartition(4)
