@@ -1,91 +1,43 @@
 """Acts of a programme: what is danced, at what hour, where, and who plays.
 
 Sections come from programmes.sections; a section without month or year takes
-the last one before it, else the first after it, by windows. Inside a section
-each act is one stretch of text; the helpers read one section at a time.
+the last one before it, else the first after it, by windows. A section is cut
+into stretches, a sentence or line each, and anew at each time; hours and venues
+are told by the stretches they stand in. An act takes its hour and venue from its
+own stretch, else by an as-of join from the stretches around it.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.text import hours
-from almanac.operators.programmes import folded, names_of, sections
+from almanac.functions import dates as D
+from almanac.functions.text import fold, hours, words_only
+from almanac.operators import places as P
+from almanac.operators.programmes import line_up, sections
+from almanac.operators.spans import first_after, last_before, parts, placed
 from almanac.session import ship
 
-#: Words of a dance, of what is none, of the past, of venues.
-DANCE = re.compile(r"\b(gran baile|gran verbena|baile|verbenas?|verbenazo|megaverbena|tardeo|noche latina|noche boricua|noche en blanco|latinazo|romeria|concierto bailable)\b")
-NOT_A_DANCE = re.compile(r"escuela|taller|academia|clases? de|feria infantil|infantil|exposicion|torneo|campeonato|trofeo|carrera")
-ONLY_A_LIST = re.compile(r"^(baile|bailes|musica)\s*,")
-PAST = re.compile(r"\b(fue|fueron|disfruto|disfrutaron|celebro|celebraron|congrego|asistieron)\b")
-MUSIC = re.compile(r"orquesta|verbena|baile|grupo|actuacion|concierto|ameniza|musica|\bdj\b")
-TIME = re.compile(r"(?<!\d)([01]?\d|2[0-3]):([0-5]\d)(?:\s*(?:-|–|a)\s*(?:las\s+)?([01]?\d|2[0-3]):([0-5]\d))?")
-VENUE = re.compile(r"(?:^|[\s(])((?:[Pp]laza|[Pp]lazoleta|[Pp]arque|[Rr]ecinto|[Cc]asco|[Cc]ancha|[Pp]abell[oó]n|[Aa]venida|[Cc]alle|[Aa]uditorio|[Pp]olideportivo|[Tt]eatro|[Ss]al[oó]n)(?:\s+(?:de|del|la|las|los|el|y|[A-ZÁÉÍÓÚÑ][\wáéíóúñü'.-]*))*)")
-TOLD_PLACE = re.compile(r"[Ll]ugar:\s*([^.\n]{3,80})")
-#: Signs of program text that was pasted into a page.
-SCRIPT = ["{", "}", "$", "#", ";", "=>", "function ", "var ", "const ", "let "]
-ACT = "array<struct<titulo:string,hora:string,lugar:string,orquestas:array<string>>>"
-
-
-def place_of(text: str, fallback: str = "") -> str:
-    """The venue that a text names: after "Lugar:", else the last venue noun
-    with its name (prose after it is left out), else the fallback."""
-    if (m := TOLD_PLACE.search(text)) and not any(f" {x}" in f" {m[1]}" or (len(x) < 3 and x in m[1]) for x in SCRIPT):
-        return m[1].strip()
-    found = [re.sub(r"(\s+(?:de|del|la|las|los|el|y))+$", "", m[1]).strip() for m in VENUE.finditer(text)]
-    named = [f for f in found if " " in f and not re.search(r"\s(Gran|Concierto|Verbena|Baile)$", f)]
-    trimmed = [re.sub(r"\s(Gran|Concierto|Verbena|Baile)\b.*$", "", f) for f in found if " " in f]
-    return (named or trimmed or [fallback])[-1]
-
-
-def hour_before(text: str, at: int) -> str:
-    """The hour that holds at a place: the start of the last range before it,
-    else the last time, else one that follows within 120 characters."""
-    before = [m for m in TIME.finditer(text) if m.start() <= at]
-    ranges = [m for m in before if m[3]]
-    after = [m for m in TIME.finditer(text) if at < m.start() <= at + 120]
-    m = (ranges or before or [None])[-1] or (after[0] if after else None)
-    return f"{int(m[1]):02d}:{m[2]}" if m else ""
-
-
-def acts_of(text: str | None, names: list[str] = ()) -> list[dict]:
-    """The acts of a section, in order: timed stretches and sentences that name
-    a dance, or music with a performer of the dictionary."""
-    text = re.sub(r"\n\s*[•·*-]\s*", "\n", text or "")
-    found: list[dict] = []
-    cuts = [0, *(m.end() for m in re.finditer(r"[.;\n]\s+|\n|(?=(?<!\d)(?:[01]?\d|2[0-3]):[0-5]\d\s*h?\b(?!\s*(?:-|–|a\s)))", text)), len(text)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = text[a:b].strip(" .;\n")
-        low = folded(part)
-        known = [n for n in names if f" {folded(n)} " in f" {re.sub('[^a-z0-9]+', ' ', low)} "]
-        dance = DANCE.search(low)
-        if len(part) < 6 or NOT_A_DANCE.search(low) or PAST.search(low) or ONLY_A_LIST.search(low) or not (dance or (known and MUSIC.search(low))):
-            continue
-        title = part[dance.start() if dance and len(low) == len(part) else 0 :].strip(" ,:-–.")[:180]
-        who = names_of(part)
-        who += [n for n in known if not any(folded(n) in folded(w) for w in who)]
-        # the time of the stretch itself, else what was told before it
-        at = a + max(0, text[a:b].find(part[:8]))
-        found.append({"titulo": title, "hora": hour_before(part, len(part)) or hour_before(text, at), "lugar": place_of(part), "orquestas": who})
-    out: list[dict] = []
-    for f in found:  # one act told twice is one
-        twin = next((o for o in out if o["hora"] == f["hora"] and (folded(o["titulo"]) in folded(f["titulo"]) or folded(f["titulo"]) in folded(o["titulo"]))), None)
-        if twin is None:
-            out.append(f)
-        else:
-            twin["orquestas"] += [n for n in f["orquestas"] if n not in twin["orquestas"]]
-            twin["lugar"] = twin["lugar"] or f["lugar"]
-    return out
+#: Words of a dance, of what is none, of the past, of music.
+DANCE = r"\b(gran baile|gran verbena|baile|verbenas?|verbenazo|megaverbena|tardeo|noche latina|noche boricua|noche en blanco|latinazo|romeria|concierto bailable|noche de kioscos|fiesta canaria)\b"
+NOT_A_DANCE = r"escuela|taller|academia|clases? de|feria infantil|infantil|exposicion|torneo|campeonato|trofeo|carrera"
+ONLY_A_LIST = r"^\W*(baile|bailes|musica)\s*,"
+PAST = r"\b(fue|fueron|tuvo|hubo|han sido|disfruto|disfrutaron|se celebro|celebraron|congrego|congregaron|reunio|reunieron|acogio|asistieron)\b"
+MUSIC = r"orquesta|verbena|baile|grupo|actuacion|concierto|ameniza|musica|\bdj\b"
+
+_TIME = r"(?<!\d)(?:[01]?\d|2[0-3]):[0-5]\d(?!\d)"
+_RANGE = rf"{_TIME}(?:\s*h(?:oras)?\b\.?)?(?:\s*(?:-|–|a(?:\s+las)?)\s*{_TIME})?"
+_STOP = r"[.;\n]\s|\n"
+STRETCH = rf"(?isu)(?:{_RANGE})?(?:(?!{_RANGE}|{_STOP}).)*+(?:[.;\n]\s+|\n)?"
+#: Characters in which an hour or venue told before, or after, an act holds.
+BEFORE, AFTER, TAIL = 400, 120, 600
 
 
 def dated(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
-    """Sections with month and year carried forward, else taken from the next
-    that has one, and their day as dd-MM-yyyy where it exists."""
+    """Sections (key, ord, pos, day, texto): month and year are carried forward,
+    else taken from the next section that has one; day is dd-MM-yyyy where it
+    exists, else ''."""
     s = sections(programmes, key, text, mes, anyo)
     w = Window.partitionBy(key).orderBy("ord")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
@@ -93,18 +45,90 @@ def dated(programmes: DataFrame, key: str, text: str, mes: Column | None = None,
     for c in ("mes", "anyo"):
         s = s.withColumn(f"_{c}", F.coalesce(F.last(told(c), True).over(back), F.first(told(c), True).over(ahead)))
     date = F.try_to_date(F.concat_ws("-", F.lpad(F.col("dia").cast("string"), 2, "0"), "_mes", "_anyo"), "dd-MM-yyyy")
-    return s.select(key, "ord", F.coalesce(F.date_format(date, "dd-MM-yyyy"), F.lit("")).alias("day"), "texto")
+    return s.select(key, "ord", "pos", F.coalesce(D.day_text(date), F.lit("")).alias("day"), "texto")
 
 
-def acts(programmes: DataFrame, key: str, text: str, names: list[str] = (), mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
-    """One row for each act of each dated section. names: a dictionary of
-    bounded size."""
-    ship(programmes.sparkSession)
-    names = list(names)
+def joined_lines(text: Column) -> Column:
+    """Lines that a layout broke inside a phrase, and bullets, as one line."""
+    t = F.regexp_replace(text, r"(?u)(\p{L})\n(\p{Ll})", "$1 $2")
+    return F.regexp_replace(t, r"\n\s*[*•-]\s*", ", ")
+
 
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: acts_of(t, names))
+def hour_of(time: Column) -> Column:
+    """The start of a time or range as HH:mm."""
+    return F.when(time != "", F.lpad(F.regexp_extract(time, r"(\d{1,2}:\d{2})", 1), 5, "0"))
 
-    found = dated(programmes, key, text, mes, anyo).withColumn("a", F.explode(F.pandas_udf(read, ACT)(hours(F.col("texto")))))
-    return found.select(key, "ord", "day", "a.*")
+
+def stretches(dated_sections: DataFrame, key: str) -> DataFrame:
+    """(key, ord, n, day, piece, at, start): the stretches of each section, their
+    place among all and where they and their section begin, with what they tell: hora,
+    rango (an hour that is a range's), lugar (a venue) and campo ("Lugar: ...")."""
+    rows = parts(dated_sections, [key, "ord", "day"], joined_lines(hours(F.col("texto"))), STRETCH)
+    order = Window.partitionBy(key).orderBy("ord", "n")
+    rows = rows.withColumnRenamed("i", "n").drop("pos").withColumn("i", F.row_number().over(order))
+    rows = placed(rows, [key], F.char_length("piece")).withColumnRenamed("pos", "at").drop("i")
+    start = F.min("at").over(Window.partitionBy(key, "ord"))
+    time = F.regexp_extract("piece", rf"(?iu){_RANGE}", 0)
+    hour = hour_of(time)
+    ranged = F.when(time.rlike(rf"{_TIME}.*{_TIME}"), hour)
+    nothing = F.lit("")
+    return rows.select(key, "ord", "n", "day", "piece", "at", start.alias("start"), hour.alias("hora"), ranged.alias("rango"), F.nullif(P.venue_in(F.col("piece")), nothing).alias("lugar"), F.nullif(P.place_told(F.col("piece")), nothing).alias("campo"))
+
+
+def acts(programmes: DataFrame, key: str, text: str, names: list[str] = (), mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
+    """One row for each act of each dated section: key, ord, n (its stretch), day,
+    titulo, hora, lugar, orquestas, suelta (its stretch has no time of its own).
+    A stretch is an act where it names a dance, or music with a performer of the
+    dictionary (of bounded size), and nothing speaks against it. Its hour: its
+    stretch's; else that of the last range, or else the last time, in the 400
+    characters before it, of this section or the 600 last characters of the one
+    before; else the next in the 120 after. Its venue: "Lugar: ...", its
+    stretch's, the last of this section in the 400 characters before, the first in
+    the 200 after. One act that is told twice is one."""
+    ship(programmes.sparkSession)
+    rows = stretches(dated(programmes, key, text, mes, anyo), key)
+    told = lambda c: F.when(F.col(c).isNotNull(), F.struct("at", "ord", F.col(c).alias("v")))
+    seen = rows.withColumns({
+        "_range": last_before(told("rango"), [key], "at", False), "_time": last_before(told("hora"), [key], "at", False), "_next": first_after(told("hora"), [key], "at"),
+        "_venue": last_before(told("lugar"), [key], "at", False), "_beyond": first_after(told("lugar"), [key], "at"),
+    })
+    end = F.col("at") + F.char_length("piece")
+    here = lambda c: F.col(f"{c}.ord") == F.col("ord")
+    holds = lambda c: F.when(F.col(f"{c}.at") >= F.greatest(F.col("at") - BEFORE, F.col("start") - TAIL), F.col(f"{c}.v"))
+    soon = F.when(here("_next") & (F.col("_next.at") <= end + AFTER), F.col("_next.v"))
+    hour = F.coalesce("hora", holds("_range"), holds("_time"), soon, F.lit(""))
+    before = F.when(here("_venue") & (F.col("_venue.at") >= F.col("at") - P.BEFORE), F.col("_venue.v"))
+    beyond = F.when(here("_beyond") & (F.col("_beyond.at") <= end + P.AFTER), F.col("_beyond.v"))
+    place = F.coalesce("campo", "lugar", before, beyond, F.lit(""))
+
+    low = fold(F.col("piece"))
+    spaced = F.concat(F.lit(" "), words_only(F.col("piece")), F.lit(" "))
+    known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(spaced, F.concat(F.lit(" "), words_only(n), F.lit(" "))))
+    dance = F.regexp_instr(low, F.lit(DANCE))
+    good = (F.char_length(F.trim("piece")) >= 6) & ~low.rlike(NOT_A_DANCE) & ~low.rlike(PAST) & ~low.rlike(ONLY_A_LIST) & ((dance > 0) | ((F.size(known) > 0) & low.rlike(MUSIC)))
+    body = F.substring("piece", F.greatest(dance, F.lit(1)), F.char_length("piece"))
+    title = F.trim(F.substring(F.regexp_replace(F.regexp_replace(body, r"(?is)\s*lugar:.*$", ""), r"(?s)^[\s,:;.–-]+|[\s,:;.–-]+$", ""), 1, 180))
+    found = seen.where(good).select(key, "ord", "n", "day", title.alias("titulo"), hour.alias("hora"), place.alias("lugar"), F.col("hora").isNull().alias("suelta"), known.alias("_known"), "piece")
+    # one line-up for each act, and names of the dictionary that it lacks
+    told = found.withColumn("_who", line_up(F.col("piece")))
+    lacks = lambda n: ~F.exists("_who", lambda x: F.contains(fold(x), fold(n)))
+    told = told.withColumn("orquestas", F.concat("_who", F.filter("_known", lacks))).drop("_who", "_known", "piece")
+    return once(told, key)
+
+
+def once(found: DataFrame, key: str) -> DataFrame:
+    """Acts of one section and hour whose titles hold one another are one: the
+    first, with the names of all and the first venue."""
+    group = Window.partitionBy(key, "ord", "hora").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.collect_list(F.struct("n", fold(F.col("titulo")).alias("t"))).over(group)
+    low = fold(F.col("titulo"))
+    twin = F.try_element_at(F.filter(earlier, lambda e: F.contains(e["t"], low) | F.contains(low, e["t"])), F.lit(1))["n"]
+    of = found.withColumn("_twin", F.coalesce(twin, F.col("n")))
+    # a twin's twin leads to the first of them
+    first = F.min("_twin").over(Window.partitionBy(key, "ord", "hora", "_twin"))
+    lead = of.withColumn("_of", F.least(first, F.col("_twin")))
+    by = lambda c: F.min_by(c, "n")
+    return lead.groupBy(key, "ord", "hora", "_of").agg(
+        F.min("n").alias("n"), by("day").alias("day"), by("titulo").alias("titulo"), F.coalesce(F.min_by("lugar", F.when(F.col("lugar") != "", F.col("n"))), F.lit("")).alias("lugar"), by("suelta").alias("suelta"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "orquestas"))), lambda x: x["orquestas"]))).alias("orquestas"),
+    ).select(key, "ord", "n", "day", "titulo", "hora", "lugar", "orquestas", "suelta")

@@ -15,39 +15,97 @@ PARTICLES = "de del la el los las y e".split()
 #: What an account's name says before its place.
 OFFICES = "fiestas fiesta festejos ayuntamiento concejalía concejalia comisión comision".split()
 
+#: Characters that a venue's name may have, in which its first
+#: words are its own, and around a title in which a venue belongs to it; those
+#: of a title by which it is found, and of a text that is looked at without it.
+NAME, OWN, BEFORE, AFTER, KNOWN_BY, OPENING = 40, 12, 400, 200, 30, 600
+#: Signs by which program text that was pasted into a page shows.
+CODE_MARKS, CODE_SHARE = "{}$#;=<>()[]|&\\", 0.08
+
 _UP = "[A-ZÁÉÍÓÚÑ]"
 _PART = "|".join(PARTICLES)
-_NAME = rf"\b(?:(?i:{'|'.join(VENUES)})|Casco)[ \t]+(?:(?:{_PART})[ \t]+)*{_UP}[^.\n,]{{0,40}}"
+_NAME = rf"\b(?:(?i:{'|'.join(VENUES)})|Casco)[ \t]+(?:(?:{_PART})[ \t]+)*{_UP}[^.\n,]{{0,{NAME}}}"
 _ROUTE = rf"(?i)\b({'|'.join(ROUTES)})\b"
 
 
-def trim_prose(name: Column) -> Column:
-    """A venue's name without the hour and the prose that stick to it: beyond
-    its 12th character, a capitalised word before a small one that is no
-    particle starts another phrase."""
-    timed = F.regexp_replace(name, r"(?s)\s+\d{1,2}:\d{2}h?\b.*$", "")
-    prose = rf"(?s)^(.{{12,}}?)\s+(?:{_UP}[a-záéíóúñ]*|{_UP}{{2,}})\s+(?!(?:{_PART})\b)[a-záéíóúñ]{{2,}}.*$"
-    return F.trim(F.regexp_replace(timed, prose, "$1"))
+def venue_name(told: Column) -> Column:
+    """The name that a piece of text beginning with a venue has: its words up to
+    a time, or to where, beyond its first characters, a capitalised word leads to
+    a small one that is no particle, as another phrase begins there."""
+    words = F.filter(F.split(told, r"\s+"), lambda w: w != "")
+    at = lambda i: F.try_element_at(words, i)
+    begins = lambda i: F.char_length(F.array_join(F.slice(words, 1, i - 1), " "))
+    particle = F.array(*map(F.lit, PARTICLES))
+    small = lambda w: w.rlike(r"^[a-záéíóúñ]{2}") & ~F.array_contains(particle, F.regexp_extract(w, r"^[a-záéíóúñ]+", 0))
+    phrase = lambda i: (begins(i) >= OWN) & at(i).rlike(rf"^{_UP}(?:[a-záéíóúñ]*|{_UP}+)$") & F.coalesce(small(at(i + 1)), F.lit(False))
+    ends = F.filter(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: F.coalesce(at(i).rlike(r"^\d{1,2}:\d{2}h?$") | phrase(i), F.lit(False)))
+    return F.when(told.isNotNull(), F.array_join(F.slice(words, 1, F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(words) + 1) - 1), " "))
+
+
+def venues(text: Column) -> Column:
+    """(at, name) of the venues with a name of their own that a text tells, in
+    order, but routes; at counts characters from 0."""
+    hits = F.regexp_extract_all(text, F.lit(_NAME), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,told:string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["at"] + F.char_length(x["piece"])
+        return F.struct((at + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"), F.array_append(state["out"], F.struct(at.alias("at"), x["hit"].alias("told"))).alias("out"))
+
+    zipped = F.arrays_zip(F.split(text, _NAME, -1).alias("piece"), hits.alias("hit"))
+    found = F.filter(F.aggregate(zipped, start, step, lambda s: s["out"]), lambda v: v["told"].isNotNull() & ~v["told"].rlike(_ROUTE))
+    return F.transform(found, lambda v: F.struct(v["at"].alias("at"), venue_name(v["told"]).alias("name")))
+
+
+def venue_in(text: Column) -> Column:
+    """The last venue of a text, '' without."""
+    hits = F.filter(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda v: ~v.rlike(_ROUTE))
+    return F.coalesce(venue_name(F.try_element_at(hits, F.lit(-1))), F.lit(""))
 
 
-def _venues(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda v: ~v.rlike(_ROUTE))
+def is_code(text: Column) -> Column:
+    """Whether so many marks of programs stand in a text that it is none."""
+    marks = F.char_length(text) - F.char_length(F.translate(text, CODE_MARKS, ""))
+    return (marks > CODE_SHARE * F.char_length(text)) | text.rlike(r"^\s*(?:function|var|const|let)\s")
 
 
-def place_before(text: Column, title: Column, reach: int = 400) -> Column:
+def place_before(text: Column, title: Column, reach: int = BEFORE) -> Column:
     """The last venue with a name of its own in the reach characters before a
-    title, or in the first 600 where the text lacks it; '' without."""
-    at = F.instr(text, F.substring(title, 1, 30))
-    near = F.when(at > 0, F.substring(text, F.greatest(at - reach, F.lit(1)), at - F.greatest(at - reach, F.lit(1)))).otherwise(F.substring(text, 1, 600))
-    return F.coalesce(trim_prose(F.try_element_at(_venues(near), F.lit(-1))), F.lit(""))
+    title, or in the opening of a text that lacks it; '' without."""
+    at = F.instr(text, F.substring(title, 1, KNOWN_BY)) - 1
+    end = F.when(at >= 0, at).otherwise(OPENING)
+    near = F.filter(venues(text), lambda v: (v["at"] < end) & (v["at"] >= F.when(at >= 0, at - reach).otherwise(0)))
+    return F.coalesce(F.try_element_at(near, F.lit(-1))["name"], F.lit(""))
 
 
-def place_after(text: Column, title: Column, reach: int = 200) -> Column:
+def place_after(text: Column, title: Column, reach: int = AFTER) -> Column:
     """The first venue with a name of its own in the reach characters after the
     title; '' without."""
-    at = F.instr(text, F.substring(title, 1, 30))
-    near = F.substring(text, at + F.char_length(title), F.lit(reach))
-    return F.when(at > 0, F.coalesce(trim_prose(F.try_element_at(_venues(near), F.lit(1))), F.lit(""))).otherwise("")
+    at = F.instr(text, F.substring(title, 1, KNOWN_BY)) - 1
+    end = at + F.char_length(title)
+    near = F.filter(venues(text), lambda v: (at >= 0) & (v["at"] >= end) & (v["at"] < end + reach))
+    return F.coalesce(F.try_element_at(near, F.lit(1))["name"], F.lit(""))
+
+
+def place_in_title(title: Column) -> Column:
+    """The venue that a headline names after "en"; '' without."""
+    told = F.regexp_extract(title, rf"\b[Ee]n[ \t]+(?:el|la|los|las)[ \t]+({_NAME})", 1)
+    return F.coalesce(F.nullif(venue_name(F.nullif(told, F.lit(""))), F.lit("")), F.lit(""))
+
+
+def place_continued(text: Column, title: Column, reach: int = AFTER) -> Column:
+    """The venue on the line or in the brackets that follow the title's line,
+    where nothing else stands in them; '' without."""
+    at = F.instr(text, F.substring(title, 1, KNOWN_BY))
+    rest = F.substring(text, at + F.char_length(title), F.lit(reach))
+    told = F.regexp_extract(rest, rf"^[^\n(]*[\n(]\s*(?:[Ee]n[ \t]+(?:el|la)[ \t]+)?({_NAME})\s*(?:[).\n]|$)", 1)
+    return F.coalesce(F.when(at > 0, venue_name(F.nullif(F.regexp_replace(told, r"\).*", ""), F.lit("")))), F.lit(""))
+
+
+def place_told(text: Column) -> Column:
+    """What a text says after "Lugar:", unless it is program text; '' without."""
+    told = F.trim(F.regexp_extract(text, r"(?i)\blugar:\s*([^.\n]{3,80})", 1))
+    return F.when(~is_code(told), told).otherwise("")
 
 
 def known_in(text: Column, names: list[str]) -> Column:

@@ -1,146 +1,74 @@
-"""Programme texts: dated sections and line-ups, where the rows are.
+"""Programme texts as dated sections, and the performers that a title names.
 
-Spark deals the rows and explodes what comes back; the helpers here read one
-text at a time.
+Sections are rows: a text is cut at whatever looks like a day's header, what the
+calendar or a deadline speaks against is joined to the section before it, and a
+running count of headers numbers the sections.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.dates import MONTHS, WEEKDAYS
-from almanac.functions.text import MARKED, PLAIN
-from almanac.session import ship
+from almanac.functions import dates as D
+from almanac.functions.text import MARKED, PLAIN, fold
+from almanac.operators.spans import cut
 
 _FOLD = str.maketrans(MARKED, PLAIN)
-SECTION = "array<struct<pos:int,dia:int,mes:string,anyo:string,texto:string>>"
-#: Words and marks of a folded text; a time is one token.
-TOKEN = re.compile(r"\d{1,2}[:.]\d{2}(?!\d)|\d+|[a-z]+|\n|[^\sa-z\d]")
-TIME = re.compile(r"\d{1,2}[:.]\d{2}")
-#: Words before a date that make it a deadline, and what leads to
-#: the next day's first act.
-DEADLINE = set("hasta antes desde plazo inscripcion cierra cierre".split())
-CONNECTOR = ["a", "su", "termino"]
+#: Weekdays and months as written, words before a date that make
+#: it a deadline, and what leads to the next day's first act.
+WEEK = "lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo"
+MONTH = "|".join([*D.MONTHS, "setiembre"])
+DEADLINE = "hasta|antes|desde|plazo|inscripci[oó]n|cierra|cierre"
+CONNECTOR = r"a\s+su\s+t[eé]rmino"
+
+_S = r"[^\S\n]"
+_DAY = r"(?<!\d)\d{1,2}(?!\d|[:.]\d\d(?!\d))"
+_END = r"(?!\p{L})"
+_MONTH_YEAR = rf"{_S}+(?:de{_S}+)?(?:{MONTH}){_END}(?:{_S}+(?:de{_S}+)?20\d\d(?!\d))?"
+#: The four kinds of headers: "viernes 11 [de septiembre [de 2026]]"; "el [día]
+#: 25 de abril", unless a limit; "18 viernes", of which only the number is taken;
+#: "7 [- 9] de agosto" at the start of a line.
+_NAMED = rf"(?<!\p{{L}})(?:{WEEK}){_END}{_S}*,?{_S}*{_DAY}(?:{_MONTH_YEAR})?"
+_OF = r"(?:(?:de|del|el)[\s:,]{1,3})?"
+_THE = rf"(?<!(?:{DEADLINE})[\s:,]{{1,3}}{_OF}{_OF})(?<!\p{{L}})el{_S}+(?:d[ií]a{_S}+)?{_DAY}{_MONTH_YEAR}"
+_FIRST = rf"{_DAY}(?={_S}+(?:{WEEK}){_END})"
+_LINE = rf"(?<=^[ \t]{{0,8}}){_DAY}(?:{_S}*[-–]{_S}*{_DAY})?{_S}+de{_S}+(?:{MONTH}){_END}(?!{_S}*\p{{L}})"
+_LEAD = rf"(?:(?<=^|[.\n][ \t]{{0,3}}){CONNECTOR}{_END}[^.\n]{{0,300}}?[.\n]?{_S}*)?"
+HEADER = rf"(?ium){_LEAD}(?:{_NAMED}|{_THE}|{_FIRST}|{_LINE})"
 
 
-def folded(text: str) -> str:
-    """Lower case without marks, of the same length."""
-    return "".join(c if len(c) == 1 else " " for c in map(str.lower, text)).translate(_FOLD)
-
-
-def month(name: str | None) -> str:
-    name = "septiembre" if name == "setiembre" else name
-    return f"{MONTHS.index(name) + 1:02d}" if name in MONTHS else ""
-
-
-def day_is(day: int, mes: str, anyo: str, weekday: str) -> bool:
-    try:
-        return WEEKDAYS[dt.date(int(anyo), int(mes), day).weekday()] == weekday
-    except ValueError:
-        return False
-
-
-class Tokens:
-    """A folded text as words, and what can be read at one of them."""
-
-    def __init__(self, text: str):
-        found = list(TOKEN.finditer(text))
-        self.words, self.at = [m[0] for m in found], [m.start() for m in found]
-
-    def word(self, i: int) -> str:
-        return self.words[i] if 0 <= i < len(self.words) else ""
-
-    def skip(self, i: int, *words: str) -> int:
-        """Past these words, each if it is there."""
-        for w in words:
-            i += self.word(i) == w
-        return i
-
-    def day(self, i: int) -> int:
-        w = self.word(i)
-        return int(w) if w.isdigit() and len(w) <= 2 and 1 <= int(w) <= 31 else 0
-
-    def month_year(self, i: int) -> tuple[str, str, int]:
-        """A month after "de", a year after "de", and where they end."""
-        j = self.skip(i, "de")
-        mes = month(self.word(j))
-        if not mes:
-            return "", "", i
-        k = self.skip(j + 1, "de")
-        year = self.word(k)
-        told = k > j + 1 and year.isdigit() and len(year) == 4 and year.startswith("20")
-        return mes, year if told else "", k + 1 if told else j + 1
-
-    def starts_line(self, i: int) -> bool:
-        return i == 0 or self.word(i - 1) == "\n"
-
-    def is_deadline(self, i: int) -> bool:
-        """The words just before, "de", "del" and "el" apart, set a limit."""
-        j = i - 1
-        while self.word(j) in ("de", "del", "el", ":", ","):
-            j -= 1
-        return self.word(j) in DEADLINE
-
-
-def header_at(t: Tokens, i: int, mes: str, anyo: str) -> tuple[int, str, str, int] | None:
-    """(day, month, year, next token) of a day header that begins at token i:
-    "viernes 11 [de septiembre] [de 2026]"; "18 viernes", which has to agree
-    with the calendar where month and year are known; "7 [- 9] de agosto" at
-    the start of a line; "el [dia] 25 de abril [de 2026]", unless a limit."""
-    w = t.word(i)
-    if w in WEEKDAYS:
-        j = t.skip(i + 1, ",")
-        if day := t.day(j):
-            m, y, end = t.month_year(j + 1)
-            return day, m, y, end
-    elif w == "el":
-        j = t.skip(i + 1, "dia")
-        day = t.day(j)
-        m, y, end = t.month_year(j + 1)
-        if day and m and not t.is_deadline(i):
-            return day, m, y, end
-    elif day := t.day(i):
-        if t.word(i + 1) in WEEKDAYS:
-            if not (mes and anyo) or day_is(day, mes, anyo, t.word(i + 1)):
-                return day, "", "", i + 2
-        elif t.starts_line(i):
-            j = i + 3 if t.word(i + 1) in ("-", "–") and t.day(i + 2) else i + 1
-            m, _, end = t.month_year(j)
-            if m and t.word(j) == "de" and not t.word(end).isalpha():
-                return day, m, "", end
-    return None
-
-
-def sections_of(text: str | None, mes: str = "", anyo: str = "") -> list[dict]:
-    """The stretches of a text under each day header. What follows "a su
-    término" in the sentence just before a header belongs to that day."""
-    text = text or ""
-    t = Tokens(folded(text))
-    heads, i, sentence = [], 0, 0  # sentence: the token that the last full one begins with
-    previous = 0
-    while i < len(t.words):
-        got = header_at(t, i, mes, anyo)
-        if got:
-            day, m, y, end = got
-            last = previous if sentence == i else sentence
-            start = t.at[last] if t.words[last : last + 3] == CONNECTOR and last < i else t.at[i]
-            heads.append((start, day, m, y))
-            i = max(end, i + 1)
-            sentence = previous = i
-            continue
-        if t.words[i] in (".", "\n"):
-            if sentence <= i - 1:
-                previous = sentence
-            sentence = i + 1
-        i += 1
-    ends = [*(h[0] for h in heads[1:]), len(text)]
-    return [{"pos": a, "dia": d, "mes": m, "anyo": y, "texto": text[a:b]} for (a, d, m, y), b in zip(heads, ends, strict=False)]
+def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
+    """One row for each dated section: the key, its ordinal, where it begins,
+    day, month and year ('' where the header has none), and its text. A header of
+    number and weekday has to agree with the calendar where month and year of the
+    text are known (mes, anyo). What follows "a su término" in the sentence just
+    before a header belongs to that day. key names one text."""
+    told = programmes.select(key, F.col(text).alias("_t"), (F.lit("") if mes is None else F.coalesce(mes, F.lit(""))).alias("_mes"), (F.lit("") if anyo is None else F.coalesce(anyo, F.lit(""))).alias("_anyo")).repartition(key)
+    rows = cut(told, [key, "_mes", "_anyo"], F.col("_t"), HEADER)
+    w = Window.partitionBy(key).orderBy("i")
+    head = F.regexp_replace("hit", rf"(?ius)^{CONNECTOR}\b.*?(?=(?:{_NAMED}|{_THE}|{_DAY})$)", "")
+    day = F.regexp_extract(head, _DAY, 0).try_cast("int")
+    month = D.month_number(F.regexp_extract(fold(head), rf"\b({MONTH})\b", 1))
+    year = F.regexp_extract(head, r"\b(20\d\d)\b", 1)
+    bare = head.rlike(r"^\d+$")
+    after = F.concat("piece", F.coalesce(F.lead("hit").over(w), F.lit("")))
+    weekday = F.regexp_extract(fold(after), rf"^\s+({'|'.join(D.WEEKDAYS)})", 1)
+    date = D.as_date(F.concat_ws("-", F.lpad(day.cast("string"), 2, "0"), "_mes", "_anyo"))
+    agrees = (F.col("_mes") == "") | (F.col("_anyo") == "") | F.coalesce(D.weekday_name(date) == weekday, F.lit(False))
+    seen = rows.withColumns({"_d": day, "_m": month, "_y": year, "_bare": bare, "_agrees": agrees}).withColumn("_ok", (F.col("i") > 0) & F.coalesce(F.col("_d").between(1, 31), F.lit(False)) & (~F.col("_bare") | F.col("_agrees")))
+    # a weekday right after a number that was a header is that header's
+    taken = F.coalesce(F.lag(F.col("_bare") & F.col("_ok") & (F.trim("piece") == "")).over(w), F.lit(False))
+    seen = seen.withColumn("_ok", F.col("_ok") & ~taken).withColumn("ord", F.sum(F.col("_ok").cast("int")).over(w) - 1)
+    line = F.struct("i", F.concat("hit", "piece").alias("t"))
+    first = lambda c: F.min_by(c, "i")
+    return seen.where("ord >= 0").groupBy(key, F.col("ord").cast("int").alias("ord")).agg(
+        first("pos").alias("pos"), first("_d").alias("dia"), first("_m").alias("mes"), first("_y").alias("anyo"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "").alias("texto")
+    )
 
 
 #: Kinds of performers, articles, words after which "con", "por"
@@ -154,6 +82,11 @@ CLAUSES = set("que para porque donde cuando como sin a de desde".split())
 NAME_TOKEN = re.compile(r"[^\W_][\w'’&+-]*|[,;:.·•()]", re.U)
 
 
+def folded(text: str) -> str:
+    """Lower case without marks, of the same length."""
+    return "".join(c if len(c) == 1 else " " for c in map(str.lower, text)).translate(_FOLD)
+
+
 def names_of(title: str | None) -> list[str]:
     """The performers that a title names, in order, each once whatever marks.
 
@@ -214,18 +147,3 @@ def line_up(title: Column) -> Column:
             yield titles.map(names_of)
 
     return F.pandas_udf(names, "array<string>")(title)
-
-
-def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
-    """One row for each dated section: the key, its ordinal, where it begins,
-    day, month and year ('' where the header has none), and its text."""
-
-    ship(programmes.sparkSession)
-
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, m, y in batches:
-            yield pd.Series([sections_of(*r) for r in zip(t, m.fillna(""), y.fillna(""), strict=True)])
-
-    empty = F.lit("")
-    found = programmes.withColumn("_s", F.pandas_udf(cut, SECTION)(F.col(text), empty if mes is None else mes, empty if anyo is None else anyo))
-    return found.select(key, F.posexplode("_s").alias("ord", "s")).select(key, "ord", "s.*")

@@ -15,11 +15,13 @@ from almanac.operators.resolve import key as canonical_key
 
 
 def upsert(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of either; where both have the key, the batch's values that are
-    not null win, in the columns that it has. Repeating a batch changes nothing."""
+    """Rows of either, with the columns of both; where both have the key, the
+    batch's values that are not null win, in the columns that it has. Repeating a
+    batch changes nothing."""
     b = batch.select(*[F.col(c).alias(f"_{c}") for c in batch.columns])
     joined = stored.join(b, F.col(key) == F.col(f"_{key}"), "full_outer")
-    return joined.select(*[(F.coalesce(f"_{c}", c) if c in batch.columns else F.col(c)).alias(c) for c in stored.columns])
+    both = [(F.coalesce(f"_{c}", c) if c in batch.columns else F.col(c)).alias(c) for c in stored.columns]
+    return joined.select(*both, *[F.col(f"_{c}").alias(c) for c in batch.columns if c not in stored.columns])
 
 
 def purge(stored: DataFrame, date: str, day: str) -> DataFrame:
@@ -39,20 +41,26 @@ def novel(batch: DataFrame, shown: DataFrame, key: str = "id") -> DataFrame:
 def deduplicated(stored: DataFrame, groups: DataFrame) -> DataFrame:
     """One row for each group (id, grupo) of stored rows: the one with an hour,
     the larger line-up, the longer title and the smaller id stays, with the
-    longest title, united line-ups and sources and the largest score; what has
-    no clave, fuentes or estado gets them. A row without a group stays alone."""
+    longest title, united line-ups and sources and the largest score. In every
+    other column it keeps its value, or where it has none the next row's that has
+    one. What has no clave, fuentes or estado gets them. A row without a group
+    stays alone."""
     rows = stored.join(groups, "id", "left").withColumn("grupo", F.coalesce("grupo", "id"))
+    for name, kind in (("clave", "string"), ("estado", "string"), ("fuentes", "array<string>")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     first = F.struct(F.col("hora") == "", -F.size("orquestas"), -F.char_length("titulo"), "id")
     told = F.filter(F.array_distinct(F.concat(F.coalesce("fuentes", F.array().cast("array<string>")), F.array("fuente"))), lambda x: x.isNotNull())
-    lead = {c: F.min_by(c, first) for c in ("id", "hora", "day", "municipio", "lugar", "fuente")}
-    longest = F.min_by("titulo", F.struct(-F.char_length("titulo"), "id"))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    state = F.coalesce(F.min_by("estado", first), F.lit("activo"))
-    merged = rows.withColumn("fuentes", told).groupBy("grupo").agg(
-        *[v.alias(c) for c, v in lead.items()], longest.alias("titulo"), union("orquestas").alias("orquestas"), union("fuentes").alias("fuentes"),
-        F.max("score").alias("score"), F.min_by("clave", first).alias("clave"), state.alias("estado"),
-    )
-    return merged.drop("grupo").withColumn("clave", F.coalesce("clave", canonical_key(F.col("municipio"), F.col("day"), F.try_element_at("orquestas", F.lit(1)), F.col("titulo"))))
+    merged = {
+        "titulo": F.min_by("titulo", F.struct(-F.char_length("titulo"), "id")), "orquestas": union("orquestas"), "fuentes": union("fuentes"), "score": F.max("score"),
+        "estado": F.coalesce(F.min_by("estado", first), F.lit("activo")), "hora": F.min_by("hora", first), "id": F.min_by("id", first),
+    }
+    kept = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), first))
+    names = [c for c in rows.columns if c != "grupo"]
+    out = rows.withColumn("fuentes", told).groupBy("grupo").agg(*[merged.get(c, kept(c)).alias(c) for c in names])
+    own = canonical_key(F.col("municipio"), F.col("day"), F.try_element_at("orquestas", F.lit(1)), F.col("titulo"))
+    return out.withColumn("clave", F.coalesce("clave", own)).select(*names)
 
 
 def with_states(stored: DataFrame, signals: DataFrame) -> DataFrame:
@@ -126,23 +134,23 @@ def replace(df: DataFrame, path: str) -> None:
 
 
 def back_up(spark: SparkSession, path: str, day: str) -> str:
-    """Copy the table at path beside it, once a day; a later call of that day
-    leaves the first copy as it is. The copy's path."""
-    copy = f"{path}.backup-{day}"
-    fs, at = _files(spark, copy)
-    if not fs.exists(at(f"{copy}/_SUCCESS")):
-        spark.read.parquet(path).write.mode("overwrite").parquet(copy)
+    """Copy the table at path beside it, as the day's next copy; earlier ones
+    stay. The copy's path."""
+    fs, at = _files(spark, path)
+    numbers = [int(f.getPath().getName().rpartition("-")[2]) for f in (fs.globStatus(at(f"{path}.backup-{day}-*")) or [])]
+    copy = f"{path}.backup-{day}-{max(numbers, default=0) + 1:04d}"
+    spark.read.parquet(path).write.parquet(copy)
     return copy
 
 
 def apply_dedup(spark: SparkSession, path: str, groups: DataFrame, day: str, dry: bool = True) -> DataFrame:
-    """Back the table at path up and merge the groups (id, grupo) of its rows.
-    Unless dry, the result takes the table's place. Returns (grupo, ids, n) of
-    the groups that merge: the report."""
-    stored = spark.read.parquet(back_up(spark, path, day))
+    """Back the table at path up and merge the groups (id, grupo) of its rows,
+    as they are now. Unless dry, the result takes the table's place, with all of
+    its columns. Returns (grupo, ids, n) of the groups that merge: the report."""
+    copy = spark.read.parquet(back_up(spark, path, day))
     if not dry:
-        replace(deduplicated(stored, groups), path)
-    merging = stored.select("id").join(groups, "id").groupBy("grupo").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+        replace(deduplicated(spark.read.parquet(path), groups), path)
+    merging = copy.select("id").join(groups, "id").groupBy("grupo").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
     return merging.where("n > 1")
 
 

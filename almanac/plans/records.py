@@ -107,23 +107,54 @@ def event_scores(spark, sf):
     return scored(titled(spark, sf), rules).select("id", "score", "aceptado")
 
 
-@query("SELECT o_orderkey AS id, CAST(CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN o_orderkey % 50 + 1 WHEN 3 THEN 7 * (o_orderkey % 50 + 1) WHEN 4 THEN 1 WHEN 5 THEN 0 ELSE 999 END AS INT) AS dias FROM orders")
-def post_ages(spark, sf):
-    k = F.col("o_orderkey")
-    told = F.concat(F.when((k % 7).between(0, 3), F.concat((k % 50 + 1).cast("string"), F.lit(" "))).otherwise(""), pick(["min", "h", "d", "sem.", "Ayer", "Hoy mismo", "hace tiempo"], k % 7))
-    return read(spark, sf, "orders").select(k.alias("id"), social.post_age(told, F.to_date("o_orderdate")).cast("int").alias("dias"))
+#: What a post tells of its age, and the days that is (999: nothing known).
+_AGES = [
+    ("20 minutos", 0), ("10min", 0), ("3 h", 0), ("12 h.", 0), ("3 horas", 999), ("12 hs", 999), ("2 semanas", 14), ("1 sem.", 7), ("3 SEM", 21),
+    ("4 d", 4), ("7d", 7), ("2 días", 2), ("2 dias", 999), ("Hoy mismo", 0), ("hoyos", 0), ("Ayer a las 9", 1), ("ayer, hace 3 d", 1), ("hace 5 d y 2 sem", 5),
+    ("1 d y 3 min", 0), ("3 sem, hoy", 0), ("3 sem, ayer", 1), ("hace tiempo", 999), ("", 999), ("hace 12 meses", 999), ("d 4", 999), ("2 de foo", 999), ("3 dic", 999), ("1234 d", 1234),
+]
+_POSTED = "CAST(o_orderdate AS DATE)"
+
+
+def _case(key: str, values: list[str]) -> str:
+    """SQL that picks by key modulo their number."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-_SAID = "CAST(o_orderdate AS DATE)"
-_SAME = f"make_date(year({_SAID}), CAST(o_orderkey % 12 + 1 AS BIGINT), CAST(o_orderkey % 28 + 1 AS BIGINT))"
+def _latest(day: int, month: int, ahead: int) -> str:
+    same = f"make_date(year({_POSTED}), {month}, {day})"
+    return f"(CASE WHEN {same} <= {_POSTED} + {ahead} THEN {same} ELSE make_date(year({_POSTED}) - 1, {month}, {day}) END)"
 
 
-@query(f"SELECT o_orderkey AS id, CAST(CASE o_orderkey % 7 WHEN 0 THEN {_SAID} WHEN 1 THEN {_SAID} + 2 WHEN 2 THEN {_SAID} + CAST(6 - isodow({_SAID}) AS INT) WHEN 3 THEN {_SAID} + CAST((11 - isodow({_SAID})) % 7 + 1 AS INT) WHEN 5 THEN CASE WHEN {_SAME} <= {_SAID} + 180 THEN {_SAME} ELSE {_SAME} - INTERVAL 1 YEAR END WHEN 6 THEN {_SAID} + 1 END AS DATE) AS day FROM orders")
+_TOLD_DATES = [("15 de ago.", 15, 8), ("20 de dic.", 20, 12), ("1 de enero", 1, 1), ("3 de sept.", 3, 9), ("9deMarzo", 9, 3)]
+_AGE_SQL = [str(n) for _, n in _AGES] + [f"date_diff('day', {_latest(d, m, 0)}, {_POSTED})" for _, d, m in _TOLD_DATES]
+
+
+@query(f"SELECT o_orderkey AS id, CAST({_case('o_orderkey', _AGE_SQL)} AS INT) AS dias FROM orders")
+def post_ages(spark, sf):
+    told = pick([t for t, *_ in [*_AGES, *_TOLD_DATES]], F.col("o_orderkey") % len(_AGE_SQL))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), social.post_age(told, F.to_date("o_orderdate")).cast("int").alias("dias"))
+
+
+_DOW = f"CAST(isodow({_POSTED}) - 1 AS INT)"
+_THIS = [f"{_POSTED} + ({i} - {_DOW})" for i in range(7)]
+_NEXT = [f"{_POSTED} + (({i} - {_DOW} + 6) % 7 + 1)" for i in range(7)]
+_NONE, _TODAY, _TOMORROW, _AFTER = "NULL", _POSTED, f"{_POSTED} + 1", f"{_POSTED} + 2"
+#: What a post says, and the day that is.
+_SAID = [
+    ("Esta noche, baile", _TODAY), ("Mañana, y no esta tarde", _TODAY), ("El viernes gran verbena; esta noche ensayo", _TODAY), ("HOY no, mañana sí", _TODAY), ("esta mañana temprano", _TODAY),
+    ("Pasado mañana gala", _AFTER), ("mañana es pasado mañana menos uno", _AFTER), ("Mañana por la mañana", _TOMORROW), ("por la mañana, el lunes", _TOMORROW), ("amañana", _NONE), ("hoyo en la carretera", _NONE),
+    ("este finde fiesta", _THIS[5]), ("este fin de semana o el martes", _THIS[5]), ("el lunes y este domingo", _THIS[6]), ("Este miércoles, 3 de octubre", _THIS[2]), ("ESTE LUNES", _THIS[0]),
+    ("nos vemos el viernes", _NEXT[4]), ("el SÁBADO", _NEXT[5]), ("hasta el lunes, y el martes cierre", _NEXT[1]), ("el jueves 3 de octubre", _NEXT[3]), ("fue el  domingo", _NEXT[6]),
+    ("hasta el lunes", _NONE), ("del sábado", _NONE), ("el sabadoo", _NONE), ("", _NONE), ("viernes", _NONE), ("día 3", _NONE), ("3 de nada", _NONE),
+    ("3 de octubre", _latest(3, 10, 180)), ("el 10 de enero del próximo", _latest(10, 1, 180)), ("31 de diciembre de 2030", _latest(31, 12, 180)), ("1deSetiembre", _latest(1, 9, 180)), ("hasta el miércoles 23 de junio", _latest(23, 6, 180)),
+]
+
+
+@query(f"SELECT o_orderkey AS id, CAST({_case('o_orderkey', [v for _, v in _SAID])} AS DATE) AS day FROM orders")
 def event_days(spark, sf):
-    k = F.col("o_orderkey")
-    dated = F.concat((k % 28 + 1).cast("string"), F.lit(" de "), pick(D.MONTHS, k % 12))
-    said = F.when(k % 7 == 5, dated).otherwise(pick(["Esta noche, baile", "Pasado mañana gala", "este finde fiesta", "nos vemos el viernes", "hasta el lunes", "", "Mañana, y no esta tarde"], k % 7))
-    return read(spark, sf, "orders").select(k.alias("id"), social.event_day(said, F.to_date("o_orderdate")).alias("day"))
+    said = pick([t for t, _ in _SAID], F.col("o_orderkey") % len(_SAID))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), social.event_day(said, F.to_date("o_orderdate")).alias("day"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 < 2 THEN false WHEN quality IS NULL AND doc_id % 2 = 0 THEN doc_id % 7 >= 4 ELSE coalesce(quality = 1, false) END AS pasa FROM documents LEFT JOIN labels USING (doc_id)")

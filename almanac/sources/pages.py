@@ -4,6 +4,7 @@ days, sheets with hours and days, and lists in a model's answer."""
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,18 +76,24 @@ def title_days(title: Column, year: Column) -> Column:
     return F.filter(F.flatten(F.transform(groups, days)), lambda d: d.isNotNull())
 
 
+_LIST = re.compile(r"\[\s*\{")
+
+
 def longest_list(answer: str | None, needed: str) -> str | None:
-    """The longest JSON list of objects with a numeric field in a text."""
-    best, at, decoder = "", 0, json.JSONDecoder()
-    while (at := (answer or "").find("[", at)) >= 0:
+    """The longest JSON list of objects with a numeric field in a text. Only a
+    bracket before a brace can begin one, and a list that was read is not looked
+    into again; the decoder gives up a false start where its syntax breaks."""
+    text, best, end, decoder = answer or "", "", 0, json.JSONDecoder()
+    for start in _LIST.finditer(text):
+        if start.start() < end:
+            continue
         try:
-            value, end = decoder.raw_decode(answer, at)
+            value, stop = decoder.raw_decode(text, start.start())
         except (ValueError, RecursionError):
-            at += 1
             continue
-        if value and all(isinstance(v, dict) and isinstance(v.get(needed), int | float) for v in value) and end - at > len(best):
-            best = answer[at:end]
-        at = end
+        end = stop
+        if stop - start.start() > len(best) and all(isinstance(v, dict) and isinstance(v.get(needed), int | float) for v in value):
+            best = text[start.start() : stop]
     return best or None
 
 

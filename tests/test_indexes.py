@@ -29,7 +29,7 @@ def one(spark, column, **values):
     ],
 )
 def test_prose_after_a_name(spark, name, want):
-    assert one(spark, P.trim_prose(F.col("n")), n=name) == want
+    assert one(spark, P.venue_name(F.col("n")), n=name) == want
 
 
 @pytest.mark.parametrize(
@@ -133,4 +133,20 @@ def test_dedup_with_a_backup(spark, tmp_path):
     assert [(r["grupo"], r["ids"], r["n"]) for r in report.collect()] == [("g", ["a", "b"], 2)] and spark.read.parquet(path).count() == 3
     again = K.apply_dedup(spark, path, groups, "2026-01-01", dry=False).collect()
     assert len(again) == 1 and {r["id"] for r in spark.read.parquet(path).collect()} == {"b", "c"}
-    assert spark.read.parquet(f"{path}.backup-2026-01-01").count() == 3
+    assert spark.read.parquet(f"{path}.backup-2026-01-01-0001").count() == 3
+
+
+def test_dedup_keeps_columns_and_what_was_written_between_two_passes(spark, tmp_path):
+    columns = "id int, hora string, day string, municipio string, lugar string, fuente string, titulo string, orquestas array<string>, score int, url string, fotos array<string>, dayNum int, posibleCancelacion boolean"
+    row = lambda i, hora, url, fotos: (i, hora, "01-01-2026", "M", "L", "F", "Verbena", ["o"], i, url, fotos, 20260101, i == 2)
+    path = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), columns)
+    frame(row(1, "21:00", None, None), row(2, "", "u2", ["f2"])).write.parquet(path)
+    groups = spark.createDataFrame([(1, 1), (2, 1)], "id int, grupo int")
+    K.apply_dedup(spark, path, groups, "2026-01-01", dry=False)
+    (kept,) = spark.read.parquet(path).collect()
+    assert (kept["id"], kept["url"], kept["fotos"], kept["dayNum"], kept["posibleCancelacion"], kept["score"]) == (1, "u2", ["f2"], 20260101, False, 2)
+    K.replace(K.upsert(spark.read.parquet(path), frame(row(9, "", "u9", []))), path)
+    K.apply_dedup(spark, path, groups, "2026-01-01", dry=False)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 9]
+    assert [spark.read.parquet(f"{path}.backup-2026-01-01-000{n}").count() for n in (1, 2)] == [2, 2]

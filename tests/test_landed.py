@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import datetime as dt
 
 import pytest
@@ -39,6 +41,9 @@ def test_sheets_and_days(spark):
 def test_lists_in_answers():
     assert P.longest_list('x [1] [{"indice": 1}] [{"indice": 2, "a": [3]}] [', "indice") == '[{"indice": 2, "a": [3]}]'
     assert P.longest_list('[{"indice": "1"}]', "indice") is None and P.longest_list(None, "indice") is None and P.longest_list("[[[", "indice") is None
+    began = time.time()
+    assert P.longest_list("[" * 200_000 + '{"indice": 1}', "indice") is None and P.longest_list('[{"a":' * 5_000, "indice") is None
+    assert P.longest_list('text [{"nota": "x [" } ' * 3_000 + '[ {"indice": 7}]', "indice") == '[ {"indice": 7}]' and time.time() - began < 3
 
 
 def test_pages_without_anything(spark):
