@@ -3,8 +3,8 @@
 1. Each text is cut into chunks where a rolling hash of the last 32 bytes says
    so; equal passages are cut alike, wherever they stand. A text is one row of
    its chunks' 64-bit digests.
-2. Digests that two different texts have are shared. One text of each brings the
-   chunk's bytes, which are encoded once for all texts.
+2. Digests that occur twice, in two texts or in one, are shared. One text of each
+   brings the chunk's bytes, which are encoded once for all.
 3. Each text gets the ids of its shared chunks (held against 128 bits of its
    own chunk, so that a collision is encoded anew), encodes the stretches between
    them, and repairs each join: the words around it are encoded together, in
@@ -246,8 +246,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, sizes: tuple[int, int, int] =
     rows = docs.select(text_key(text).alias("key"), text.alias("text"))
     occurring = materialize(chunked(rows, sizes).groupBy("key").agg(F.first("digests").alias("digests")), "chunks")
     places = occurring.select("key", F.posexplode("digests").alias("pos", "digest"))
-    met = places.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("at"), F.max("key").alias("other"))
-    shared = met.where("at.key <> other").select(F.col("at.key").alias("key"), F.col("at.pos").alias("pos"))
+    met = places.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
+    shared = met.where("n > 1").select(F.col("at.key").alias("key"), F.col("at.pos").alias("pos"))
     wanted = shared.groupBy("key").agg(F.collect_list("pos").alias("places"))
     # both uses of this table read both columns and keys that are not null, and
     # so share one exchange of the texts
@@ -273,6 +273,7 @@ def op11_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     out = encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
-    digests = out.select("key", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    sha = lambda c: F.unhex(F.sha2(c, 256))  # noqa: E731  half as long on its way to the documents
+    digests = out.select("key", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", " ")).alias("ids_"), sha(F.col("decoded")).alias("decoded_"))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.coalesce("text", F.lit(""))).alias("key"))
-    return keys.join(digests, "key").drop("key")
+    return keys.join(digests, "key").select("doc_id", "n_tokens", F.lower(F.hex("ids_")).alias("ids_sha256"), F.lower(F.hex("decoded_")).alias("decoded_sha256"))
