@@ -4,32 +4,46 @@ read across, and the years, months and page numbers that addresses tell."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import text as T
+from almanac.operators import dictionary as N
+from almanac.operators import spelling as S
 
 #: Weekdays as written, where an article ends, months by what a
 #: slug hints at (tried in this order), words that follow a name but name none.
 WRITTEN = "lunes martes miércoles jueves viernes sábado domingo".split()
-BODY_START = r'(?i)<h1[^>]*class="[^"]*post-title'
-BODY_END = "(?i)compartir|share-post|post-navigation|related|relacionad"
+BODY_CLASS = "post-title"
+BODY_ENDS = ["compartir", "share-post", "post-navigation", "related", "relacionad"]
 SLUGS = [("navidad", 12), ("carnaval", 2), ("habaneras", 7), ("carmen", 7), *((m, i + 1) for i, m in enumerate(D.MONTHS))]
-NO_NAME = "fuegos?|procesion|misa|festival|feria|gala|romeria|verbena|baile|plaza|parque|recinto|iglesia|ermita|banda|musica"
+NO_NAME = "fuego fuegos procesion misa festival feria gala romeria verbena baile plaza parque recinto iglesia ermita banda musica".split()
+PAGE_WORDS = ["page", "pag", "p"]
 BULLET = r"•\s*([^.\n•]{3,80}?)\s*\."
 
 
 def article_body(html: Column) -> Column:
-    """Lines of an article from its heading to the sharing links below it; the
-    tag that the end lies in goes."""
-    at = F.regexp_instr(html, F.lit(BODY_START))
-    from_head = F.when(at > 0, F.substring(html, at, F.char_length(html))).otherwise(html)
-    end = F.regexp_instr(from_head, F.lit(BODY_END))
-    body = F.when(end > 1, F.substring(from_head, F.lit(1), end - 1)).otherwise(from_head)
-    return T.html_lines(F.regexp_replace(body, "<[^>]*$", ""))
+    """Lines of an article from its heading to the sharing links below it, where
+    these end it; without a heading from the start. The page is taken as pieces
+    that begin with a tag each."""
+    blocks = F.split(html, "(?=<)", -1)
+    heading = lambda b: F.lower(b).startswith("<h1") & F.contains(F.regexp_extract(F.lower(b), r'^<h1[^>]*class="([^"]*)"', 1), F.lit(BODY_CLASS))
+    start = F.greatest(F.coalesce(F.array_position(F.transform(blocks, heading), F.lit(True)), F.lit(0)), F.lit(1))
+    rest = F.slice(blocks, start.cast("int"), F.size(blocks))
+
+    def ending(b: Column) -> Column:
+        """Where the first ending word begins in a piece, from 1; 0 without."""
+        at = F.array(*[F.nullif(F.instr(F.lower(b), F.lit(w)), F.lit(0)) for w in BODY_ENDS])
+        return F.coalesce(F.array_min(at), F.lit(0))
+
+    end = F.array_position(F.transform(rest, lambda b: ending(b) > 0), F.lit(True)).cast("int")
+    last = F.try_element_at(rest, F.nullif(end, F.lit(0)))
+    # of the piece that ends it, what stands before the word, if it is text
+    tail = F.regexp_replace(F.substring(last, F.lit(1), ending(last) - 1), "<[^>]*$", "")
+    whole = F.array_join(rest, "")
+    body = F.when(end > 0, F.concat(F.array_join(F.slice(rest, 1, F.greatest(end, F.lit(1)) - 1), ""), tail)).otherwise(whole)
+    return T.html_lines(F.when((end == 1) & (ending(last) == 1), whole).otherwise(body))
 
 
 def by_place(sections: DataFrame, text: str = "texto") -> DataFrame:
@@ -43,33 +57,54 @@ def by_place(sections: DataFrame, text: str = "texto") -> DataFrame:
 
 
 def mended_weekdays(text: Column) -> Column:
-    """Words before a day's number that are one letter from a weekday, and
-    begin like it, as that weekday; for transcribed posters alone."""
+    """Words before a day's number that are one edit from a weekday, and begin
+    like it, as that weekday, with a capital if the word has one; for transcribed
+    posters alone. Each such word's forms are looked up in those of the weekdays."""
     word = r"(?<![\p{L}\d])\p{L}{5,10}(?=\s+\d{1,2}\b(?!\s*[:.]\d))"
-    found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: F.struct(w.alias("w"), T.fold(w).alias("f")))
+    written = F.create_map(*[F.lit(x) for pair in zip(D.WEEKDAYS, WRITTEN, strict=True) for x in pair])
 
-    def mended(w: Column) -> Column:
-        near = F.filter(F.array(*map(F.lit, WRITTEN)), lambda d: (F.substring(T.fold(d), 1, 3) == F.substring(T.fold(w), 1, 3)) & (F.levenshtein(T.fold(d), T.fold(w)) <= 1))
-        day = F.try_element_at(near, F.lit(1))
-        first = F.substring(w, 1, 1)
-        cased = F.when(first == F.upper(first), F.concat(F.upper(F.substring(day, 1, 1)), F.substring(day, 2, 20))).otherwise(day)
-        return F.when(day.isNotNull() & (T.fold(day) != T.fold(w)), cased).otherwise(w)
+    def mended(x: Column) -> Column:
+        day = F.try_element_at(written, S.corrected(x["f"], D.WEEKDAYS, 3))
+        capital = F.substring(x["w"], 1, 1) == F.upper(F.substring(x["w"], 1, 1))
+        right = F.array_contains(F.array(*map(F.lit, D.WEEKDAYS)), x["f"])
+        return F.when(day.isNull() | right, x["w"]).when(capital, F.initcap(day)).otherwise(day)
 
-    return F.array_join(F.zip_with(F.split(text, word, -1), F.transform(found, mended), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.array_join(F.zip_with(F.split(text, word, -1), F.transform(plain, mended), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def hour_with_act(text: Column) -> Column:
-    """"21:00 h – Plaza" above its act as one line, "21:00 - act (Plaza)"; a
-    line that begins with a weekday is no act."""
-    days = "|".join({*WRITTEN, *D.WEEKDAYS})
-    return F.regexp_replace(text, rf'(?m)^(\d{{1,2}}:\d{{2}})\s*h(?:oras?)?\.?\s*[–-]\s*([^.\n]{{2,80}})\n(?!(?i:{days})\b)([A-ZÁÉÍÓÚÑ“"0-9][^\n]*)', "$1 - $3 ($2)")
+    """A line "21:00 h – Plaza" above an act as one line with it, "21:00 - act
+    (Plaza)", looked at line by line; a line that begins with a weekday, or with
+    neither a capital, a number nor a quote, is no act."""
+    lines = F.split(text, "\n", -1)
+    days = F.array(*map(F.lit, [*WRITTEN, *D.WEEKDAYS]))
+    told = lambda i: F.try_element_at(lines, i)
+    half = lambda i, k: F.coalesce(F.try_element_at(F.split(told(i), r"\s*[–-]\s*", 2), F.lit(k)), F.lit(""))
+    timed = lambda i: half(i, 1).rlike(r"^\d{1,2}:\d{2}\s*h(?:oras?)?\.?$")
+    above = lambda i: timed(i) & F.char_length(half(i, 2)).between(2, 80) & ~F.contains(half(i, 2), F.lit("."))
+    act = lambda i: F.coalesce(told(i).rlike(r'^[A-ZÁÉÍÓÚÑ“"0-9]') & ~F.array_contains(days, F.lower(F.regexp_extract(told(i), r"^(\p{L}+)", 1))), F.lit(False))
+    # the line that an act's head was is gone; a head whose act is a head itself stays
+    pairs = lambda i: above(i) & act(i + 1)
+    joined = lambda i: F.concat(F.regexp_extract(half(i, 1), r"^[\d:]+", 0), F.lit(" - "), told(i + 1), F.lit(" ("), half(i, 2), F.lit(")"))
+    numbers = F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1)))
+    taken = lambda i: (i > 1) & pairs(i - 1) & ~((i > 2) & pairs(i - 2))
+    kept = F.transform(F.filter(numbers, lambda i: ~taken(i)), lambda i: F.when(pairs(i), joined(i)).otherwise(told(i)))
+    return F.when(text.isNotNull(), F.array_join(kept, "\n"))
 
 
 def page_number(url: Column) -> Column:
-    """The page that an image's address tells, 0 without."""
-    named, last = r"(?i)(?:page|pag|p)[-_]?(\d{2,4})(?!\d)", r"(?i)(\d{2,4})\.[a-z]+$"
-    of = lambda p: F.regexp_extract(url, p, 1).try_cast("int")
-    return F.coalesce(of(named), of(last), F.lit(0))
+    """The page that an image's address tells, 0 without: the number of two to
+    four digits after a word for page, else the one just before the ending."""
+    runs = F.regexp_extract_all(F.lower(url), F.lit(r"[a-z]+|\d+|[^a-z\d]+"), F.lit(0))
+    run = lambda i: F.coalesce(F.when(i > 0, F.try_element_at(runs, F.greatest(i, F.lit(1)))), F.lit(""))
+    number = lambda i: run(i).rlike(r"^\d{2,4}$")
+    page = lambda x: F.regexp_extract(x, f"({'|'.join(PAGE_WORDS)})$", 1) != ""
+    named = lambda i: number(i) & (page(run(i - 1)) | (run(i - 1).isin("-", "_") & page(run(i - 2))))
+    size = F.size(runs)
+    at = F.filter(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), named)
+    last = F.when((size >= 3) & (run(size - 1) == ".") & run(size).rlike("^[a-z]+$") & run(size - 2).rlike(r"^\d{2,}$"), F.right(run(size - 2), F.lit(4)))
+    return F.coalesce(run(F.try_element_at(at, F.lit(1))).try_cast("int"), last.try_cast("int"), F.lit(0))
 
 
 def year_of(url: Column, html: Column, current: int) -> Column:
@@ -92,15 +127,28 @@ def month_in_slug(slug: Column) -> Column:
     return out
 
 
-def rescued_names(text: Column, names: list[str]) -> Column:
-    """Names of the dictionary (of bounded size) in a piece of a poster, and
-    the one that follows such a name by "y" ("UNO y OTRO"), once each."""
-    hay = F.concat(F.lit(" "), T.words_only(text), F.lit(" "))
-    known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(hay, F.concat(F.lit(" "), T.words_only(n), F.lit(" "))))
-    after = [F.regexp_extract(text, rf"(?i)\b{re.escape(n)}\s+y\s+(?-i:([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ]+))", 1) for n in names]
-    new = lambda a: (a != "") & ~T.fold(a).rlike(f"^({NO_NAME})$") & ~F.exists(known, lambda k: T.fold(k) == T.fold(a))
-    more = F.transform(F.filter(F.array(*after).cast("array<string>"), new), F.initcap)
-    return F.array_distinct(F.concat(known, more))
+def rescued(texts: DataFrame, key: str, text: Column, names: DataFrame) -> DataFrame:
+    """(key, nombres): of each piece of a poster the names of the dictionary
+    (rango, nombre) that it holds, by rank, without those that hold an earlier
+    one or are held by it, and after them the capitalised word that follows such
+    a name by "y" ("UNO y OTRO"), once each. Texts without a name have none."""
+    letters = T.MARKED + T.MARKED.upper()
+    words = texts.select(key, F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9{letters}]+"), F.lit(0)).alias("_w"))
+    found = N.hits(texts, key, text, names)
+    first = found.groupBy(key, "rango", "nombre").agg(F.min("desde").alias("desde"))
+    size = F.size(F.split(T.words_and_digits(F.col("nombre")), " "))
+    after = F.col("desde") + size
+    word = lambda i: F.try_element_at("_w", (i + 1).cast("int"))
+    second = word(after + 1)
+    follows = (F.lower(word(after)) == "y") & second.rlike(f"^[A-Z{T.MARKED.upper()}].") & ~F.array_contains(F.array(*map(F.lit, NO_NAME)), T.fold(second))
+    told = first.join(words, key).select(key, F.struct("rango", "nombre", F.when(follows, F.initcap(second)).alias("otro")).alias("_x"))
+    lists = told.groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias("_l"))
+    holds = lambda a, b: F.contains(T.fold(a), T.fold(b)) | F.contains(T.fold(b), T.fold(a))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate("_l", none, lambda acc, x: F.when(F.exists(acc, lambda a: holds(a, x["nombre"])), acc).otherwise(F.array_append(acc, x["nombre"])))
+    others = F.transform(F.filter("_l", lambda x: x["otro"].isNotNull() & F.array_contains("_kept", x["nombre"])), lambda x: x["otro"])
+    same = lambda acc, x: F.exists(acc, lambda a: T.fold(a) == T.fold(x))
+    return lists.withColumn("_kept", kept).select(key, F.aggregate(others, F.col("_kept"), lambda acc, x: F.when(same(acc, x), acc).otherwise(F.array_append(acc, x))).alias("nombres"))
 
 
 def across_columns(acts: DataFrame, sections: DataFrame, key: str = "id") -> DataFrame:

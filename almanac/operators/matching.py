@@ -128,9 +128,11 @@ def most_named_month(text: Column, how: str = "dated") -> Column:
     without. how: "dated" counts "12 de mayo", "word" whole words, "part" any
     part of a word, of which two are needed."""
     t = T.fold(text)
-    wrap = {"dated": r"\d{1,2} de {0}\b", "word": r"\b{0}\b", "part": "{0}"}[how]
+    wrap = {"dated": r"\d{1,2} de ({0})\b", "word": r"\b({0})\b", "part": "({0})"}[how]
     least = 2 if how == "part" else 1
-    counts = [F.struct(F.regexp_count(t, F.lit(wrap.replace("{0}", m))).alias("n"), F.lit(-i).alias("minus"), F.lit(f"{i + 1:02d}").alias("mes")) for i, m in enumerate(D.MONTHS)]
+    named = F.regexp_extract_all(t, F.lit(wrap.replace("{0}", "|".join(D.MONTHS))), F.lit(1))
+    times = lambda m: F.size(F.filter(named, lambda x: x == m))
+    counts = [F.struct(times(m).alias("n"), F.lit(-i).alias("minus"), F.lit(f"{i + 1:02d}").alias("mes")) for i, m in enumerate(D.MONTHS)]
     top = F.array_max(F.array(*counts))
     return F.when(top["n"] >= least, top["mes"]).otherwise("")
 

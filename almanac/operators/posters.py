@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import text as T
-from almanac.operators.layout import rescued_names
+from almanac.operators import dictionary
+from almanac.operators.layout import rescued
+from almanac.operators.spans import cut
 
 #: Lines that tell of a dance.
 DANCE = "verbena|gran baile|baile popular|baile de |noche latina|noche en blanco|latinazo|concierto bailable"
@@ -47,16 +49,22 @@ def poster_acts(posters: DataFrame, key: str, text: str, reference: str, names:
     that tell of a dance, or of an orchestra with an hour, below a header with
     a weekday ("hasta el sábado" is none). Titles are cut at 90 characters.
     names: a dictionary of bounded size. Null texts have no acts."""
-    pieces = F.filter(F.split(text, f"(?={_HEAD})"), lambda p: p.rlike(f"^(?:{_HEAD})"))
-    part = lambda p, i: F.nullif(F.lower(F.regexp_extract(p, _HEAD, i)), F.lit(""))
+    rows = cut(posters.withColumn("_ref", F.col(reference)), [key, "_ref"], F.col(text), _HEAD).where("i > 0")
+    part = lambda i: F.nullif(F.lower(F.regexp_extract("hit", _HEAD, i)), F.lit(""))
     week = F.array(*map(F.lit, D.WEEKDAYS))
-    head = lambda p: F.struct((F.array_position(week, T.fold(part(p, 1))) - 1).cast("int").alias("weekday"), part(p, 2).try_cast("int").alias("day"), F.nullif(D.month_number(part(p, 3)), F.lit("")).cast("int").alias("month"))
-    read = posters.select(key, F.col(reference).alias("_ref"), pieces.alias("_p")).where(F.size("_p") > 0)
-    dated = read.select(key, F.arrays_zip(F.col("_p").alias("text"), moving_dates(F.transform("_p", head), F.col("_ref")).alias("day")).alias("_s"))
-    sections = dated.select(key, F.posexplode("_s").alias("ord", "_s")).where("_s.day IS NOT NULL")
+    number = F.nullif(D.month_number(part(3)), F.lit("")).cast("int")
+    heads = rows.select(key, "_ref", F.struct("i", (F.array_position(week, T.fold(part(1))) - 1).cast("int").alias("weekday"), part(2).try_cast("int").alias("day"), number.alias("month"), "piece").alias("_h"))
+    held = heads.groupBy(key, "_ref").agg(F.array_sort(F.collect_list("_h")).alias("_s"))
+    dated = held.select(key, F.posexplode(F.arrays_zip("_s", moving_dates(F.col("_s"), F.col("_ref")).alias("day"))).alias("ord", "_d"))
+    sections = dated.select(key, "ord", D.day_text(F.col("_d.day")).alias("day"), F.col("_d._s.piece").alias("_t")).where("day IS NOT NULL")
     line = F.regexp_replace(F.trim(F.col("_l")), r"^[•*·—|>\-\s]+", "")
-    lines = sections.select(key, "ord", D.day_text(F.col("_s.day")).alias("day"), F.explode(F.split("_s.text", "\n")).alias("_l")).select(key, "ord", "day", line.alias("_l"))
+    lines = sections.select(key, "ord", "day", F.posexplode(F.split("_t", "\n")).alias("_n", "_l")).select(key, "ord", "day", F.concat_ws("|", F.col(key).cast("string"), "ord", "_n").alias("_k"), line.alias("_l"))
     folded, hour = T.fold(F.col("_l")), F.regexp_extract("_l", r"\d{1,2}:\d{2}", 0)
     told = folded.rlike(DANCE) | (folded.rlike("orquesta") & (hour != ""))
     kept = lines.where(F.char_length("_l").between(10, 160) & told)
-    return kept.select(key, "ord", "day", hour.alias("hora"), F.substring("_l", 1, 90).alias("titulo"), rescued_names(F.col("_l"), list(names)).alias("orquestas"))
+    if names:
+        kept = kept.join(rescued(kept, "_k", F.col("_l"), dictionary.of(posters.sparkSession, list(names))), "_k", "left")
+    else:
+        kept = kept.withColumn("nombres", F.lit(None).cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return kept.select(key, "ord", "day", hour.alias("hora"), F.substring("_l", 1, 90).alias("titulo"), F.coalesce("nombres", none).alias("orquestas"))

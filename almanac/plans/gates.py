@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators import dictionary as N
 from almanac.operators import gates as G
 from almanac.operators import layout as L
 from almanac.operators import store as K
@@ -123,7 +124,9 @@ def told_by_addresses(spark, sf):
 def rescued_names(spark, sf):
     s, k = F.col("c_mktsegment"), F.col("c_custkey") % 4
     text = F.when(k == 0, F.concat(F.lit("... "), s, F.lit(" y OTRO. Fin"))).when(k == 1, F.concat(s, F.lit(" y Plaza"))).when(k == 2, F.concat(s, F.lit(" y nada"))).otherwise("Nadie y Otro")
-    return read(spark, sf, "customer").select("c_custkey", F.array_join(L.rescued_names(text, SEGMENTS), ",").alias("nombres"))
+    texts = read(spark, sf, "customer").select("c_custkey", text.alias("t"))
+    found = L.rescued(texts, "c_custkey", F.col("t"), N.of(spark, [x.lower() for x in SEGMENTS]))
+    return texts.join(found, "c_custkey", "left").select("c_custkey", F.coalesce(F.array_join("nombres", ","), F.lit("")).alias("nombres"))
 
 
 _LINES = "li AS (SELECT l_orderkey AS id, l_linenumber AS ord, strftime(l_shipdate, '%d-%m-%Y') AS day, l_partkey % 3 AS n, l_suppkey % 2 AS has, l_returnflag AS f FROM lineitem)"

@@ -19,11 +19,13 @@ def each(spark, column, values):
     ("column", "values", "want"),
     [
         (lambda t: L.mended_weekdays(t), ["SáBano 10", "sabana 10", "viernez 21:30", "DoMinco 11 y Lunes 12", "", None], ["Sábado 10", "sabana 10", "viernez 21:30", "Domingo 11 y Lunes 12", "", None]),
+        (lambda t: L.mended_weekdays(t), ["marte 3, juevess 4", "mercoles 5", "domino 6 domingos 7 dominhos 8", "sabadoo 9 sábado 10"], ["martes 3, jueves 4", "mercoles 5", "domingo 6 domingo 7 dominhos 8", "sábado 9 sábado 10"]),
         (lambda t: L.hour_with_act(t), ["21:00 h – Plaza X\nGran baile", "21:00 h - Plaza X\nviernes 3", "21:00 baile", None], ["21:00 - Gran baile (Plaza X)", "21:00 h - Plaza X\nviernes 3", "21:00 baile", None]),
+        (lambda t: L.hour_with_act(t), ["9:30 horas. – Casa Vieja\n“Gala”\nfin", "21:00 h – A.B\nGala", "21:00 h – Uno\n22:00 h – Dos\nTres", "x\n21:00 h – Plaza"], ["9:30 - “Gala” (Casa Vieja)\nfin", "21:00 h – A.B\nGala", "21:00 - 22:00 h – Dos (Uno)\nTres", "x\n21:00 h – Plaza"]),
         (lambda t: L.page_number(t), ["a/page-07.jpg", "a/PAG_12-3.jpg", "x/033.png", "x/a.png", None], [7, 12, 33, 0, 0]),
+        (lambda t: L.page_number(t), ["https://a.es/p_0123.png", "map12-07.webp", "a/2026/x.jpg", "pag-1.jpg", "x12345.png"], [123, 12, 0, 0, 2345]),
         (lambda t: L.month_in_slug(t), ["Navidad-enero", "fiesta-mayo", "x", None], [12, 5, -1, -1]),
         (lambda t: L.article_body(t), ["<nav>a</nav><h1 class='x'>b</h1>", '<p>a</p><h1 class="post-title">B</h1><p>c</p><a class="share-post">d</a>', "", None], ["a\nb", "B\nc", "", None]),
-        (lambda t: F.array_join(L.rescued_names(t, ["wamampy", "dl"]), ","), ["...WAMAMPY y REVELACIÓN", "WAMAMPY y Verbena", "y Nadie", ""], ["wamampy,Revelación", "wamampy", "", ""]),
         (lambda t: G.says_something(t, ["wamampy"]), ["~~ |", "Con WAMAMPY", "a las 9:30", "verbenas", None], [False, True, True, True, False]),
         (lambda t: G.is_read("auto", t, F.lit(False)), ["abandonada", "fria", "", None], [False, True, True, True]),
         (lambda t: G.is_read("caliente", t, F.lit(True)), ["abandonada", "caliente", "", None], [False, True, True, True]),
