@@ -54,3 +54,11 @@ def in_week(date: Column, today: str) -> Column:
 def rhythm(days: Column, failures: Column) -> Column:
     """How active an account is, by days since its last post."""
     return F.when(failures >= 3, "abandonada").when(days < 7, "caliente").when(days < 30, "templada").when(days < 365, "fria").otherwise("abandonada")
+
+
+def month_context(text: Column) -> Column:
+    """(mes, anyo) of the first month that a year follows ("SEPTIEMBRE 2026"), ''
+    each without."""
+    p = rf"\b({'|'.join([*MONTHS, 'setiembre'])})\b\s*(20\d\d)"
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.struct(month_number(F.regexp_extract(low, p, 1)).alias("mes"), F.regexp_extract(low, p, 2).alias("anyo"))

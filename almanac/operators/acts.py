@@ -29,23 +29,34 @@ MUSIC = r"orquesta|verbena|baile|grupo|actuacion|concierto|ameniza|musica|\bdj\b
 _TIME = r"(?<!\d)(?:[01]?\d|2[0-3]):[0-5]\d(?!\d)"
 _RANGE = rf"{_TIME}(?:\s*h(?:oras)?\b\.?)?(?:\s*(?:-|–|a(?:\s+las)?)\s*{_TIME})?"
 _STOP = r"[.;\n]\s|\n"
-STRETCH = rf"(?isu)(?:{_RANGE})?(?:(?!{_RANGE}|{_STOP}).)*+(?:[.;\n]\s+|\n)?"
+#: A time that begins a stretch: not one that a phrase leads to ("a las 22:00").
+_NEW = rf"(?<!\b(?:a|de|desde|hasta|sobre)\s{{1,2}}(?:las?\s{{1,2}})?){_RANGE}"
+STRETCH = rf"(?isu)(?:{_RANGE})?(?:(?!{_NEW}|{_STOP}).)*+(?:[.;\n]\s+|\n)?"
 #: Characters in which an hour or venue told before, or after, an act holds.
 BEFORE, AFTER, TAIL = 400, 120, 600
 
 
-def dated(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
-    """Sections (key, ord, pos, day, texto): month and year are carried forward,
-    else taken from the next section that has one; day is dd-MM-yyyy where it
-    exists, else ''."""
+def inherited(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
+    """Sections (key, ord, pos, dia, mes, anyo, texto): month and year are carried
+    forward, else taken from the next section that has one; null without."""
     s = sections(programmes, key, text, mes, anyo)
     w = Window.partitionBy(key).orderBy("ord")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     told = lambda c: F.nullif(F.col(c), F.lit(""))
-    for c in ("mes", "anyo"):
-        s = s.withColumn(f"_{c}", F.coalesce(F.last(told(c), True).over(back), F.first(told(c), True).over(ahead)))
-    date = F.try_to_date(F.concat_ws("-", F.lpad(F.col("dia").cast("string"), 2, "0"), "_mes", "_anyo"), "dd-MM-yyyy")
-    return s.select(key, "ord", "pos", F.coalesce(D.day_text(date), F.lit("")).alias("day"), "texto")
+    around = {c: F.coalesce(F.last(told(c), True).over(back), F.first(told(c), True).over(ahead)) for c in ("mes", "anyo")}
+    return s.withColumns(around).select(key, "ord", "pos", "dia", "mes", "anyo", "texto")
+
+
+def day_of(dia: Column, mes: Column, anyo: Column) -> Column:
+    """dd-MM-yyyy where there is such a day, else ''."""
+    date = F.try_to_date(F.concat_ws("-", F.lpad(dia.cast("string"), 2, "0"), mes, anyo), "dd-MM-yyyy")
+    return F.coalesce(D.day_text(date), F.lit(""))
+
+
+def dated(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
+    """Sections (key, ord, pos, day, texto), with the day of their header."""
+    s = inherited(programmes, key, text, mes, anyo)
+    return s.select(key, "ord", "pos", day_of(F.col("dia"), F.col("mes"), F.col("anyo")).alias("day"), "texto")
 
 
 def joined_lines(text: Column) -> Column:
@@ -76,8 +87,15 @@ def stretches(dated_sections: DataFrame, key: str) -> DataFrame:
 
 
 def acts(programmes: DataFrame, key: str, text: str, names: list[str] = (), mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
+    """The acts of programmes (key, text); see acts_of."""
+    found = acts_of(dated(programmes, key, text, mes, anyo), key, names)
+    return found.select(key, "ord", "n", "day", "titulo", "hora", "lugar", "orquestas", "suelta")
+
+
+def acts_of(dated_sections: DataFrame, key: str, names: list[str] = ()) -> DataFrame:
     """One row for each act of each dated section: key, ord, n (its stretch), day,
-    titulo, hora, lugar, orquestas, suelta (its stretch has no time of its own).
+    titulo, hora, lugar, orquestas, suelta (its stretch has no time of its own) and
+    cerca, what is told within 400 characters of it.
     A stretch is an act where it names a dance, or music with a performer of the
     dictionary (of bounded size), and nothing speaks against it. Its hour: its
     stretch's; else that of the last range, or else the last time, in the 400
@@ -85,8 +103,10 @@ def acts(programmes: DataFrame, key: str, text: str, names: list[str] = (), mes:
     before; else the next in the 120 after. Its venue: "Lugar: ...", its
     stretch's, the last of this section in the 400 characters before, the first in
     the 200 after. One act that is told twice is one."""
-    ship(programmes.sparkSession)
-    rows = stretches(dated(programmes, key, text, mes, anyo), key)
+    ship(dated_sections.sparkSession)
+    rows = stretches(dated_sections, key)
+    around = Window.partitionBy(key, "ord").orderBy("at").rangeBetween(-BEFORE, BEFORE)
+    rows = rows.withColumn("cerca", F.array_join(F.collect_list("piece").over(around), ""))
     told = lambda c: F.when(F.col(c).isNotNull(), F.struct("at", "ord", F.col(c).alias("v")))
     seen = rows.withColumns({
         "_range": last_before(told("rango"), [key], "at", False), "_time": last_before(told("hora"), [key], "at", False), "_next": first_after(told("hora"), [key], "at"),
@@ -96,7 +116,11 @@ def acts(programmes: DataFrame, key: str, text: str, names: list[str] = (), mes:
     here = lambda c: F.col(f"{c}.ord") == F.col("ord")
     holds = lambda c: F.when(F.col(f"{c}.at") >= F.greatest(F.col("at") - BEFORE, F.col("start") - TAIL), F.col(f"{c}.v"))
     soon = F.when(here("_next") & (F.col("_next.at") <= end + AFTER), F.col("_next.v"))
-    hour = F.coalesce("hora", holds("_range"), holds("_time"), soon, F.lit(""))
+    # of several times the last before the dance is the act's, else the first
+    dance = F.regexp_instr(fold(F.col("piece")), F.lit(DANCE))
+    told_before = F.regexp_extract_all(F.substring("piece", F.lit(1), dance - 1), F.lit(rf"(?iu){_RANGE}"), F.lit(0))
+    own = F.coalesce(hour_of(F.try_element_at(told_before, F.lit(-1))), F.col("hora"))
+    hour = F.coalesce(own, holds("_range"), holds("_time"), soon, F.lit(""))
     before = F.when(here("_venue") & (F.col("_venue.at") >= F.col("at") - P.BEFORE), F.col("_venue.v"))
     beyond = F.when(here("_beyond") & (F.col("_beyond.at") <= end + P.AFTER), F.col("_beyond.v"))
     place = F.coalesce("campo", "lugar", before, beyond, F.lit(""))
@@ -104,11 +128,10 @@ def acts(programmes: DataFrame, key: str, text: str, names: list[str] = (), mes:
     low = fold(F.col("piece"))
     spaced = F.concat(F.lit(" "), words_only(F.col("piece")), F.lit(" "))
     known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(spaced, F.concat(F.lit(" "), words_only(n), F.lit(" "))))
-    dance = F.regexp_instr(low, F.lit(DANCE))
     good = (F.char_length(F.trim("piece")) >= 6) & ~low.rlike(NOT_A_DANCE) & ~low.rlike(PAST) & ~low.rlike(ONLY_A_LIST) & ((dance > 0) | ((F.size(known) > 0) & low.rlike(MUSIC)))
     body = F.substring("piece", F.greatest(dance, F.lit(1)), F.char_length("piece"))
     title = F.trim(F.substring(F.regexp_replace(F.regexp_replace(body, r"(?is)\s*lugar:.*$", ""), r"(?s)^[\s,:;.–-]+|[\s,:;.–-]+$", ""), 1, 180))
-    found = seen.where(good).select(key, "ord", "n", "day", title.alias("titulo"), hour.alias("hora"), place.alias("lugar"), F.col("hora").isNull().alias("suelta"), known.alias("_known"), "piece")
+    found = seen.where(good).select(key, "ord", "n", "day", title.alias("titulo"), hour.alias("hora"), place.alias("lugar"), F.col("hora").isNull().alias("suelta"), known.alias("_known"), "piece", "cerca")
     # one line-up for each act, and names of the dictionary that it lacks
     told = found.withColumn("_who", line_up(F.col("piece")))
     lacks = lambda n: ~F.exists("_who", lambda x: F.contains(fold(x), fold(n)))
@@ -129,6 +152,6 @@ def once(found: DataFrame, key: str) -> DataFrame:
     lead = of.withColumn("_of", F.least(first, F.col("_twin")))
     by = lambda c: F.min_by(c, "n")
     return lead.groupBy(key, "ord", "hora", "_of").agg(
-        F.min("n").alias("n"), by("day").alias("day"), by("titulo").alias("titulo"), F.coalesce(F.min_by("lugar", F.when(F.col("lugar") != "", F.col("n"))), F.lit("")).alias("lugar"), by("suelta").alias("suelta"),
+        F.min("n").alias("n"), by("day").alias("day"), by("titulo").alias("titulo"), F.coalesce(F.min_by("lugar", F.when(F.col("lugar") != "", F.col("n"))), F.lit("")).alias("lugar"), by("suelta").alias("suelta"), by("cerca").alias("cerca"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "orquestas"))), lambda x: x["orquestas"]))).alias("orquestas"),
-    ).select(key, "ord", "n", "day", "titulo", "hora", "lugar", "orquestas", "suelta")
+    ).select(key, "ord", "n", "day", "titulo", "hora", "lugar", "orquestas", "suelta", "cerca")

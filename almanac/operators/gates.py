@@ -110,3 +110,10 @@ def covered(texts: DataFrame, known: DataFrame, key: str = "municipio", text: st
     shared = F.size(F.array_intersect("_words", "_known"))
     enough = (F.size("_words") > 0) & (shared >= share * F.least(F.size("_words"), F.size("_known")))
     return fresh.join(have, (F.col(key) == F.col("_key")) & enough, "left_anti").select(*texts.columns)
+
+
+def of_account(events: DataFrame, handle: str, today: str) -> DataFrame:
+    """Stored events that an account told of, by its handle in their address,
+    that are not called off and are to come."""
+    url = F.lower(F.coalesce("url", F.lit("")))
+    return events.where(F.contains(url, F.lit(handle.lower())) & (F.coalesce("estado", F.lit("activo")) == "activo") & D.is_future(F.col("day"), today))
