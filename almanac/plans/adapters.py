@@ -1,6 +1,6 @@
 """Pages of eight sources through the shared template. Each shape is a row of
 knobs, a page, and the events that it holds, told by hand; the query lays each
-page of the driver's table, whole, around a shape's, so that its text is read too.
+page of the driver's table, whole, after a shape's, so that its text is read too.
 """
 
 from __future__ import annotations
@@ -72,14 +72,18 @@ def table(spark):
 _ROWS = ", ".join(f"({i}, '{t}', '{d}', '{h}', '{p}', '{n}', '{k}', {s})" for i, (*_, rows) in enumerate(SHAPES) for t, d, h, p, n, k, s in rows)
 
 
-@query(f"SELECT 'https://s.es/' || page_id || '/' || ['{"','".join(x[1] for x in SHAPES)}'][page_id % {len(SHAPES)} + 1] AS url, titulo, day, hora, lugar, nombres, tipo, score FROM pages JOIN (VALUES {_ROWS}) v(forma, titulo, day, hora, lugar, nombres, tipo, score) ON page_id % {len(SHAPES)} = forma")
+#: Each shape's folder, which may tell the year, and the last part of its address.
+_PATHS = [("x/" + u).rpartition("/")[::2] for _, u, *_ in SHAPES]
+_FOLDERS, _LASTS = ([p[i] for p in _PATHS] for i in (0, 1))
+
+
+@query(f"SELECT 'https://s.es/' || ['{"','".join(_FOLDERS)}'][page_id % {len(SHAPES)} + 1] || '/' || page_id || '-' || ['{"','".join(_LASTS)}'][page_id % {len(SHAPES)} + 1] AS url, titulo, day, hora, lugar, nombres, tipo, score FROM pages JOIN (VALUES {_ROWS}) v(forma, titulo, day, hora, lugar, nombres, tipo, score) ON page_id % {len(SHAPES)} = forma")
 def template_events(spark, sf):
     k = F.col("page_id") % len(SHAPES)
     around = F.regexp_replace("html", "(?is)<h1", "<h2")
     told = pick([x[2] for x in SHAPES], k)
-    # a page goes on with the driver's where its article ends, else it begins with it
-    html = F.when(k == 0, F.concat(told, around)).otherwise(F.concat(around, told))
-    url = F.concat(F.lit("https://s.es/"), F.col("page_id").cast("string"), F.lit("/"), pick([x[1] for x in SHAPES], k))
+    html = F.concat(told, F.lit("<hr><p>.</p>"), around)  # the page goes on with the driver's
+    url = F.concat(F.lit("https://s.es/"), pick(_FOLDERS, k), F.lit("/"), F.col("page_id").cast("string"), F.lit("-"), pick(_LASTS, k))
     pages = read(spark, sf, "pages").select(F.concat(F.lit("f"), k.cast("string")).alias("fuente"), url.alias("url"), html.alias("html"))
     found = A.events(pages, table(spark))
     return found.select("url", "titulo", "day", "hora", "lugar", F.array_join("orquestas", ",").alias("nombres"), "tipo", "score")

@@ -31,12 +31,12 @@ def account_rhythm(spark, sf):
 
 
 _KIND = "CASE event_type WHEN 'error' THEN 'cancela' WHEN 'view' THEN 'posible' WHEN 'signup' THEN 'retoma' END"
-_STATES = f"""WITH s AS (SELECT DISTINCT user_id AS id, ts AS at, {_KIND} AS tipo, 'u' || event_id AS url FROM events WHERE event_type IN ('error', 'view', 'signup') AND ts < DATE '2024-01-25' + (user_id % 9)::INT + 1),
-f AS (SELECT *, tipo = 'retoma' AND coalesce(last_value(CASE WHEN tipo <> 'posible' THEN tipo END IGNORE NULLS) OVER (PARTITION BY id ORDER BY at, tipo, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'cancela' AS undone FROM s),
-p AS (SELECT *, sum(undone::INT) OVER (PARTITION BY id ORDER BY at, tipo, url) AS part FROM f),
+_STATES = f"""WITH s AS (SELECT DISTINCT user_id AS id, ts AS t, {_KIND} AS tipo, 'u' || event_id AS url FROM events WHERE event_type IN ('error', 'view', 'signup') AND ts < DATE '2024-01-25' + (user_id % 9)::INT + 1),
+f AS (SELECT *, tipo = 'retoma' AND coalesce(last_value(CASE WHEN tipo <> 'posible' THEN tipo END IGNORE NULLS) OVER (PARTITION BY id ORDER BY t, tipo, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'cancela' AS undone FROM s),
+p AS (SELECT *, sum(undone::INT) OVER (PARTITION BY id ORDER BY t, tipo, url) AS part FROM f),
 l AS (SELECT p.* FROM p JOIN (SELECT id, max(part) AS part FROM p GROUP BY 1) m USING (id, part))
-SELECT id, CASE WHEN arg_max(CASE WHEN tipo <> 'posible' THEN tipo END, (at, tipo, url)) FILTER (WHERE tipo <> 'posible') = 'cancela' THEN 'cancelado' ELSE 'activo' END AS estado,
- coalesce(bool_or(tipo = 'posible'), false) AS posible, arg_max(url, (at, tipo, url)) FILTER (WHERE tipo <> 'retoma') AS motivo FROM l GROUP BY id"""
+SELECT id, CASE WHEN arg_max(CASE WHEN tipo <> 'posible' THEN tipo END, (t, tipo, url)) FILTER (WHERE tipo <> 'posible') = 'cancela' THEN 'cancelado' ELSE 'activo' END AS estado,
+ coalesce(bool_or(tipo = 'posible'), false) AS posible, arg_max(url, (t, tipo, url)) FILTER (WHERE tipo <> 'retoma') AS motivo FROM l GROUP BY id"""
 
 
 def _signals(df):
@@ -60,7 +60,7 @@ def stream_event_states(spark, sf):
 @query("SELECT doc_id, count(DISTINCT p_type) AS n FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents) d JOIN (SELECT DISTINCT p_type FROM part UNION SELECT unnest(['the', 'de la', 'und', 'in the'])) p ON contains(t, ' ' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) || ' ') GROUP BY 1")
 def names_in_documents(spark, sf):
     kinds = read(spark, sf, "part").select(F.col("p_type").alias("nombre")).distinct()
-    known = kinds.unionByName(spark.createDataFrame([(n,) for n in ("the", "de la", "und", "in the")], "nombre string")).select(F.xxhash64("nombre").cast("int").alias("rango"), "nombre")
+    known = kinds.unionByName(spark.createDataFrame([(n,) for n in ("the", "de la", "und", "in the")], "nombre string")).select(F.pmod(F.xxhash64("nombre"), F.lit(1_000_000_000)).cast("int").alias("rango"), "nombre")
     found = N.hits(read(spark, sf, "documents"), "doc_id", F.col("text"), known)
     return found.groupBy("doc_id").agg(F.count_distinct("nombre").alias("n"))
 

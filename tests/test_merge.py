@@ -83,11 +83,11 @@ def table(spark, root):
     return {r["id"]: {**cut(r), "at": r["actualizadoAt"]} for r in V.read(spark, root, M.STORED).collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_batches_equal_a_sequential_reading(spark, tmp_path, seed):
     rng, root, want = random.Random(seed), str(tmp_path / "t"), {}
-    for number in range(3):
-        rows, source = made(rng, 40, 60), f"s{number % 2}"
+    for number in range(2):
+        rows, source = made(rng, 60, 60), f"s{number % 2}"
         told = M.apply_batch(spark, root, frame(spark, rows), source, source, number, TODAY, 100 + number)
         before = {k: dict(v) for k, v in want.items()}
         want = plain(want, rows, source, 100 + number)
