@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ PROGRAMME = [("(?iu)SÁBAD O", "SÁBADO"), ("(?i)D OMINGO", "DOMINGO"), (r"(?i)\
 CLOSING = r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article|header|footer|ul|ol|table|nav|title)>"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once, however often then uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def fold(c: Column) -> Column:
     """Lower case without marks."""
     return F.translate(F.lower(c), MARKED, PLAIN)

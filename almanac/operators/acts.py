@@ -31,7 +31,7 @@ _RANGE = rf"{_TIME}(?:\s*h(?:oras)?\b\.?)?(?:\s*(?:-|–|a(?:\s+las)?)\s*{_TIME}
 _STOP = r"[.;\n]\s|\n"
 #: A time that begins a stretch: not one that a phrase leads to ("a las 22:00").
 _NEW = rf"(?<!\b(?:a|de|desde|hasta|sobre)\s{{1,2}}(?:las?\s{{1,2}})?){_RANGE}"
-STRETCH = rf"(?isu)(?:{_RANGE})?(?:(?!{_NEW}|{_STOP}).)*+(?:[.;\n]\s+|\n)?"
+STRETCH = rf"(?isu)(?:{_RANGE})?(?:[^\d.;\n]|(?!{_NEW}|{_STOP}).)*+(?:[.;\n]\s+|\n)?"
 #: Characters in which an hour or venue told before, or after, an act holds.
 BEFORE, AFTER, TAIL = 400, 120, 600
 

@@ -27,23 +27,26 @@ def article_body(html: Column) -> Column:
     """Lines of an article from its heading to the sharing links below it, where
     these end it; without a heading from the start. The page is taken as pieces
     that begin with a tag each."""
-    blocks = F.split(html, "(?=<)", -1)
     heading = lambda b: F.lower(b).startswith("<h1") & F.contains(F.regexp_extract(F.lower(b), r'^<h1[^>]*class="([^"]*)"', 1), F.lit(BODY_CLASS))
-    start = F.greatest(F.coalesce(F.array_position(F.transform(blocks, heading), F.lit(True)), F.lit(0)), F.lit(1))
-    rest = F.slice(blocks, start.cast("int"), F.size(blocks))
 
     def ending(b: Column) -> Column:
         """Where the first ending word begins in a piece, from 1; 0 without."""
-        at = F.array(*[F.nullif(F.instr(F.lower(b), F.lit(w)), F.lit(0)) for w in BODY_ENDS])
-        return F.coalesce(F.array_min(at), F.lit(0))
-
-    end = F.array_position(F.transform(rest, lambda b: ending(b) > 0), F.lit(True)).cast("int")
-    last = F.try_element_at(rest, F.nullif(end, F.lit(0)))
-    # of the piece that ends it, what stands before the word, if it is text
-    tail = F.regexp_replace(F.substring(last, F.lit(1), ending(last) - 1), "<[^>]*$", "")
-    whole = F.array_join(rest, "")
-    body = F.when(end > 0, F.concat(F.array_join(F.slice(rest, 1, F.greatest(end, F.lit(1)) - 1), ""), tail)).otherwise(whole)
-    return T.html_lines(F.when((end == 1) & (ending(last) == 1), whole).otherwise(body))
+        found = lambda low: F.coalesce(F.array_min(F.array(*[F.nullif(F.instr(low, F.lit(w)), F.lit(0)) for w in BODY_ENDS])), F.lit(0))
+        return T.let(F.lower(b), found)
+
+    def from_heading(blocks: Column) -> Column:
+        first = T.let(F.array_position(F.transform(blocks, heading), F.lit(True)), lambda i: F.greatest(F.coalesce(i, F.lit(0)), F.lit(1)))
+        return F.slice(blocks, first.cast("int"), F.size(blocks))
+
+    def body(rest: Column) -> Column:
+        # the first piece with an ending word: its place among all, and the word's in it
+        ends = F.filter(F.transform(rest, lambda b, i: F.struct((i + 1).alias("piece"), ending(b).alias("at"))), lambda e: e["at"] > 0)
+        return T.let(F.try_element_at(ends, F.lit(1)), lambda end: F.when(end.isNull() | ((end["piece"] == 1) & (end["at"] == 1)), F.array_join(rest, "")).otherwise(
+            # of the piece that ends it, what stands before the word, if it is text
+            F.concat(F.array_join(F.slice(rest, 1, F.coalesce(end["piece"], F.lit(1)) - 1), ""), F.regexp_replace(F.substring(F.element_at(rest, F.coalesce(end["piece"], F.lit(1))), F.lit(1), end["at"] - 1), "<[^>]*$", ""))
+        ))
+
+    return F.when(html.isNotNull(), T.html_lines(T.let(T.let(F.split(html, "(?=<)", -1), from_heading), body)))
 
 
 def by_place(sections: DataFrame, text: str = "texto") -> DataFrame:

@@ -131,10 +131,10 @@ def most_named_month(text: Column, how: str = "dated") -> Column:
     wrap = {"dated": r"\d{1,2} de ({0})\b", "word": r"\b({0})\b", "part": "({0})"}[how]
     least = 2 if how == "part" else 1
     named = F.regexp_extract_all(t, F.lit(wrap.replace("{0}", "|".join(D.MONTHS))), F.lit(1))
-    times = lambda m: F.size(F.filter(named, lambda x: x == m))
-    counts = [F.struct(times(m).alias("n"), F.lit(-i).alias("minus"), F.lit(f"{i + 1:02d}").alias("mes")) for i, m in enumerate(D.MONTHS)]
-    top = F.array_max(F.array(*counts))
-    return F.when(top["n"] >= least, top["mes"]).otherwise("")
+    times = lambda found, m: F.size(F.filter(found, lambda x: x == m))
+    counts = lambda found: F.array(*[F.struct(times(found, m).alias("n"), F.lit(-i).alias("minus"), F.lit(f"{i + 1:02d}").alias("mes")) for i, m in enumerate(D.MONTHS)])
+    top = T.let(named, lambda found: F.array_max(counts(found)))
+    return T.let(top, lambda best: F.when(best["n"] >= least, best["mes"]).otherwise(""))
 
 
 def fresher(stored: DataFrame, local: DataFrame, key: str = "id", at: str = "at") -> DataFrame:

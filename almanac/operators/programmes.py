@@ -39,7 +39,8 @@ _THE = rf"(?<!(?:{DEADLINE})[\s:,]{{1,3}}{_OF}{_OF})(?<!\p{{L}})el{_S}+(?:d[ií]
 _FIRST = rf"{_DAY}(?={_S}+(?:{WEEK}){_END})"
 _LINE = rf"(?<=^[ \t]{{0,8}}){_DAY}(?:{_S}*[-–]{_S}*{_DAY})?{_S}+de{_S}+(?:{MONTH}){_END}(?!{_S}*\p{{L}})"
 _LEAD = rf"(?:(?<=^|[.\n][ \t]{{0,3}}){CONNECTOR}{_END}[^.\n]{{0,300}}?[.\n]?{_S}*)?"
-HEADER = rf"(?ium){_LEAD}(?:{_NAMED}|{_THE}|{_FIRST}|{_LINE})"
+#: Each begins at a word that one of them begins with; few places get further.
+HEADER = rf"(?ium)(?<![\p{{L}}\d])(?=[lmjvsdea\d]){_LEAD}(?:{_NAMED}|{_THE}|{_FIRST}|{_LINE})"
 
 
 def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
@@ -51,7 +52,9 @@ def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = No
     told = programmes.select(key, F.col(text).alias("_t"), (F.lit("") if mes is None else F.coalesce(mes, F.lit(""))).alias("_mes"), (F.lit("") if anyo is None else F.coalesce(anyo, F.lit(""))).alias("_anyo")).repartition(key)
     rows = cut(told, [key, "_mes", "_anyo"], F.col("_t"), HEADER)
     w = Window.partitionBy(key).orderBy("i")
-    head = F.regexp_replace("hit", rf"(?ius)^{CONNECTOR}\b.*?(?=(?:{_NAMED}|{_THE}|{_DAY})$)", "")
+    leads = F.col("hit").rlike(rf"(?iu)^{CONNECTOR}")
+    rows = rows.withColumn("_head", F.when(leads, F.regexp_replace("hit", rf"(?ius)^{CONNECTOR}\b.*?(?=(?:{_NAMED}|{_THE}|{_DAY})$)", "")).otherwise(F.col("hit")))
+    head = F.col("_head")
     day = F.regexp_extract(head, _DAY, 0).try_cast("int")
     month = D.month_number(F.regexp_extract(fold(head), rf"\b({MONTH})\b", 1))
     year = F.regexp_extract(head, r"\b(20\d\d)\b", 1)
