@@ -75,8 +75,8 @@ class Shape:
         return len(self.words) + 2
 
 
-def vocabulary(docs: DataFrame, most_words: int, pair_bits: int | None = None) -> Shape:
-    """The most frequent words. pair_bits has no effect: pairs are exact."""
+def vocabulary(docs: DataFrame, most_words: int) -> Shape:
+    """The most frequent words."""
     counts = docs.select(F.col("text").cast("string")).mapInArrow(counted, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
     top = counts.orderBy(F.desc("times"), "word").limit(most_words).select("word").toArrow()
     return Shape(np.sort(top["word"].to_numpy().astype(np.int64).view(U64)))

@@ -7,8 +7,9 @@ of them, however long the document is; in a segment the item's Jaccard
 similarity is bounded below, and `registers` minima find it: at least one is
 shared except with probability (1 - J)^registers, 1.4e-6 for an item of which
 `threshold` 0.8 is there, at the worst size of its class (0.4c of 2.1c). Items
-of at most SMALL shingles are looked up exactly instead: each document that has
-one of an item's shingles is a candidate. Segment minima are
+of at most SMALL shingles are looked up exactly instead, by their rarest shingles
+alone: of those that may be missing and one more, a document that contains the
+item has one. Segment minima are
 minima of block minima, so all classes together cost little more than one.
 Each candidate is verified by exact containment: the share of the item's
 distinct shingles that the whole document has.
@@ -66,10 +67,10 @@ def described(items: DataFrame, k: int, registers: int) -> DataFrame:
 
 class Items:
     """A block of described items: for each class, register minima in order
-    with their items; for small items, by width, all shingles in order with
-    theirs; and each item's distinct shingles."""
+    with their items; for small items, by width, the shingles that they are looked
+    up by in order with theirs; and each item's distinct shingles."""
 
-    def __init__(self, ids: list, widths: list, shingles: list, minima: list, registers: int):
+    def __init__(self, ids: list, widths: list, shingles: list, minima: list, registers: int, threshold: float):
         self.registers, self.ids = registers, ids
         self.sets = [np.frombuffer(x, U64) for x in shingles]
         classes: dict[tuple[int, int], list[int]] = {}
@@ -79,12 +80,25 @@ class Items:
                 small.setdefault(width, []).append(i)
             else:
                 classes.setdefault((width, 1 << int(len(s) - 1).bit_length()), []).append(i)
-        self.small = {w: self.table(np.concatenate([self.sets[i] for i in of]), np.repeat(of, [len(self.sets[i]) for i in of])) for w, of in small.items()}
+        self.small = {w: self.table(*self.rarest(of, threshold)) for w, of in small.items()}
         self.classes = {}
         for key, of in classes.items():
             least = np.stack([np.frombuffer(minima[i], U64) for i in of])
             self.classes[key] = [self.table(least[:, j], np.asarray(of)) for j in range(registers)]
 
+    def rarest(self, of: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each small item as many shingles as may be missing and one more,
+        those that the fewest of these items have; and their items."""
+        shingle = np.concatenate([self.sets[i] for i in of])
+        item = np.repeat(of, [len(self.sets[i]) for i in of])
+        _, which, n = np.unique(shingle, return_inverse=True, return_counts=True)
+        size = np.asarray([len(self.sets[i]) for i in of])
+        kept = np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, size)
+        order = np.lexsort((shingle, n[which], np.repeat(np.arange(len(of)), size)))
+        place = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
+        take = order[place < kept]
+        return shingle[take], item[take]
+
     @staticmethod
     def table(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys in order, their items, and which last 16 bits occur."""
@@ -94,7 +108,7 @@ class Items:
         return keys[order], items[order], bits
 
     def small_candidates(self, h: np.ndarray, offs: np.ndarray, width: int) -> set[tuple[int, int]]:
-        """(document, item) of small items that share a shingle."""
+        """(document, item) of small items of which one of these shingles is there."""
         if width not in self.small or not len(h):
             return set()
         keys, items, bits = self.small[width]
@@ -165,8 +179,8 @@ _HELD: dict[str, Items] = {}
 class Block:
     """A broadcast block of items; held in order by each worker that asks."""
 
-    def __init__(self, spark: SparkSession, rows: list, registers: int):
-        self.name, self.registers = uuid.uuid4().hex, registers
+    def __init__(self, spark: SparkSession, rows: list, registers: int, threshold: float):
+        self.name, self.registers, self.threshold = uuid.uuid4().hex, registers, threshold
         columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
         self.sent = spark.sparkContext.broadcast(columns)
 
@@ -174,11 +188,11 @@ class Block:
         if self.name not in _HELD:
             while len(_HELD) > 1:  # the last two blocks
                 _HELD.pop(next(iter(_HELD)))
-            _HELD[self.name] = Items(*self.sent.value, self.registers)
+            _HELD[self.name] = Items(*self.sent.value, self.registers, self.threshold)
         return _HELD[self.name]
 
 
-def blocks(items: DataFrame, k: int, registers: int, block_bytes: int) -> Iterator[Block]:
+def blocks(items: DataFrame, k: int, registers: int, block_bytes: int, threshold: float) -> Iterator[Block]:
     """The items, described once and dealt by hash into blocks of at most about
     block_bytes each."""
     spark = items.sparkSession
@@ -186,7 +200,7 @@ def blocks(items: DataFrame, k: int, registers: int, block_bytes: int) -> Iterat
     size = known.agg(F.sum(F.octet_length("shingles") + F.octet_length("minima") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for b in range(n):
-        yield Block(spark, known.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n)) == b).collect(), registers)
+        yield Block(spark, known.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n)) == b).collect(), registers, threshold)
 
 
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, registers: int = 64, block_bytes: int = 64 << 20) -> DataFrame:
@@ -194,7 +208,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
     `threshold` of the distinct k-word shingles."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
-    for block in blocks(items, k, registers, block_bytes):
+    for block in blocks(items, k, registers, block_bytes, threshold):
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = block.index()
@@ -215,7 +229,7 @@ def without_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: floa
     """The rows of docs that contain no item, all columns kept; one filter
     after another for each block of items, without a shuffle."""
     at, schema = docs.columns.index("text"), docs.schema
-    for block in blocks(items, k, registers, block_bytes):
+    for block in blocks(items, k, registers, block_bytes, threshold):
 
         def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = block.index()

@@ -11,7 +11,7 @@ class from the start; a class is numbered when the table of classes is written.
    candidates. At similarity 0.8 all 40 bands of 5 miss with probability 1e-7.
 2. In each bucket every class is paired with the most central one (that which
    meets most others over all its buckets). Pairs that the joint likelihood of
-   both sketches puts 5 standard errors under the threshold go; the others are
+   both sketches puts 7 standard errors under the threshold go; the others are
    verified on full sets. So a group of copies costs a star, not all pairs.
 3. Buckets whose other members are still in different components are compared
    in full, in blocks of bounded size, by cluster and by set size (similar

@@ -255,7 +255,7 @@ def test_losses_match_brute_force(spark, odd, none):
     target = spark.createDataFrame([(0,), (2,), (None,)], "doc_id long")
     got = {r["doc_id"]: r for r in crossentropy.cross_entropy_difference(docs, target, most_words=4).collect()}
     tokens = [[w.decode() for w in (t or "").encode().translate(FOLD).split()] for t in texts]
-    shape = crossentropy.vocabulary(docs, 4, 20)
+    shape = crossentropy.vocabulary(docs, 4)
     from almanac.llm import hashing as hs
 
     def ids(ws):
@@ -565,7 +565,7 @@ def test_containment_finds_each_copy_of_a_small_item(spark):
 
     rng = np.random.default_rng(8)
     items = [" ".join(f"i{j}_{k}" for k in range(n)) for j, n in enumerate((5, 6, 3, 1, 12))]
-    (block,) = decontamination.blocks(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), 5, 64, 1 << 20)
+    (block,) = decontamination.blocks(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), 5, 64, 1 << 20, 0.8)
     index = block.index()
     assert block.index() is index
     docs, want = [], set()
@@ -577,6 +577,21 @@ def test_containment_finds_each_copy_of_a_small_item(spark):
     assert {(d, index.ids.index(i)) for d, i, *_ in index.search(pa.array(range(2_000)), pa.array(docs), 0.8)} == want
 
 
+def test_a_shingle_that_many_small_items_share_makes_no_candidates(spark):
+    import pyarrow as pa
+
+    from almanac.llm.shingles import shingled
+
+    items = [f"a b c d e u{i} v{i} w{i}" for i in range(4_000)]
+    (block,) = decontamination.blocks(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), 5, 64, 1 << 22, 0.8)
+    index = block.index()
+    docs = [f"x{d} a b c d e y{d} {items[d * 7]}" for d in range(200)]
+    _, _, h, offs = next(iter(shingled(pa.array(docs), 5)))
+    assert len(index.small_candidates(h, offs, 5)) == 200
+    got = index.search(pa.array(range(200)), pa.array(docs), 0.8)
+    assert {(d, i) for d, i, *_ in got} == {(d, d * 7) for d in range(200)}
+
+
 def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
     import public_tokenizers
