@@ -82,15 +82,22 @@ _LIST = re.compile(r"\[\s*\{")
 def longest_list(answer: str | None, needed: str) -> str | None:
     """The longest JSON list of objects with a numeric field in a text. Only a
     bracket before a brace can begin one, and a list that was read is not looked
-    into again; the decoder gives up a false start where its syntax breaks."""
+    into again; the decoder gives up a false start where its syntax breaks, and all
+    of them together are read for fifty times the text at most."""
     text, best, end, decoder = answer or "", "", 0, json.JSONDecoder()
+    left = 50 * len(text)  # characters that false starts may be read for
     for start in _LIST.finditer(text):
         if start.start() < end:
             continue
         try:
             value, stop = decoder.raw_decode(text, start.start())
-        except (ValueError, RecursionError):
+        except json.JSONDecodeError as e:
+            left -= e.pos - start.start()
+            if left < 0:
+                break
             continue
+        except RecursionError:
+            break
         end = stop
         if stop - start.start() > len(best) and all(isinstance(v, dict) and isinstance(v.get(needed), int | float) for v in value):
             best = text[start.start() : stop]
