@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Letters with marks and what they fold to.
+#: Letters with marks of the languages at hand and what they fold to.
 MARKED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: All letters with marks and what Unicode makes of them without; marks that stand
+#: by themselves.
+_BARE = {chr(i): "".join(c for c in unicodedata.normalize("NFD", chr(i)) if not unicodedata.combining(c)) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x2000))}
+_BARE = {c: b for c, b in _BARE.items() if len(b) == 1 and b != c}
+LETTERS, BARE, MARKS = "".join(_BARE), "".join(_BARE.values()), "".join(map(chr, range(0x300, 0x370)))
 #: Entities that are decoded by name.
 ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&amp;": "&"}
 #: Words that say nothing in a title, folded: particles, kinds of
@@ -31,23 +39,36 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case, letters without marks; as long as the text."""
+    return F.translate(F.lower(c), LETTERS, BARE)
+
+
+def bare(c: Column) -> Column:
+    """fold without marks that stand by themselves, so that a letter and its
+    mark fold like the one letter that both make."""
+    return F.translate(F.lower(c), LETTERS + MARKS, BARE)
+
+
+@F.pandas_udf(StringType())
+def spelled_plain(texts: pd.Series) -> pd.Series:
+    """Letters as they are meant, without marks: those drawn bold, circled, wide
+    or joined become plain ones, whole texts, null stays null."""
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
 def words_only(c: Column) -> Column:
     """Folded letters; all else, digits too, is one space."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z]+", " "))
+    return F.trim(F.regexp_replace(bare(c), "[^a-z]+", " "))
 
 
 def words_and_digits(c: Column) -> Column:
     """Folded letters and digits; all else is one space."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(bare(c), "[^a-z0-9]+", " "))
 
 
 def compact(c: Column) -> Column:
     """Folded letters and digits alone."""
-    return F.regexp_replace(fold(c), "[^a-z0-9]", "")
+    return F.regexp_replace(bare(c), "[^a-z0-9]", "")
 
 
 def tokens(c: Column, longer_than: int = 3) -> Column:

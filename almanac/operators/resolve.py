@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import text as T
+from almanac.operators.parts import parts
 
 
 def dictionary_hit(text: Column, names: list[str]) -> Column:
@@ -102,25 +103,52 @@ class Groups:
         return self.ids[found]
 
 
-def fold(events: DataFrame, any_member: bool = False) -> DataFrame:
+def shared(rows: DataFrame) -> DataFrame:
+    """(id, hub) of what may bring a row into a group: each name on its bill, and
+    each two of its title words, within its block. Rows that a group gathers one
+    after the other share a hub at each step: a name that it has gathered is one
+    of its rows', and two title words are its first row's (or any row's). A hub is
+    64 bits; two that fall together only make a part larger."""
+    words = F.array_sort("toks")
+    twos = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.concat(a, F.lit(" "), b))))
+    marks = F.concat(F.transform("orquestas", lambda o: F.concat(F.lit("o:"), o)), F.transform(twos, lambda t: F.concat(F.lit("t:"), t)))
+    return rows.select("id", "municipio", "day", F.explode(marks).alias("m")).select("id", F.xxhash64("municipio", "day", "m").alias("hub"))
+
+
+def fold(events: DataFrame, any_member: bool = False, whole: int = 50_000) -> DataFrame:
     """(id, grupo): rows are taken in order of source and id; each joins the
     first group that it is alike, compared with what the group has gathered
-    (or, with any_member, with any of its rows), else it opens one.
-
-    The order matters inside a block of one municipality and day. Blocks are
-    dealt by hash, sorted by Spark, and read as a stream that holds one block's
-    groups at a time, indexed by name and word, so that a row looks only at
-    groups with which it shares one."""
-    order = ["municipio", "day", "fuente", "id"]
-    rows = events.select(*order, "lugar", "orquestas", T.tokens(F.col("titulo")).alias("toks")).repartition("municipio", "day").sortWithinPartitions(*order)
+    (or, with any_member, with any of its rows), else it opens one. Null titles
+    and bills count as empty.
+
+    The order matters inside a block of one municipality and day, but only among
+    rows that are connected by shared names or pairs of title words. Blocks of
+    more than `whole` rows are split into these parts, which gives the same
+    groups, and each part is dealt by itself. Rows are sorted by Spark and read as
+    a stream that holds one part's groups at a time, indexed by name and word, so
+    that a row looks only at groups with which it shares one. A part is read in
+    one task, as its order asks for; only a block whose rows are all connected
+    stays together."""
+    block = ["municipio", "day"]
+    none = F.array().cast("array<string>")
+    rows = events.select(*block, "fuente", "id", "lugar", F.coalesce("orquestas", none).alias("orquestas"), F.coalesce(T.tokens(F.col("titulo")), none).alias("toks"), F.xxhash64(*block).alias("_b"))
+    large = rows.groupBy("_b").count().where(F.col("count") > whole).select("_b", F.lit(True).alias("_large"))
+    if large.isEmpty():
+        rows = rows.withColumn("parte", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(large, "_b", "left")
+        rows = rows.join(parts(shared(rows.where("_large"))), "id", "left").withColumn("parte", F.when(F.col("_large"), F.coalesce("parte", "id")))
+    order = [*block, "parte", "fuente", "id"]
+    rows = rows.repartition(*block, "parte").sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, groups = None, Groups()
+        now, groups = None, Groups()
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                if block != (r.municipio, r.day):
-                    block, groups = (r.municipio, r.day), Groups()
+                part = (r.municipio, r.day, None if pd.isna(r.parte) else int(r.parte))
+                if now != part:
+                    now, groups = part, Groups()
                 out.append((r.id, groups.place({"id": r.id, "lugar": r.lugar or "", "orq": set(r.orquestas), "toks": set(r.toks)}, any_member)))
             yield pd.DataFrame(out, columns=["id", "grupo"])
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from almanac.operators import resolve as R
 from almanac.operators import store as K
+from almanac.operators.parts import parts
 
 COLUMNS = "id long, titulo string, day string, hora string, municipio string, lugar string, orquestas array<string>, fuente string, score int"
 
@@ -41,7 +42,46 @@ def test_folds_match_a_plain_scan(spark):
             else:
                 g[0]["orq"] |= r["orq"]
             want.add((r["id"], g[0]["id"]))
-        assert {(r["id"], r["grupo"]) for r in R.fold(df, any_member).collect()} == want
+        for whole in (50_000, 90, 0):  # no block split, one of two, both
+            assert {(r["id"], r["grupo"]) for r in R.fold(df, any_member, whole).collect()} == want
+
+
+def test_parts_are_connected_components(spark):
+    import random
+
+    rng = random.Random(5)
+    links = [(i, h) for i in range(300) for h in rng.sample(range(400), rng.choice([0, 1, 1, 2]))] + [(1000 + i, 1000 + i + d) for i in range(70) for d in (0, 1)] + [(i, 7) for i in range(2000, 2200)] + [(None, 3), (5, None)]
+    top = {i: i for i, _ in links if i is not None}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    by: dict = {}
+    for i, h in links:
+        if i is not None and h is not None:
+            by.setdefault(h, []).append(i)
+    for ids in by.values():
+        for i in ids[1:]:
+            a, b = sorted((find(ids[0]), find(i)))
+            top[b] = a
+    got = {tuple(r) for r in parts(spark.createDataFrame(links, "id long, hub long")).collect()}
+    assert got == {(i, find(i)) for i in top if find(i) != i}
+    assert parts(spark.createDataFrame([], "id long, hub long")).count() == 0
+
+
+def test_one_hot_block_is_dealt_by_its_parts(spark):
+    rows = [event(i, "Gran noche", [f"n{i // 3}"], fuente="ab"[i % 2]) for i in range(300)] + [(900, None, "01-02-2026", "", "Sur", None, None, "a", 4)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    split, plain = R.fold(df, whole=10), R.fold(df)
+    assert {tuple(r) for r in split.collect()} == {tuple(r) for r in plain.collect()}
+    assert split.select("grupo").distinct().count() == 101
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        assert sum(map(bool, R.fold(df, whole=10).rdd.glom().collect())) > 1  # one block, several tasks
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_different_line_ups_at_one_place_are_not_merged(spark):
