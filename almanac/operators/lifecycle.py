@@ -21,14 +21,28 @@ STATE = "estado string, posible boolean, motivo string"
 KINDS = ("cancela", "posible", "retoma")
 
 
+def bills(events: DataFrame, today: str) -> DataFrame:
+    """(id, orquesta) of events (id, day as date, orquestas) from today on."""
+    return events.where(F.col("day") >= F.lit(today).cast("date")).select("id", F.explode(F.array_distinct("orquestas")).alias("orquesta"))
+
+
+def dispatched(found: DataFrame, bill: DataFrame) -> DataFrame:
+    """found (cancela, orquesta and others) with casos, how many events of the
+    bill (id, orquesta) the signal may mean, and accion: nuevo without any,
+    retoma of a resumption, cancela of one event, ambiguo of several. Events are
+    counted by orchestra before signals meet the counts."""
+    n = bill.groupBy("orquesta").agg(F.count("*").alias("_n"))
+    action = F.when(F.col("_n").isNull(), "nuevo").when(~F.col("cancela"), "retoma").when(F.col("_n") == 1, "cancela").otherwise("ambiguo")
+    return found.join(n, "orquesta", "left").withColumns({"casos": F.coalesce("_n", F.lit(0).cast("long")), "accion": action}).drop("_n")
+
+
 def signals(found: DataFrame, events: DataFrame, today: str) -> DataFrame:
     """(id, at, tipo, url) of signals (at, cancela, orquesta, url): for each event
     (id, day as date, orquestas) from today on with the orchestra on its bill. A
     cancellation is certain where it means one event."""
-    bill = events.where(F.col("day") >= F.lit(today).cast("date")).select("id", F.explode(F.array_distinct("orquestas")).alias("orquesta"))
-    n = bill.groupBy("orquesta").agg(F.count("*").alias("_n"))
-    kind = F.when(~F.col("cancela"), "retoma").when(F.col("_n") == 1, "cancela").otherwise("posible")
-    return found.join(n, "orquesta").join(bill, "orquesta").select("id", "at", kind.alias("tipo"), "url")
+    bill = bills(events, today)
+    kind = F.when(F.col("accion") == "ambiguo", "posible").otherwise(F.col("accion"))
+    return dispatched(found, bill).join(bill, "orquesta").select("id", "at", kind.alias("tipo"), "url")
 
 
 def states(told: DataFrame) -> DataFrame:

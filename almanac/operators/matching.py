@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import text as T
+from almanac.session import materialize
 
 
 def told(c: str, kind: str) -> Column:
@@ -87,6 +88,21 @@ def account_place(posts: DataFrame, accounts: DataFrame) -> DataFrame:
     return joined.select(*posts.columns, F.coalesce("m_url", "m_handle").alias("municipio"))
 
 
+def ranked(candidates: DataFrame, *within: str) -> DataFrame:
+    """Candidates (id, score, dias), each id once (its best row), with puesto: its
+    place, or its place within the columns named, by larger score, fewer days
+    (unknown last), smaller id. Without columns Spark sorts, and rows are numbered
+    by their partition's start, so that no task holds all of them."""
+    order = [F.desc_nulls_last("score"), F.asc_nulls_last("dias"), F.asc("id")]
+    once = candidates.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_r = 1").drop("_r")
+    if within:
+        return once.withColumn("puesto", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+    dealt = materialize(once.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
+    starts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(starts.withColumn("_before", before)), "_p").withColumn("puesto", F.col("_before") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_n", "_first", "_before")
+
+
 def with_verdicts(posts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Adds relevante and visto from the cached verdicts (id, texto_hash,
     relevante, at): that of the same id and the same text, the newest; a text

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import text as T
+from almanac.operators import lifecycle as C
 from almanac.operators import resolve as R
 from almanac.operators import store as K
 from almanac.operators.scoring import Rule, scored
@@ -380,10 +381,9 @@ def novelty(spark, sf):
 
 @query("WITH s AS (SELECT event_id, user_id FROM events WHERE event_type = 'error'), n AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, coalesce(n, 0) AS casos, CASE WHEN n IS NULL THEN 'nuevo' WHEN n = 1 THEN 'cancela' ELSE 'ambiguo' END AS accion FROM s LEFT JOIN n USING (user_id)")
 def signal_cardinality(spark, sf):
-    e = read(spark, sf, "events")
-    n = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n"))
-    action = F.when(F.col("n").isNull(), "nuevo").when(F.col("n") == 1, "cancela").otherwise("ambiguo")
-    return e.where("event_type = 'error'").join(n, "user_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("casos"), action.alias("accion"))
+    e = read(spark, sf, "events").withColumn("orquesta", F.col("user_id").cast("string"))
+    bill = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "orquesta")
+    return C.dispatched(e.where("event_type = 'error'").withColumn("cancela", F.lit(True)), bill).select("event_id", "casos", "accion")
 
 
 @query("SELECT doc_id, CASE WHEN quality IS NULL THEN n_chars >= 1500 WHEN quality = 0 THEN false ELSE n_chars >= 200 END AS pasa FROM documents LEFT JOIN labels USING (doc_id)")

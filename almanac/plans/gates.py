@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from almanac.operators import dictionary as N
 from almanac.operators import gates as G
 from almanac.operators import layout as L
+from almanac.operators import matching as X
 from almanac.operators import store as K
 from almanac.plans.agenda import BILL, EV, NORM, SLUG, ev, evb, query
 from almanac.plans.records import pick
@@ -198,8 +199,8 @@ def verdict_queue(spark, sf):
 
 @query(f"WITH {EV} SELECT id, row_number() OVER (PARTITION BY fuente, municipio ORDER BY id % 9 DESC, id % 40, id) AS puesto FROM ev")
 def candidate_order(spark, sf):
-    w = Window.partitionBy("fuente", "municipio").orderBy(F.desc(F.col("id") % 9), F.col("id") % 40, "id")
-    return ev(spark, sf).select("id", F.row_number().over(w).cast("long").alias("puesto"))
+    rows = ev(spark, sf).select("id", "fuente", "municipio", (F.col("id") % 9).alias("score"), (F.col("id") % 40).alias("dias"))
+    return X.ranked(rows, "fuente", "municipio").select("id", "puesto")
 
 
 @query(f"WITH {EV} SELECT municipio, count(*) AS leidas, count(*) FILTER (lugar <> '') AS escritas, count(*) FILTER (hora = '') AS ambiguas FROM ev GROUP BY 1")

@@ -79,13 +79,18 @@ _BATCH = "SELECT o_orderkey AS id, 'k' || (o_custkey % 400) AS clave, o_orderkey
 @query(f"WITH b AS ({_BATCH}) SELECT clave, min(lpad(id::VARCHAR, 12, '0')) FILTER (WHERE part = first) AS id, CAST(max(score) AS INT) AS score, count(DISTINCT part) AS fuentes FROM (SELECT *, min(part) OVER (PARTITION BY clave) AS first FROM b) GROUP BY clave")
 def keyed_store(spark, sf):
     """Three sources one after the other into an empty store, each batch twice."""
-    o, root = read(spark, sf, "orders"), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    for number, part in enumerate(stored_batches(spark, sf)):
+        for _ in range(2):
+            M.apply_batch(spark, root, part, f"s{number}", "orders", number, "2026-01-01", number)
+    return V.read(spark, root, M.STORED).select("clave", "id", "score", F.size("fuentes").cast("long").alias("fuentes"))
+
+
+def stored_batches(spark, sf) -> list:
+    """Orders as three batches of events, by their keys."""
+    o = read(spark, sf, "orders")
     id_ = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
     none = F.array().cast("array<string>")
     told = {"id": id_, "titulo": F.col("o_orderpriority"), "day": F.lit("01-01-2030"), "hora": F.lit(""), "municipio": F.lit("m"), "lugar": F.lit(""), "orquestas": none, "tipo": F.lit("Otro"), "url": F.lit(""), "score": (F.col("o_orderkey") % 9).cast("int"), "motivos": none, "clave": F.concat(F.lit("k"), (F.col("o_custkey") % 400).cast("string")), "n": F.col("o_orderkey")}
     batch = o.select(*[v.alias(c) for c, v in told.items()], "o_orderkey")
-    for number in (0, 1, 2):
-        part = batch.where(F.col("o_orderkey") % 3 == number).drop("o_orderkey")
-        for _ in range(2):
-            M.apply_batch(spark, root, part, f"s{number}", "orders", number, "2026-01-01", number)
-    return V.read(spark, root, M.STORED).select("clave", "id", "score", F.size("fuentes").cast("long").alias("fuentes"))
+    return [batch.where(F.col("o_orderkey") % 3 == number).drop("o_orderkey") for number in (0, 1, 2)]

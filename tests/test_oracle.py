@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from almanac.plans import adapters, agenda, gates, indexes, landed, records, state  # noqa: F401 (the others add their queries)
+from almanac.plans import adapters, agenda, gates, history, indexes, landed, records, state  # noqa: F401 (the others add their queries)
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
