@@ -19,8 +19,8 @@ def totals(rows: DataFrame, levels: list[list[str]], **counted: Column) -> DataF
     level, a list of columns; the empty list is all of them. nivel names the level's
     columns, joined by comma ('' for all); columns that are not of the level are
     null, as is a null of the rows' own. One scan; rows are summed up before they
-    are shuffled, so that the level of all rows is a few rows for each task. A level
-    of all rows is there even if there are none."""
+    are shuffled, so that the level of all rows is a few rows for each task. No rows give
+    no level."""
     names = list(dict.fromkeys(c for level in levels for c in level))
     level = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in names])
     sums = [F.count("*").alias("n"), *[F.count_if(v).alias(c) for c, v in counted.items()]]

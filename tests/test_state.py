@@ -13,7 +13,7 @@ def test_totals_of_no_rows_and_of_null_names(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", None, 5), (None, "x", None)], "m string, f string, v long")
     got = {tuple(r) for r in U.totals(df, [["m"], ["m", "f"], []], grandes=F.col("v") > 2).collect()}
     assert got == {("", None, None, 3, 1), ("m", "a", None, 2, 1), ("m", None, None, 1, 0), ("m,f", "a", "x", 1, 0), ("m,f", "a", None, 1, 1), ("m,f", None, "x", 1, 0)}
-    assert [tuple(r) for r in U.totals(df.limit(0), [["m"], []]).collect()] == [("", None, 0)]
+    assert U.totals(df.limit(0), [["m"], []]).count() == 0
     known = spark.createDataFrame([("x", 1), ("y", 2)], "fuente string, rango int")
     rows = df.select(F.col("f").alias("fuente"))
     assert {tuple(r) for r in U.sources(rows, known).collect()} == {("x", 1, 2, True), ("y", 2, 0, False)}
