@@ -10,8 +10,10 @@ search on an in-memory neighbour graph and takes all lists whose distance is
 within a ratio of the nearest one's. The ratio is fitted on the sample, so that
 `recall` of its nearest neighbours lie in the lists taken.
 
-Lists and the queries that meet in them are dealt in blocks of bounded size;
-the two nearest lists come first, and what they give is the score that anything
+Lists and the queries that meet in them are dealt in blocks of bounded size. A
+query travels once for each group of `GROUP` lists, with the numbers of those
+that it takes there, and in batches of bounded bytes, so that neither a worker nor
+the shuffle holds a vector for each list. The two nearest lists come first, and what they give is the score that anything
 in further lists has to reach. Scores are exact cosines in double precision. Equal vectors are one class with
 its k + 1 smallest ids, and equal queries are searched once, so copies cost
 neither a hot list nor repeated work. Broadcast are centroids and their graph,
@@ -38,6 +40,9 @@ from pyspark.sql import functions as F
 
 from almanac.session import materialize, read
 
+#: Lists whose queries travel together, and the bytes of vectors in one batch of them.
+GROUP, SENT = 32, 4 << 20
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
@@ -145,6 +150,39 @@ def fit(sample: np.ndarray, lists: int, replicas: int, boundary: float, k: int,
     return index
 
 
+def posted(index: Lists, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, list, cls, v) of vectors (cls, v), for each list that holds one."""
+    for b in batches:
+        lists = index.assigned(unit(matrix(b.column(1)))) if b.num_rows else []
+        own = pa.array(np.repeat(np.arange(b.num_rows), list(map(len, lists))), pa.int64())
+        flat = np.asarray([c for x in lists for c in x], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(flat // GROUP), pa.array(flat), b.column(0).take(own), b.column(1).take(own)], ["grp", "list", "cls", "v"])
+
+
+def asked_of(index: Lists, batches: Iterator[pa.RecordBatch], most: int = SENT) -> Iterator[pa.RecordBatch]:
+    """(grp, cls, v, lists, first) of queries (cls, v): the lists that each takes
+    in each group, its two nearest apart; a batch has vectors of about `most`
+    bytes, or one query's."""
+
+    def batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        grp, lists, first, at = zip(*rows, strict=True) if rows else ((),) * 4
+        own = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), b.column(0).take(own), b.column(1).take(own), pa.array(lists, pa.list_(pa.int32())), pa.array(first, pa.bool_())], ["grp", "cls", "v", "lists", "first"])
+
+    for b in batches:
+        rows: list[tuple] = []
+        x = unit(matrix(b.column(1))) if b.num_rows else []
+        for i, q in enumerate(x):
+            by: dict[tuple[bool, int], list[int]] = {}
+            for place, c in enumerate(index.taken(q)):
+                by.setdefault((place < 2, c // GROUP), []).append(c)
+            if rows and (len(rows) + len(by)) * 8 * len(q) > most:
+                yield batch(b, rows)
+                rows = []
+            rows += [(g, lists, first, i) for (first, g), lists in by.items()]
+        yield batch(b, rows)
+
+
 def valid(v: Column) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
@@ -173,58 +211,49 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, list_rows: int = 256,
     index = fit(sample, int(min(most_lists, max(1, total // list_rows), len(sample))), replicas, boundary, k, recall)
     sent = vectors.sparkSession.sparkContext.broadcast(index)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = sent.value.assigned(unit(matrix(b.column(1)))) if b.num_rows else []
-            own = np.repeat(np.arange(b.num_rows), list(map(len, lists)))
-            yield pa.RecordBatch.from_arrays([pa.array([c for x in lists for c in x], pa.int32()), b.column(0).take(pa.array(own, pa.int64())), b.column(1).take(pa.array(own, pa.int64()))], ["list", "cls", "v"])
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [sent.value.taken(q) for q in unit(matrix(b.column(1)))] if b.num_rows else []
-            own = np.repeat(np.arange(b.num_rows), list(map(len, lists)))
-            place = [i for x in lists for i in range(len(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([c for x in lists for c in x], pa.int32()), b.column(0).take(pa.array(own, pa.int64())), b.column(1).take(pa.array(own, pa.int64())), pa.array(place, pa.int32())], ["list", "cls", "v", "place"])
-
-    schema_post = "list int, cls long, v array<double>"
-    postings = classes.select("cls", "v").mapInArrow(post, schema_post)
+    postings = classes.select("cls", "v").mapInArrow(lambda batches: posted(sent.value, batches), "grp int, list int, cls long, v array<double>")
     who = materialize(rows.where(asked).select(F.col("vec_id").alias("query_id"), "v").join(classes.select("v", "cls"), "v").select("query_id", "cls"), "asked")
     distinct_queries = classes.join(who.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
-    wanted = materialize(distinct_queries.repartition("cls").mapInArrow(take, f"{schema_post}, place int"), "taken")
+    wanted = materialize(distinct_queries.repartition("cls").mapInArrow(lambda batches: asked_of(sent.value, batches), "grp int, cls long, v array<double>, lists array<int>, first boolean"), "taken")
     postings = materialize(postings, "postings")
 
     def met(turned: DataFrame) -> DataFrame:
         """(query, cls, score): for each list and query the k + 1 best that
         reach the query's least score, dealt in blocks of bounded size."""
-        sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("chunks")).join(turned.groupBy("list").agg(F.ceil(F.count("*") / block).alias("turns")), "list")
-        left = postings.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("list", "chunk", "turn", "cls", "v")
-        right = turned.join(sizes, "list").withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("list", "chunk", "turn", "cls", "v", "least")
-        keys = ["list", "chunk", "turn"]
+        sizes = postings.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("chunks")).join(turned.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("turns")), "grp")
+        left = postings.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("grp", "chunk", "turn", "list", "cls", "v")
+        right = turned.join(sizes, "grp").withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("grp", "chunk", "turn", "cls", "v", "lists", "least")
+        keys = ["grp", "chunk", "turn"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "query long, cls long, score double")
 
     def scored(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
         if len(a) and len(b):
-            x, cls = np.stack(a["v"].to_numpy()), a["cls"].to_numpy()
-            order = np.argsort(cls, kind="stable")
-            x, cls = x[order], cls[order]
-            nx = np.sqrt((x * x).sum(1))
-            most = min(k + 1, len(x))
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                q = np.stack(part["v"].to_numpy())
-                s = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * nx)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-                best = np.take_along_axis(s, top, 1)
-                row, col = np.nonzero(best >= part["least"].to_numpy()[:, None])
-                out.append(pd.DataFrame({"query": part["cls"].to_numpy()[row], "cls": cls[top[row, col]], "score": best[row, col]}))
+            a = a.sort_values(["list", "cls"])
+            every, cls, of = np.stack(a["v"].to_numpy()), a["cls"].to_numpy(), a["list"].to_numpy()
+            norms = np.sqrt((every * every).sum(1))
+            asks, query, least = np.stack(b["v"].to_numpy()), b["cls"].to_numpy(), b["least"].to_numpy()
+            owner = np.repeat(np.arange(len(b)), b["lists"].map(len).to_numpy())
+            wants = np.concatenate(b["lists"].to_list())
+            for c in np.unique(of):
+                low, high = np.searchsorted(of, [c, c + 1])
+                x, nx, most = every[low:high], norms[low:high], min(k + 1, high - low)
+                mine = owner[wants == c]
+                for at in range(0, len(mine), 512):
+                    part = mine[at : at + 512]
+                    q = asks[part]
+                    s = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * nx)
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+                    best = np.take_along_axis(s, top, 1)
+                    row, col = np.nonzero(best >= least[part][:, None])
+                    out.append(pd.DataFrame({"query": query[part][row], "cls": cls[low + top[row, col]], "score": best[row, col]}))
         return pd.concat(out)
 
     # the nearest lists give each query a score that the others have to reach
-    first = materialize(met(wanted.where(F.col("place") < 2).select("list", "cls", "v", F.lit(-2.0).alias("least"))), "first")
+    first = materialize(met(wanted.where("first").select("grp", "cls", "v", "lists", F.lit(-2.0).alias("least"))), "first")
     reach = first.groupBy("query", "cls").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).where(F.col("r") == k + 1)
     reach = reach.select(F.col("query").alias("cls"), (F.col("score") - 1e-12).alias("least"))
-    others = wanted.where(F.col("place") >= 2).join(reach, "cls", "left").select("list", "cls", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    others = wanted.where(~F.col("first")).join(reach, "cls", "left").select("grp", "cls", "v", "lists", F.coalesce("least", F.lit(-2.0)).alias("least"))
     near = first.union(met(others)).groupBy("query", "cls").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
     near = near.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).drop("r")

@@ -12,6 +12,7 @@ from html import unescape
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,23 @@ def test_neighbours_reach_recall_and_break_ties_by_id(spark):
     assert ann.search(df.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+def test_queries_of_many_lists_travel_in_small_batches():
+    rng = np.random.default_rng(3)
+    c, x = ann.unit(rng.normal(size=(640, 64))), rng.normal(size=(40, 64))
+    index = ann.Lists(c, np.argsort(ann.distances(c, c), axis=1)[:, 1:25], 0.15, 4, 9.0)  # every query takes every list
+    b = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["cls", "v"])
+    got = list(ann.asked_of(index, [b, b.slice(0, 0)], 1 << 16))
+    assert all(g["v"].flatten().to_numpy().size * 8 <= 1 << 16 for g in got)
+    rows = [r for g in got for r in g.to_pylist()]
+    assert len(rows) <= 40 * (640 // ann.GROUP + 2)  # not one for each list
+    taken = {i: [] for i in range(40)}
+    for r in rows:
+        assert {n // ann.GROUP for n in r["lists"]} == {r["grp"]} and r["v"] == x[r["cls"]].tolist()
+        taken[r["cls"]] += r["lists"]
+    assert all(sorted(taken[i]) == sorted(index.taken(q)) for i, q in enumerate(ann.unit(x)))
+    assert sum(len(r["lists"]) for r in rows if r["first"]) == 80
+
+
 def test_html_keeps_the_article_alone(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=x>Home</a></header>"
