@@ -35,11 +35,12 @@ _MONTH_YEAR = rf"{_S}+(?:de{_S}+)?(?:{MONTH}){_END}(?:{_S}+(?:de{_S}+)?20\d\d(?!
 #: "7 [- 9] de agosto" at the start of a line.
 _NAMED = rf"(?<!\p{{L}})(?:{WEEK}){_END}{_S}*,?{_S}*{_DAY}(?:{_MONTH_YEAR})?"
 _OF = r"(?:(?:de|del|el)[\s:,]{1,3})?"
-_THE = rf"(?<!(?:{DEADLINE})[\s:,]{{1,3}}{_OF}{_OF})(?<!\p{{L}})el{_S}+(?:d[ií]a{_S}+)?{_DAY}{_MONTH_YEAR}"
+_THE = rf"(?=el{_S})(?<!(?:{DEADLINE})[\s:,]{{1,3}}{_OF}{_OF})(?<!\p{{L}})el{_S}+(?:d[ií]a{_S}+)?{_DAY}{_MONTH_YEAR}"
 _FIRST = rf"{_DAY}(?={_S}+(?:{WEEK}){_END})"
 _LINE = rf"(?<=^[ \t]{{0,8}}){_DAY}(?:{_S}*[-–]{_S}*{_DAY})?{_S}+de{_S}+(?:{MONTH}){_END}(?!{_S}*\p{{L}})"
-_LEAD = rf"(?:(?<=^|[.\n][ \t]{{0,3}}){CONNECTOR}{_END}[^.\n]{{0,300}}?[.\n]?{_S}*)?"
-#: Each begins at a word that one of them begins with; few places get further.
+_LEAD = rf"(?:(?=a)(?<=^|[.\n][ \t]{{0,3}}){CONNECTOR}{_END}[^.\n]{{0,300}}?[.\n]?{_S}*)?"
+#: Each begins at a word that one of them begins with; few places get further, as
+#: what is slow, looking back, comes after the letters that a part begins with.
 HEADER = rf"(?ium)(?<![\p{{L}}\d])(?=[lmjvsdea\d]){_LEAD}(?:{_NAMED}|{_THE}|{_FIRST}|{_LINE})"
 
 
@@ -87,6 +88,9 @@ NAME_TOKEN = re.compile(r"[^\W_][\w'’&+-]*|[,;:.·•()]", re.U)
 
 def folded(text: str) -> str:
     """Lower case without marks, of the same length."""
+    low = text.lower()
+    if len(low) == len(text) and "Σ" not in text:  # a final sigma depends on its word
+        return low.translate(_FOLD)
     return "".join(c if len(c) == 1 else " " for c in map(str.lower, text)).translate(_FOLD)
 
 
@@ -99,7 +103,8 @@ def names_of(title: str | None) -> list[str]:
     a trigger or a plural, else only before another kind, as it is part of many
     names. After a kind in the singular only names with a kind of their own
     follow. A name has a capital, and is no venue, clause or thing handed out."""
-    words = [(m[0], folded(m[0]), m.start(), m.end()) for m in NAME_TOKEN.finditer(title or "")]
+    low = folded(title or "")
+    words = [(m[0], low[m.start() : m.end()], m.start(), m.end()) for m in NAME_TOKEN.finditer(title or "")]
     word = lambda i: words[i][1] if 0 <= i < len(words) else ""
     found: list[str] = []
 

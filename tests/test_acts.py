@@ -44,6 +44,16 @@ def test_sections(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(SECTIONS)}
 
 
+def test_slow_parts_of_a_pattern_come_after_cheap_ones():
+    assert R._THE.index("el") < R._THE.index("(?<!") and R._LEAD.startswith("(?:(?=a)")  # looking back only where "el" or "a" stands
+
+
+def test_folded_once_is_folded_word_by_word():
+    slow = lambda t: "".join(c if len(c) == 1 else " " for c in map(str.lower, t)).translate(R._FOLD)
+    for t in ("", "Verbena ÑANDÚ", "İstanbul con Grupo Pati", "ΟΔΟΣ ΟΔΟΣ", "ẞ É"):
+        assert R.folded(t) == slow(t) and len(R.folded(t)) == len(t)
+
+
 def test_what_leads_to_a_day_belongs_to_it(spark):
     got = sections(spark, "Viernes 25 misa. A su término BAILE POPULAR. 26 Sábado gala")
     assert got[0][3] == "Viernes 25 misa. " and got[1][3] == "A su término BAILE POPULAR. 26 Sábado gala"
