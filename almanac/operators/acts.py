@@ -117,7 +117,8 @@ def acts_of(dated_sections: DataFrame, key: str, names: list[str] = ()) -> DataF
     holds = lambda c: F.when(F.col(f"{c}.at") >= F.greatest(F.col("at") - BEFORE, F.col("start") - TAIL), F.col(f"{c}.v"))
     soon = F.when(here("_next") & (F.col("_next.at") <= end + AFTER), F.col("_next.v"))
     # of several times the last before the dance is the act's, else the first
-    dance = F.regexp_instr(fold(F.col("piece")), F.lit(DANCE))
+    seen = seen.withColumn("_low", fold(F.col("piece"))).withColumn("_dance", F.regexp_instr("_low", F.lit(DANCE)))
+    low, dance = F.col("_low"), F.col("_dance")
     told_before = F.regexp_extract_all(F.substring("piece", F.lit(1), dance - 1), F.lit(rf"(?iu){_RANGE}"), F.lit(0))
     own = F.coalesce(hour_of(F.try_element_at(told_before, F.lit(-1))), F.col("hora"))
     hour = F.coalesce(own, holds("_range"), holds("_time"), soon, F.lit(""))
@@ -125,7 +126,6 @@ def acts_of(dated_sections: DataFrame, key: str, names: list[str] = ()) -> DataF
     beyond = F.when(here("_beyond") & (F.col("_beyond.at") <= end + P.AFTER), F.col("_beyond.v"))
     place = F.coalesce("campo", "lugar", before, beyond, F.lit(""))
 
-    low = fold(F.col("piece"))
     spaced = F.concat(F.lit(" "), words_only(F.col("piece")), F.lit(" "))
     known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(spaced, F.concat(F.lit(" "), words_only(n), F.lit(" "))))
     good = (F.char_length(F.trim("piece")) >= 6) & ~low.rlike(NOT_A_DANCE) & ~low.rlike(PAST) & ~low.rlike(ONLY_A_LIST) & ((dance > 0) | ((F.size(known) > 0) & low.rlike(MUSIC)))

@@ -32,14 +32,19 @@ def venue_name(told: Column) -> Column:
     """The name that a piece of text beginning with a venue has: its words up to
     a time, or to where, beyond its first characters, a capitalised word leads to
     a small one that is no particle, as another phrase begins there."""
-    words = F.filter(F.split(told, r"\s+"), lambda w: w != "")
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return T.let(told, lambda t: F.when(t.isNotNull(), T.let(words(t), _phrase)))
+
+
+def _phrase(words: Column) -> Column:
+    """The words of a venue's name, of those that a piece has."""
     at = lambda i: F.try_element_at(words, i)
     begins = lambda i: F.char_length(F.array_join(F.slice(words, 1, i - 1), " "))
     particle = F.array(*map(F.lit, PARTICLES))
     small = lambda w: w.rlike(r"^[a-záéíóúñ]{2}") & ~F.array_contains(particle, F.regexp_extract(w, r"^[a-záéíóúñ]+", 0))
     phrase = lambda i: (begins(i) >= OWN) & at(i).rlike(rf"^{_UP}(?:[a-záéíóúñ]*|{_UP}+)$") & F.coalesce(small(at(i + 1)), F.lit(False))
     ends = F.filter(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: F.coalesce(at(i).rlike(r"^\d{1,2}:\d{2}h?$") | phrase(i), F.lit(False)))
-    return F.when(told.isNotNull(), F.array_join(F.slice(words, 1, F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(words) + 1) - 1), " "))
+    return F.array_join(F.slice(words, 1, F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(words) + 1) - 1), " ")
 
 
 def venues(text: Column) -> Column:
