@@ -59,19 +59,22 @@ def archive_calendar(spark, sf):
 
 
 # ---------------------------------------------------------------------- names
+_WORD = "[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+"
 _WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+')) AS w FROM documents)"
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+"), F.lit(0))).alias("w"))
+    return read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("w"))
 
 
 @query(f"WITH {_WORDS}, r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY w COLLATE es, w) AS i FROM (SELECT DISTINCT doc_id, w FROM w)) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY i)) AS orden FROM r GROUP BY 1")
 def words_in_order(spark, sf):
     """Each document's words, once, in Spanish order."""
-    once = _words(spark, sf).groupBy("doc_id", "w").agg(O.in_order(F.col("w")).alias("o"))
-    told = once.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "w"))).alias("x"))
-    return told.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join(F.transform("x", lambda x: x["w"]), " ")).alias("orden"))
+    # a text's words are told apart in its row, and meet those of rows of one id
+    once = read(spark, sf, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("x")).where(F.size("x") > 0)
+    told = once.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("x"))
+    order = F.array_sort(F.transform("x", lambda w: F.struct(O.in_order(w).alias("o"), w.alias("w"))))
+    return told.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join(F.transform(order, lambda x: x["w"]), " ")).alias("orden"))
 
 
 @query(f"WITH {_WORDS}, c AS (SELECT w, count(*) AS n FROM w GROUP BY 1), r AS (SELECT *, replace(strip_accents(replace(lower(w), 'ñ', '~')), '~', 'ñ') AS k, row_number() OVER (PARTITION BY replace(strip_accents(replace(lower(w), 'ñ', '~')), '~', 'ñ') ORDER BY n DESC, w COLLATE es, w) AS i, CAST(sum(n) OVER (PARTITION BY k) AS BIGINT) AS total FROM c) SELECT w AS nombre, total AS n FROM r WHERE i = 1")

@@ -33,3 +33,15 @@ def test_folding_of_composed_and_decomposed_letters(spark):
     assert r[1][0] is None
     drawn = spark.createDataFrame([("𝗩𝗘𝗥𝗕𝗘𝗡𝗔 ﬁn Ⓐ ２２ é",), (None,), ("",)], "t string")
     assert [r[0] for r in drawn.select(T.spelled_plain("t")).collect()] == ["VERBENA fin A 22 e", None, ""]
+
+
+def test_words_of_a_text_are_not_dealt_one_by_one(spark, tmp_path):
+    from test_resolve import shuffled
+
+    from almanac.plans import history
+
+    texts = [(i, " ".join(f"palabra{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10]} Ñu" for j in range(100))) for i in range(40)] + [(3, "otra ñu"), (50, "1 2"), (51, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = history.words_in_order(spark, str(tmp_path))
+    assert {r["doc_id"]: r["n"] for r in found.collect()} == {i: 101 for i in range(40)} | {3: 103}
+    assert shuffled(spark, found) < 100
