@@ -22,7 +22,7 @@ from almanac.operators import matching as M
 from almanac.operators import places as P
 from almanac.operators import social
 from almanac.operators.scoring import scored
-from almanac.session import sized
+from almanac.session import materialize, sized
 from almanac.sources import pages as G
 
 #: The knobs of a source; null stands for the first of each kind of rule.
@@ -111,8 +111,9 @@ def events(pages: DataFrame, table: DataFrame, names: list[str] = (), this_year:
     """Accepted events (see EVENT) of landed pages (fuente, url, html), by the
     table of knobs; of several with one id the first in order of page, section and
     stretch stays. names: a dictionary of bounded size."""
-    known = known_pages(pages, table, this_year)
-    cut = sections(known.where("partir IS NULL OR partir <> 'ficha'")).unionByName(sheets(known))
+    # both are read several times, and html is cleaned and cut once
+    known = materialize(known_pages(pages, table, this_year).drop("html"), "known")
+    cut = materialize(sections(known.where("partir IS NULL OR partir <> 'ficha'")).unionByName(sheets(known)), "cut")
     found = A.acts_of(cut.select("_key", "ord", "day", "texto"), "_key", names)
     held = found.join(cut.select("_key", "ord", "_lugar", "texto"), ["_key", "ord"]).join(known.select("_key", "fuente", "url", "municipio", "nucleos", "cascada", "patron_extra", "puntos_extra", "etiqueta"), "_key")
 

@@ -39,3 +39,9 @@ def test_pages_that_give_nothing(spark):
     assert A.events(pages, P.table(spark)).count() == 0 and A.events(pages.limit(0), P.table(spark)).count() == 0
     twice = spark.createDataFrame([("f0", "https://s.es/2026/a", P.SHAPES[0][2])] * 2, kinds)
     assert A.events(twice, P.table(spark)).count() == len(P.SHAPES[0][3])
+
+
+def test_html_is_cleaned_once(spark):
+    pages = spark.createDataFrame([("f0", "https://s.es/2026/a", P.SHAPES[0][2])], "fuente string, url string, html string")
+    plan = A.events(pages, P.table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "published_time" not in plan and "html" not in plan
