@@ -50,7 +50,7 @@ def inherited(programmes: DataFrame, key: str, text: str, mes: Column | None = N
 def day_of(dia: Column, mes: Column, anyo: Column) -> Column:
     """dd-MM-yyyy where there is such a day, else ''."""
     date = F.try_to_date(F.concat_ws("-", F.lpad(dia.cast("string"), 2, "0"), mes, anyo), "dd-MM-yyyy")
-    return F.coalesce(D.day_text(date), F.lit(""))
+    return F.coalesce(F.when(mes.isNotNull() & anyo.isNotNull(), D.day_text(date)), F.lit(""))
 
 
 def dated(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
@@ -75,10 +75,8 @@ def stretches(dated_sections: DataFrame, key: str) -> DataFrame:
     place among all and where they and their section begin, with what they tell: hora,
     rango (an hour that is a range's), lugar (a venue) and campo ("Lugar: ...")."""
     rows = parts(dated_sections, [key, "ord", "day"], joined_lines(hours(F.col("texto"))), STRETCH)
-    order = Window.partitionBy(key).orderBy("ord", "n")
-    rows = rows.withColumnRenamed("i", "n").drop("pos").withColumn("i", F.row_number().over(order))
-    rows = placed(rows, [key], F.char_length("piece")).withColumnRenamed("pos", "at").drop("i")
-    start = F.min("at").over(Window.partitionBy(key, "ord"))
+    rows = placed(rows.withColumnRenamed("i", "n").drop("pos"), [key], F.char_length("piece"), "ord", "n").withColumnRenamed("pos", "at")
+    start = F.first("at").over(Window.partitionBy(key, "ord").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     time = F.regexp_extract("piece", rf"(?iu){_RANGE}", 0)
     hour = hour_of(time)
     ranged = F.when(time.rlike(rf"{_TIME}.*{_TIME}"), hour)
@@ -105,13 +103,14 @@ def acts_of(dated_sections: DataFrame, key: str, names: list[str] = ()) -> DataF
     the 200 after. One act that is told twice is one."""
     ship(dated_sections.sparkSession)
     rows = stretches(dated_sections, key)
-    around = Window.partitionBy(key, "ord").orderBy("at").rangeBetween(-BEFORE, BEFORE)
-    rows = rows.withColumn("cerca", F.array_join(F.collect_list("piece").over(around), ""))
+    # all but what is told nearby is read in one order, so that rows are sorted once
     told = lambda c: F.when(F.col(c).isNotNull(), F.struct("at", "ord", F.col(c).alias("v")))
     seen = rows.withColumns({
-        "_range": last_before(told("rango"), [key], "at", False), "_time": last_before(told("hora"), [key], "at", False), "_next": first_after(told("hora"), [key], "at"),
-        "_venue": last_before(told("lugar"), [key], "at", False), "_beyond": first_after(told("lugar"), [key], "at"),
+        "_range": last_before(told("rango"), [key], "ord", "n", own=False), "_time": last_before(told("hora"), [key], "ord", "n", own=False), "_next": first_after(told("hora"), [key], "ord", "n"),
+        "_venue": last_before(told("lugar"), [key], "ord", "n", own=False), "_beyond": first_after(told("lugar"), [key], "ord", "n"),
     })
+    around = Window.partitionBy(key, "ord").orderBy("at").rangeBetween(-BEFORE, BEFORE)
+    seen = seen.withColumn("cerca", F.array_join(F.collect_list("piece").over(around), ""))
     end = F.col("at") + F.char_length("piece")
     here = lambda c: F.col(f"{c}.ord") == F.col("ord")
     holds = lambda c: F.when(F.col(f"{c}.at") >= F.greatest(F.col("at") - BEFORE, F.col("start") - TAIL), F.col(f"{c}.v"))
@@ -128,7 +127,8 @@ def acts_of(dated_sections: DataFrame, key: str, names: list[str] = ()) -> DataF
 
     spaced = F.concat(F.lit(" "), words_only(F.col("piece")), F.lit(" "))
     known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(spaced, F.concat(F.lit(" "), words_only(n), F.lit(" "))))
-    good = (F.char_length(F.trim("piece")) >= 6) & ~low.rlike(NOT_A_DANCE) & ~low.rlike(PAST) & ~low.rlike(ONLY_A_LIST) & ((dance > 0) | ((F.size(known) > 0) & low.rlike(MUSIC)))
+    # what few stretches have is asked first
+    good = ((dance > 0) | ((F.size(known) > 0) & low.rlike(MUSIC)) if names else dance > 0) & (F.char_length(F.trim("piece")) >= 6) & ~low.rlike(ONLY_A_LIST) & ~low.rlike(NOT_A_DANCE) & ~low.rlike(PAST)
     body = F.substring("piece", F.greatest(dance, F.lit(1)), F.char_length("piece"))
     title = F.trim(F.substring(F.regexp_replace(F.regexp_replace(body, r"(?is)\s*lugar:.*$", ""), r"(?s)^[\s,:;.–-]+|[\s,:;.–-]+$", ""), 1, 180))
     found = seen.where(good).select(key, "ord", "n", "day", title.alias("titulo"), hour.alias("hora"), place.alias("lugar"), F.col("hora").isNull().alias("suelta"), known.alias("_known"), "piece", "cerca")

@@ -41,7 +41,8 @@ _LINE = rf"(?<=^[ \t]{{0,8}}){_DAY}(?:{_S}*[-–]{_S}*{_DAY})?{_S}+de{_S}+(?:{MO
 _LEAD = rf"(?:(?=a)(?<=^|[.\n][ \t]{{0,3}}){CONNECTOR}{_END}[^.\n]{{0,300}}?[.\n]?{_S}*)?"
 #: Each begins at a word that one of them begins with; few places get further, as
 #: what is slow, looking back, comes after the letters that a part begins with.
-HEADER = rf"(?ium)(?<![\p{{L}}\d])(?=[lmjvsdea\d]){_LEAD}(?:{_NAMED}|{_THE}|{_FIRST}|{_LINE})"
+_BEGINS = rf"(?=[lmjvsdea\d])(?<![\p{{L}}\d])(?=\d|lu|ma|mi|ju|vi|s[aá]|do|el{_S}|a\s)"
+HEADER = rf"(?ium){_BEGINS}{_LEAD}(?:(?=[lmjvsd]){_NAMED}|{_THE}|(?=\d)(?:{_FIRST}|{_LINE}))"
 
 
 def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = None, anyo: Column | None = None) -> DataFrame:
@@ -49,14 +50,17 @@ def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = No
     day, month and year ('' where the header has none), and its text. A header of
     number and weekday has to agree with the calendar where month and year of the
     text are known (mes, anyo). What follows "a su término" in the sentence just
-    before a header belongs to that day. key names one text."""
-    told = programmes.select(key, F.col(text).alias("_t"), (F.lit("") if mes is None else F.coalesce(mes, F.lit(""))).alias("_mes"), (F.lit("") if anyo is None else F.coalesce(anyo, F.lit(""))).alias("_anyo")).repartition(key)
+    before a header belongs to that day. key names one text. Reading a text takes
+    far longer than its bytes let Spark expect, so that texts are dealt to as many
+    tasks as the session has for shuffles and these are not joined by size."""
+    told = programmes.select(key, F.col(text).alias("_t"), (F.lit("") if mes is None else F.coalesce(mes, F.lit(""))).alias("_mes"), (F.lit("") if anyo is None else F.coalesce(anyo, F.lit(""))).alias("_anyo")).repartition(int(programmes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     rows = cut(told, [key, "_mes", "_anyo"], F.col("_t"), HEADER)
     w = Window.partitionBy(key).orderBy("i")
     leads = F.col("hit").rlike(rf"(?iu)^{CONNECTOR}")
     rows = rows.withColumn("_head", F.when(leads, F.regexp_replace("hit", rf"(?ius)^{CONNECTOR}\b.*?(?=(?:{_NAMED}|{_THE}|{_DAY})$)", "")).otherwise(F.col("hit")))
     head = F.col("_head")
-    day = F.regexp_extract(head, _DAY, 0).try_cast("int")
+    # a cast that fails costs more than all else, so that nothing is cast where no day is told
+    day = F.nullif(F.regexp_extract(head, _DAY, 0), F.lit("")).try_cast("int")
     month = D.month_number(F.regexp_extract(fold(head), rf"\b({MONTH})\b", 1))
     year = F.regexp_extract(head, r"\b(20\d\d)\b", 1)
     bare = head.rlike(r"^\d+$")

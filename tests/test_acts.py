@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from almanac.operators import acts as A
 from almanac.operators import places as P
 from almanac.operators import programmes as R
+from almanac.operators.spans import cut
 
 
 def sections(spark, text, *ref):
@@ -133,3 +134,15 @@ def test_days_inherit_month_and_year(spark):
     assert A.dated(df.limit(0), "id", "t").count() == 0
     plan = A.dated(df, "id", "t")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_texts_are_searched_and_sorted_once(spark):
+    texts = ["Lunes 3 de mayo\n22:00 baile. Martes 4 gala", "Lunes 3 \x01uno\x02 Martes 4\x01", "nada", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in cut(df, ["id"], F.col("t"), R.HEADER).orderBy("id", "i").collect():
+        got.setdefault(r["id"], []).append((r["hit"], r["piece"], r["pos"]))
+    assert got == {0: [("", "", 0), ("Lunes 3 de mayo", "\n22:00 baile. ", 0), ("Martes 4", " gala", 29)], 1: [("", "", 0), ("Lunes 3", " \x01uno\x02 ", 0), ("Martes 4", "\x01", 14)], 2: [("", "nada", 0)], 3: [("", "", 0)], 4: [("", "", 0)]}
+    plan = A.acts(df, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # as many tasks as there are partitions, whatever their bytes
+    assert plan.count("Sort [") <= 6  # nine before: the rows of a text once by section and stretch
