@@ -51,9 +51,11 @@ def sections(programmes: DataFrame, key: str, text: str, mes: Column | None = No
     number and weekday has to agree with the calendar where month and year of the
     text are known (mes, anyo). What follows "a su término" in the sentence just
     before a header belongs to that day. key names one text. Reading a text takes
-    far longer than its bytes let Spark expect, so that texts are dealt to as many
-    tasks as the session has for shuffles and these are not joined by size."""
-    told = programmes.select(key, F.col(text).alias("_t"), (F.lit("") if mes is None else F.coalesce(mes, F.lit(""))).alias("_mes"), (F.lit("") if anyo is None else F.coalesce(anyo, F.lit(""))).alias("_anyo")).repartition(int(programmes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    far longer than its bytes let Spark expect, so that texts are dealt to some
+    tasks for each core and these are not joined by size."""
+    spark = programmes.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    told = programmes.select(key, F.col(text).alias("_t"), (F.lit("") if mes is None else F.coalesce(mes, F.lit(""))).alias("_mes"), (F.lit("") if anyo is None else F.coalesce(anyo, F.lit(""))).alias("_anyo")).repartition(tasks, key)
     rows = cut(told, [key, "_mes", "_anyo"], F.col("_t"), HEADER)
     w = Window.partitionBy(key).orderBy("i")
     leads = F.col("hit").rlike(rf"(?iu)^{CONNECTOR}")
